@@ -35,11 +35,12 @@ def pivot_distances(fp: np.ndarray) -> np.ndarray:
 
 
 def block_masks(k: int, n: int) -> list[int]:
-    """Masks of the blocks to be equal: as few choices as keep buckets of ``n`` random fingerprints near EXPECTED.
+    """Masks of the blocks to be equal: two at least, and as few choices as keep buckets of ``n`` random fingerprints near EXPECTED.
 
-    Any choice finds all links; only the work differs.
+    Two equal blocks of 64 / (k + 2) bits serve up to 100 million fingerprints for k = 4, so the rows made for one
+    fingerprint are the same at all ordinary sizes. Any choice finds all links; only the work differs.
     """
-    for b in range(k + 1, k + 5):
+    for b in range(k + 2, k + 5):
         edges = [64 * i // b for i in range(b + 1)]
         blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:])]
         if n >> (64 * (b - k) // b) <= EXPECTED:
