@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ LEAF, REACH, AGREE = 512, 64, 3
 #: Distinct runs remembered by a worker; then it starts anew. Only speed depends on it.
 REMEMBERED = 400_000
 
+_STOPS = re.compile(rb"(?<=[a-z])([.,])(?=[ \n\t\r\x0b\x0c]|\Z)")
 Token = tuple[int, int]  # start in the piece, id
 
 
@@ -41,6 +44,11 @@ class TreeBpe:
         self.special = {s: self.full.token_to_id(s) for s in special}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.known: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.decimal = [b"%d" % i for i in range(self.full.get_vocab_size())]
+        self.token = [(self.full.id_to_token(i) or "").encode() for i in range(self.full.get_vocab_size())]
+        #: Where the file lower-cases, texts may be lower-cased before, but for the names of special tokens.
+        self.lowers = self.full.normalizer is not None and self.full.normalizer.normalize_str("Aa") == "aa"
+        self.opens = [s.encode()[:2] for s in special]
 
     # --- one unsplit piece
     def _leaves(self, pieces: list[tuple[int, str]]) -> list[list[Token]]:
@@ -77,8 +85,6 @@ class TreeBpe:
     def _shared(side: list[Token], window: list[Token], lo: int, hi: int, last: bool = False) -> tuple[int, int] | None:
         """Where AGREE consecutive tokens of both are the same, in [lo, hi): nearest to the window's outer end."""
         at = {t: k for k, t in enumerate(window)}
-        from bisect import bisect_left
-
         i, j = bisect_left(side, (lo, -1)), bisect_left(side, (hi, -1))
         places = range(j - AGREE, i - 1, -1) if last else range(i, j - AGREE + 1)
         for k in places:
@@ -103,18 +109,37 @@ class TreeBpe:
                     out += self.piece(word)
         return out
 
+    def learn(self, new: list[bytes]) -> None:
+        """Encode runs; the short ones as one text, whose tokens are dealt out by their offsets."""
+        short = [p for p in new if len(p) <= self.leaf]
+        if self.full.decoder is None and short:
+            found = [p.decode() for p in short]
+            e = self.full.encode(" ".join(found), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(x) + 1 for x in found])
+            cuts = np.searchsorted(np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], starts).tolist()
+            ids = e.ids
+            own = {p: ids[a:b] for p, a, b in zip(short, cuts, cuts[1:])}
+        else:
+            own = dict(zip(short, (e.ids for e in self.full.encode_batch([p.decode() for p in short], add_special_tokens=False))))
+        for p in new:
+            x = own[p] if p in own else self.run(p.decode())
+            text = b" ".join([self.token[i] for i in x]) if self.full.decoder is None else self.full.decode(x, skip_special_tokens=False).encode()
+            self.known[p] = (len(x), b" ".join([self.decimal[i] for i in x]), text)
+
     def runs(self, text: str) -> list[tuple[int, bytes, bytes]]:
-        """(tokens, decimal ids, decoded text) of every run that has tokens."""
-        parts = text.encode("utf-8", "replace").split()
+        """(tokens, decimal ids, decoded text) of every run that has tokens.
+
+        A full stop or comma after an ASCII letter is a run of its own where white space follows: the splitting pattern
+        separates it too, so fewer distinct runs are encoded.
+        """
+        data = text.encode("utf-8", "replace")
+        if self.lowers and not any(x in data for x in self.opens):
+            data = _STOPS.sub(rb" \1", data.lower())
+        parts = data.split()
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = [p for p in set(parts) if p not in known]
-        short = [p for p in new if len(p) <= self.leaf]
-        ids = dict(zip(short, (e.ids for e in self.full.encode_batch([p.decode() for p in short], add_special_tokens=False))))
-        for p in new:
-            own = ids[p] if p in ids else self.run(p.decode())
-            known[p] = (len(own), b" ".join(b"%d" % i for i in own), self.full.decode(own, skip_special_tokens=False).encode())
+        self.learn([p for p in set(parts) if p not in known])
         return [k for p in parts if (k := known[p])[0]]
 
     def encode(self, text: str | None) -> list[int]:
