@@ -34,13 +34,13 @@ def pivot_distances(fp: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(d).view(np.int64)
 
 
-def block_masks(k: int, n: int) -> list[int]:
-    """Masks of the blocks to be equal: two at least, and as few choices as keep buckets of ``n`` random fingerprints near EXPECTED.
+def block_masks(k: int, n: int, least: int = 2) -> list[int]:
+    """Masks of the blocks to be equal: ``least`` at least, and as few choices as keep buckets of ``n`` random fingerprints near EXPECTED.
 
-    Two equal blocks of 64 / (k + 2) bits serve up to 100 million fingerprints for k = 4, so the rows made for one
+    Two equal blocks of 64 / (k + 2) bits serve 100 million fingerprints for k = 4, so the rows made for one
     fingerprint are the same at all ordinary sizes. Any choice finds all links; only the work differs.
     """
-    for b in range(k + 2, k + 5):
+    for b in range(k + least, k + 5):
         edges = [64 * i // b for i in range(b + 1)]
         blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:])]
         if n >> (64 * (b - k) // b) <= EXPECTED:
@@ -48,19 +48,19 @@ def block_masks(k: int, n: int) -> list[int]:
     return [sum(c) for c in combinations(blocks, b - k)]
 
 
-def bucket_rows(masks: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def bucket_rows(masks: list[int], pivots: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     mix = np.uint64(0x9E3779B97F4A7C15)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = numbers(batch, "fp").astype(np.int64)
-            p = pivot_distances(fp)
+            own, names = list(batch.columns), list(batch.schema.names)
+            if pivots:
+                p = pivot_distances(fp)
+                own, names = own + [pa.array(p[:, 0]), pa.array(p[:, 1])], names + ["p0", "p1"]
             for i, mask in enumerate(masks):
-                # a bijection of the masked bits; the choice takes the top bits' place only in the sort key
-                key = (fp.view(np.uint64) & np.uint64(mask)) * mix + np.uint64(i)
-                own = [pa.array(key.view(np.int64)), pa.array(fp), pa.array(p[:, 0]), pa.array(p[:, 1])]
-                names = ["key", "fp", "p0", "p1"]
-                yield pa.RecordBatch.from_arrays(own + [batch.column(c) for c in batch.schema.names if c != "fp"], names + [c for c in batch.schema.names if c != "fp"])
+                key = (fp.view(np.uint64) & np.uint64(mask)) * mix + np.uint64(i)  # keys of different masks may meet by chance
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *own], ["key", *names])
 
     return rows
 
@@ -124,6 +124,25 @@ def spanning(key: np.ndarray, fp: np.ndarray, piv: np.ndarray, k: int, same: Cal
     return out
 
 
+def partnered(key: np.ndarray, fp: np.ndarray, piv: np.ndarray, k: int) -> np.ndarray:
+    """Which rows have another of their key within k bits. Pairs of rows that both have one are not visited again."""
+    order = np.lexsort((piv[:, 0], key))
+    key, fp, first = key[order], fp.view(np.uint64)[order], piv[order, 0].astype(np.int16)
+    n, mark = len(key), np.zeros(len(key), bool)
+    alive, d = np.arange(n), 0
+    while alive.size:
+        d += 1
+        alive = alive[alive + d < n]
+        alive = alive[key[alive] == key[alive + d]]
+        alive = alive[first[alive + d] - first[alive] <= k]
+        c = alive[~(mark[alive] & mark[alive + d])]
+        c = c[np.bitwise_count(fp[c] ^ fp[c + d]) <= k]
+        mark[c] = mark[c + d] = True
+    out = np.zeros(n, bool)
+    out[order] = mark
+    return out
+
+
 def whole_keys(batches: Iterator[pa.RecordBatch], chunk: int | None) -> Iterator[tuple[pa.Table, bool]]:
     """Tables of whole keys from sorted batches, and whether the rows belong to a key of over ``chunk`` rows."""
     held: list[pa.RecordBatch] = []
@@ -175,49 +194,64 @@ def _sorted_out(t: pa.Table, chunk: int | None) -> Iterator[tuple[pa.Table, bool
         yield t, False
 
 
-LINKS = "a long, b long, key long, fp long, p0 long, p1 long"
+def _distances(t: pa.Table) -> np.ndarray:
+    """The pivot table if it travels with the rows, else distances to zero."""
+    if "p0" in t.column_names:
+        return np.ascontiguousarray(np.stack([t.column("p0").to_numpy(), t.column("p1").to_numpy()], 1)).view(np.uint8)
+    return np.bitwise_count(t.column("fp").to_numpy().view(np.uint64))[:, None]
 
 
-def link_rows(k: int, chunk: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From sorted bucket rows: links (key null), and the rows of large buckets as they are (b null)."""
+def link_rows(k: int, chunk: int | None, schema: pa.Schema, same: Callable[[str, str], bool] | None, mark: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From sorted bucket rows: links a, b, or with ``mark`` the ids a that have a partner; and rows of large buckets."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([(c, pa.int64()) for c in ("a", "b", "key", "fp", "p0", "p1")])
         for t, large in whole_keys(batches, chunk):
-            ids, key, fp = (t.column(c).to_numpy() for c in ("id", "key", "fp"))
-            p = np.ascontiguousarray(np.stack([t.column("p0").to_numpy(), t.column("p1").to_numpy()], 1))
             if large:
-                own = [ids, None, key, fp, p[:, 0], p[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()) if x is None else pa.array(x) for x in own], schema=kind)
+                own = [pa.nulls(t.num_rows, pa.int64())] * 2 + [t.column(c).combine_chunks() for c in schema.names[2:]]
+                yield pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in own], schema=schema)
                 continue
-            found = spanning(key, fp, p.view(np.uint8), k)
-            if found:
-                i = np.array(found)
-                ends = [pa.array(ids[i[:, 0]]), pa.array(ids[i[:, 1]])]
-                yield pa.RecordBatch.from_arrays(ends + [pa.nulls(len(i), pa.int64())] * 4, schema=kind)
+            ids, key, fp, p = t.column("id").to_numpy(), t.column("key").to_numpy(), t.column("fp").to_numpy(), _distances(t)
+            if mark:
+                a = b = ids[partnered(key, fp, p, k)]
+            else:
+                text = t.column("text") if same else None
+                found = spanning(key, fp, p, k, (lambda i, j: same(text[i].as_py(), text[j].as_py())) if same else None)  # noqa: B023
+                i = np.array(found, np.int64).reshape(-1, 2)
+                a, b = ids[i[:, 0]], ids[i[:, 1]]
+            if len(a):
+                rest = [pa.nulls(len(a), schema.field(c).type) for c in schema.names[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *rest], schema=schema)
 
     return rows
 
 
-def near_links(fps: DataFrame, k: int, n: int, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) that connect the ids of ``fps`` (id, fp: long, fp distinct) as all pairs within k bits would.
+def near_links(
+    fps: DataFrame, k: int, n: int, chunk: int = CHUNK, pivots: bool = True, least: int = 2, same: Callable[[str, str], bool] | None = None, mark: bool = False
+) -> DataFrame:
+    """Links (a, b) that connect the ids of ``fps`` (id, fp: long, and text where ``same`` is given) as all pairs within
+    k bits would that ``same`` accepts; with ``mark`` only (a, a) for every id that has a partner.
 
     ``n``: rows of ``fps``. Buckets over ``chunk`` rows are cut into chunks whose pairs are separate groups, so no
     task holds a whole one and no pair is lost.
     """
+    kinds = [("key", "long"), ("fp", "long"), ("id", "long")] + [("text", "string")] * (same is not None) + [("p0", "long"), ("p1", "long")] * pivots
+    spark_schema = "a long, b long, " + ", ".join(f"{c} {t}" for c, t in kinds)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())] + [(c, pa.string() if t == "string" else pa.int64()) for c, t in kinds])
     sort = lambda df: df.repartition("key").sortWithinPartitions("key")
-    rows = fps.select("id", "fp").mapInArrow(bucket_rows(block_masks(k, n)), "key long, fp long, p0 long, p1 long, id long")
-    found = table(sort(rows).mapInArrow(link_rows(k, chunk), LINKS), "found")
-    links, large = found.where("b is not null").select("a", "b"), found.where("b is null")
+    own = fps.select(*[c for c, _ in kinds if c not in ("key", "p0", "p1")])
+    rows = own.mapInArrow(bucket_rows(block_masks(k, n, least), pivots), ", ".join(f"{c} {t}" for c, t in kinds))
+    found = table(sort(rows).mapInArrow(link_rows(k, chunk, schema, same, mark), spark_schema), "found")
+    links, large = found.where("a is not null").select("a", "b"), found.where("a is null").drop("a", "b")
     if large.isEmpty():
         return links
     half = chunk // 2
     chunks = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("c"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
+    mine = F.pmod(F.xxhash64("id"), F.col("c")).cast("int")
     tiles = (
         large.join(chunks, "key")
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-        .select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "fp", "p0", "p1", F.col("a").alias("id"))
+        .withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+        .select(*[c for c, _ in kinds])
     )
-    return links.unionByName(sort(tiles).mapInArrow(link_rows(k, None), LINKS).select("a", "b"))
+    return links.unionByName(sort(tiles).mapInArrow(link_rows(k, None, schema, same, mark), spark_schema).select("a", "b"))

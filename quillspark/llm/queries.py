@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash_dedup, url_filter, warc
+from . import bpe, decontamination, language_id, line_dedup, simhash_dedup, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(read(spark, sf_dir, "pages"))).drop("url")
 
@@ -44,11 +49,31 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, each with its benchmark items."""
+    pairs = decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.transform(F.array_sort(F.collect_set("item_id")), lambda x: x.cast("string")), ",")
+    return pairs.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), items.alias("item_ids"), F.round(F.max("overlap"), 6).alias("overlap"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines, what was removed, and the digest of what is left."""
+    docs = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(
+        "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed_lines"),
+        F.length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("text_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_bpe": op2_bpe,
+    "op3_language_id": op3_language_id,
     "op5_warc": op5_warc,
     "op7_simhash": op7_simhash,
+    "op8_decontamination": op8_decontamination,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
