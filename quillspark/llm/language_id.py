@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +66,8 @@ class Presence:
         gap = c == 0
         if gap.all():
             return None
-        c = np.concatenate([[0], c[~(gap & np.concatenate([[True], gap[:-1]]))], [0]]).astype(np.int32)
+        c = c[~(gap & np.concatenate([[True], gap[:-1]]))]
+        c = np.concatenate([[0], c[:-1] if c[-1] == 0 else c, [0]]).astype(np.int32)
         two = c[:-1] * CLASSES + c[1:]
         return np.concatenate([c, two + _SIZES[1], two[:-1] * CLASSES + c[2:] + _SIZES[2]])
 
@@ -179,7 +181,6 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         return names, score
 
     if keep:
-        import pandas as pd
 
         @F.pandas_udf("lang_pred string, score double")
         def language(s: pd.Series) -> pd.DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, line_dedup, simhash_dedup, url_filter, warc
+from . import audio, bpe, decontamination, language_id, line_dedup, simhash_dedup, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(read(spark, sf_dir, "pages"))).drop("url")
 
 
+def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digests(audio.store(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op2_bpe": op2_bpe,
     "op3_language_id": op3_language_id,
     "op5_warc": op5_warc,
+    "op6_audio": op6_audio,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
     "op10_line_dedup": op10_line_dedup,
