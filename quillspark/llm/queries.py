@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, decontamination, language_id, line_dedup, simhash_dedup, url_filter, warc
+from . import audio, bpe, decontamination, language_id, line_dedup, pii, simhash_dedup, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs)).withColumnRenamed("id", "doc_id")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_<kind> and base_sha256 are of the base spans, spans are all."""
+    found = pii.personal_data(read(spark, sf_dir, "documents"))
+
+    def listed(base_only: bool) -> F.Column:
+        own = lambda k: F.filter(k, lambda x: x["base"]) if base_only else F.col(k)
+        text = lambda k: F.transform(own(k), lambda x: F.concat_ws(":", F.lit(k), x["s"].cast("string"), x["e"].cast("string")))
+        return F.array_join(F.concat(*[text(k) for k in pii.KINDS]), ",")
+
+    counts = [F.size(F.filter(k, lambda x: x["base"])).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(True), 256).alias("base_sha256"), listed(False).alias("spans"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(read(spark, sf_dir, "pages"))).drop("url")
 
@@ -74,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_bpe": op2_bpe,
     "op3_language_id": op3_language_id,
+    "op4_pii": op4_pii,
     "op5_warc": op5_warc,
     "op6_audio": op6_audio,
     "op7_simhash": op7_simhash,
