@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, bpe, decontamination, language_id, line_dedup, pii, simhash_dedup, url_filter, warc
+from .html import extract
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +74,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), items.alias("item_ids"), F.round(F.max("overlap"), 6).alias("overlap"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's lines, what was removed, and the digest of what is left."""
     docs = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -92,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op6_audio": op6_audio,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
+    "op9_html": op9_html,
     "op10_line_dedup": op10_line_dedup,
 }
 
