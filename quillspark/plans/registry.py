@@ -2,6 +2,241 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import LEGACY_WEIGHTS, SignalConfig
+from ..functions import stats
+from ..functions import text as t
+from ..operators import backtest, returns, scoring, signals, turns
+from ..sources import filings, pages, tables
+from ..sources.stage import staged
+from . import stand_ins as s
+from .oracle import ORACLE_SQL as ORACLE_SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: Rounded between steps, so that sums in another order rank the same.
+CONFIG = SignalConfig(digits=6)
+FWD = ["fwd_1d", "fwd_5d", "fwd_20d"]
+
+
+def _signals(spark: SparkSession, d: str, weights: dict[str, float] | None = None) -> DataFrame:
+    config = CONFIG if weights is None else replace(CONFIG, weights=weights)
+    return signals.build_signals(s.scores(spark, d), returns.fill_forward(s.prices(spark, d)), config, s.sectors(spark, d))
+
+
+def _tertiles(spark: SparkSession, d: str) -> DataFrame:
+    return backtest.tertiles(_signals(spark, d))
+
+
+def _round(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def daily_prices(spark: SparkSession, d: str) -> DataFrame:
+    return s.prices(spark, d)
+
+
+def wide_prices(spark: SparkSession, d: str) -> DataFrame:
+    """A table with a column for each of three suppliers, back in long form."""
+    wide = s.prices(spark, d).groupBy("date").pivot("ticker", [1, 2, 3]).agg(F.max("close"))
+    return returns.long_prices(wide).where("close is not null")
+
+
+def filled_prices(spark: SparkSession, d: str) -> DataFrame:
+    return returns.fill_forward(s.prices(spark, d))
+
+
+def forward_returns(spark: SparkSession, d: str) -> DataFrame:
+    return returns.forward_returns(s.scores(spark, d), returns.fill_forward(s.prices(spark, d)))
+
+
+def sector_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return signals.add_sector(s.scores(spark, d), s.sectors(spark, d)).select("ticker", "quarter", "date", "sector")
+
+
+def winsorized(spark: SparkSession, d: str) -> DataFrame:
+    return stats.winsorize(s.scores(spark, d), CONFIG.columns, digits=6).select("ticker", "quarter", *[f"{c}_w" for c in CONFIG.columns])
+
+
+def zscores(spark: SparkSession, d: str) -> DataFrame:
+    return signals.standardize(s.scores(spark, d), CONFIG).select("ticker", "quarter", *[f"{c}_z" for c in CONFIG.columns])
+
+
+def signal_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _signals(spark, d).select("ticker", "quarter", "date", "sector", *FWD, F.round("raw_signal", 8).alias("raw_signal"), "composite_z", "quintile")
+
+
+def legacy_signal_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _signals(spark, d, LEGACY_WEIGHTS).select("ticker", "quarter", F.round("raw_signal", 8).alias("raw_signal"))
+
+
+def pooled_ic(spark: SparkSession, d: str) -> DataFrame:
+    return signals.pooled_ic(staged(_signals(spark, d), "signals"), FWD).drop("p")
+
+
+def pooled_ic_p(spark: SparkSession, d: str) -> DataFrame:
+    return signals.pooled_ic(staged(_signals(spark, d), "signals"), FWD)
+
+
+def signal_summary(spark: SparkSession, d: str) -> DataFrame:
+    return signals.summary(_signals(spark, d))
+
+
+def tertile_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _tertiles(spark, d).select("ticker", "quarter", "composite_z", F.col("quintile").alias("tertile"))
+
+
+def bucket_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return backtest.bucket_distribution(_tertiles(spark, d))
+
+
+def quarterly_ic(spark: SparkSession, d: str) -> DataFrame:
+    return _round(backtest.ic_by_quarter(_tertiles(spark, d), "fwd_5d"), "ic")
+
+
+def icir(spark: SparkSession, d: str) -> DataFrame:
+    return backtest.icir(backtest.ic_by_quarter(_tertiles(spark, d), "fwd_5d"))
+
+
+def bucket_returns(spark: SparkSession, d: str) -> DataFrame:
+    return _round(backtest.bucket_returns(_tertiles(spark, d), "fwd_5d"), "mean", "std")
+
+
+def factor_decay(spark: SparkSession, d: str) -> DataFrame:
+    return backtest.factor_decay(_tertiles(spark, d), ["fwd_1d", "fwd_5d", "fwd_10d", "fwd_20d"])
+
+
+def long_short(spark: SparkSession, d: str) -> DataFrame:
+    return backtest.long_short(_tertiles(spark, d), "fwd_5d")
+
+
+def long_short_series(spark: SparkSession, d: str) -> DataFrame:
+    return _round(backtest.long_short_series(_tertiles(spark, d), "fwd_5d"), "ls")
+
+
+def bucket_spread(spark: SparkSession, d: str) -> DataFrame:
+    return backtest.bucket_spread(_tertiles(spark, d), "fwd_20d")
+
+
+def horizon_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return backtest.horizon_sweep(_signals(spark, d))
+
+
+def quarters_by_ticker(spark: SparkSession, d: str) -> DataFrame:
+    return backtest.quarters_by_ticker(s.scores(spark, d)).select("ticker", F.array_join("quarters", ",").alias("quarters"))
+
+
+def new_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls that a first half of them, by supplier, does not have yet."""
+    rows = s.scores(spark, d).select("ticker", "date", "quarter")
+    return tables.not_done(rows, rows.where("ticker % 2 = 0"), ["ticker", "date"])
+
+
+def union_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Old rows without a column and new rows, as one table."""
+    rows = s.scores(spark, d).select("ticker", "quarter", "lm_uncertainty")
+    return rows.where("ticker % 2 = 0").drop("lm_uncertainty").unionByName(rows.where("ticker % 2 = 1"), allowMissingColumns=True)
+
+
+def text_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences, guidance, words and uncertainty of every document."""
+    own = s.read(spark, d, "documents").select("doc_id", t.sentences(F.col("text")).alias("sents"), t.clean(F.col("text")).alias("clean"))
+    return own.select(
+        "doc_id", F.length("clean").cast("long").alias("n_clean"), F.size("sents").cast("long").alias("n_sents"), F.size(F.filter("sents", lambda x: t.is_guidance(x, s.GUIDANCE))).cast("long").alias("n_guidance"),
+        t.word_count(F.col("sents")).cast("long").alias("n_words"), t.lexicon_share(F.col("sents"), s.UNCERTAIN).alias("uncertainty"),
+    )
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    return turns.speaker_turns(s.elements(spark, d), turns.role_lookup(s.participants(spark, d)))
+
+
+def speaker_turns(spark: SparkSession, d: str) -> DataFrame:
+    return _turns(spark, d).select("doc_id", "section", F.col("turn").cast("long").alias("turn"), "speaker_name", "role", F.length("text").cast("long").alias("n_chars"), F.size("sentences").cast("long").alias("n_sents"))
+
+
+def role_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return turns.role_lookup(s.participants(spark, d))
+
+
+def _transcripts(spark: SparkSession, d: str) -> DataFrame:
+    lookup = turns.role_lookup(s.participants(spark, d))
+    found = s.elements(spark, d).groupBy("doc_id").agg(F.max((F.col("section") == "prepared_remarks").cast("int")).alias("p"), F.max((F.col("section") == "qa").cast("int")).alias("q"))
+    docs = found.select("doc_id", (F.col("p") == 1).alias("has_prepared"), (F.col("q") == 1).alias("has_qa"))
+    return turns.assemble(docs, _turns(spark, d), lookup)
+
+
+def transcripts(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda c: F.size(c).cast("long").alias(f"n_{c}")
+    return _transcripts(spark, d).select(
+        "doc_id", n("prepared_remarks"), n("qa_ceo"), n("qa_analyst"), F.col("word_count").cast("long").alias("word_count"), F.col("sentence_count").cast("long").alias("sentence_count"), F.array_join("parse_errors", ",").alias("parse_errors")
+    )
+
+
+def transcript_scores(spark: SparkSession, d: str) -> DataFrame:
+    own = _transcripts(spark, d).withColumns({"ticker": F.col("doc_id").cast("string"), "date": F.lit(""), "quarter": F.lit("Q1"), "source": F.lit("")})
+    done = scoring.score_transcripts(own, scoring.lexicon_scorer(s.POSITIVE, s.NEGATIVE))
+    return done.select("ticker", *[f"{k}_{c}" for k in ("prep", "qa_ceo", "qa_anal") for c in ("pos", "neg", "net")], "qa_delta")
+
+
+def file_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of every form made of orders, and their fields."""
+    o = s.read(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    date = F.date_format("day", "yyyy-MM-dd")
+    slug = F.concat(F.date_format("day", "MM-dd"), F.lit("-name-q"), F.quarter("day").cast("string"), F.lit("-"), (F.year("day") + 1).cast("string"), F.lit("-call"))
+    name = (
+        F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("ABC_"), date, F.lit("_"), s.quarter(F.col("day")), F.lit("_site.html")))
+        .when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("DE_"), slug, F.lit("_site.html")))
+        .when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("F_"), F.date_format("day", "MM-dd"), F.lit("-other_site.html")))
+        .otherwise(F.concat(F.lit("lower_"), date, F.lit("_site.html")))
+    )
+    return o.select("o_orderkey", t.file_name_fields(name, "_site").alias("f")).select("o_orderkey", "f.ticker", "f.date", "f.quarter")
+
+
+def url_dates(spark: SparkSession, d: str) -> DataFrame:
+    return s.read(spark, d, "pages").select("page_id", t.url_date(F.col("url"), 2).alias("url_date"))
+
+
+def gated_pages(spark: SparkSession, d: str) -> DataFrame:
+    return pages.gate(s.read(spark, d, "pages"), ("the ", "éa")).select("page_id")
+
+
+def page_participants(spark: SparkSession, d: str) -> DataFrame:
+    """What follows the first h1 beside it, read as participants."""
+    got = pages.page_parts(s.read(spark, d, "pages"), participants="", header_tag="h1", label_tag="b")
+    return got.select("page_id", F.posexplode("parts.participants").alias("pos", "line"))
+
+
+def page_elements(spark: SparkSession, d: str) -> DataFrame:
+    got = pages.page_parts(s.read(spark, d, "pages"), prepared="", qa="\0", header_tag="h1", label_tag="b")
+    return got.select("page_id", F.explode("parts.elements").alias("e")).select("page_id", "e.section", "e.pos", "e.is_label", "e.label", "e.text")
+
+
+def filing_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a user zipped as parallel arrays, of one form, with their addresses."""
+    e = s.read(spark, d, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").alias("k"), F.to_date("ts").cast("string").alias("day"), "event_type")
+    one = F.array_sort(F.collect_list(F.struct("event_id", "event_type", "day", "k")))
+    field = lambda f: F.transform("r", f)
+    recent = F.struct(
+        field(lambda x: x["event_type"]).alias("form"), field(lambda x: x["day"]).alias("filingDate"),
+        field(lambda x: F.concat(x["event_id"].cast("string"), F.lit("-24-"), F.coalesce(x["k"], F.lit("")))).alias("accessionNumber"), field(lambda x: F.concat(x["event_type"], F.lit(".htm"))).alias("primaryDocument"),
+    )
+    subs = e.groupBy("user_id").agg(one.alias("r")).select(filings.padded_cik(F.col("user_id")).alias("cik"), F.struct(recent.alias("recent")).alias("filings"))
+    rows = filings.filings(subs, "purchase")
+    return rows.select("cik", "date", "accession", filings.index_url("https://host/data", F.col("cik"), F.col("accession")).alias("index_url"), filings.document_url("https://host/data", F.col("cik"), F.col("accession"), F.col("primary_document")).alias("document_url"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        bucket_returns, daily_prices, wide_prices, filled_prices, forward_returns, sector_lookup, winsorized, zscores, signal_rows, legacy_signal_rows, pooled_ic, pooled_ic_p, signal_summary,
+        tertile_rows, bucket_distribution, quarterly_ic, icir, factor_decay, long_short, long_short_series, bucket_spread, horizon_sweep, quarters_by_ticker, new_calls, union_scores,
+        text_scores, role_lookup, speaker_turns, transcripts, transcript_scores, file_names, url_dates, gated_pages, page_participants, page_elements, filing_rows,
+    )
+}
 FLAGSHIP = "bucket_returns"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
