@@ -59,7 +59,7 @@ FOUND = "array<struct<s:int,e:int,m:string,pre:string,post:string>>"
 def _matches(text: Column, pattern: str) -> Column:
     """Every match with its code points [s, e) and the text around it: splits and matches come from the same search."""
     parts = F.split(text, pattern, -1)
-    rows = F.arrays_zip(parts, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.slice(parts, F.lit(2), F.lit(2**31 - 1)))
+    rows = F.arrays_zip(parts, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.slice(parts, F.lit(2), F.lit(2**30)))
 
     def add(acc: Column, x: Column) -> Column:
         before, match, after = x["0"], x["1"], x["2"]
