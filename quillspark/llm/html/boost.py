@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-TREES, DEPTH, RATE, BINS, LEAST = 60, 4, 0.25, 32, 8
+TREES, DEPTH, RATE, BINS, LEAST = 80, 5, 0.2, 32, 6
 
 
 @dataclass

@@ -10,12 +10,12 @@ import random
 from .nodes import LEXICON
 
 #: Pages that are generated.
-PAGES = 500
+PAGES = 700
 
 
 class Maker:
     def __init__(self, rng: random.Random) -> None:
-        self.rng, self.out, self.truth = rng, [], []
+        self.rng, self.out, self.truth, self.main_tag = rng, [], [], ""
 
     def words(self, low: int, high: int) -> str:
         rng = self.rng
@@ -57,10 +57,13 @@ class Maker:
         self.close(tag)
 
     def noise(self, inside: bool) -> None:
-        """One part that is no main text."""
+        """One part that is no main text; outside of a named article also text without any sign."""
         rng = self.rng
+        if not inside and self.main_tag in ("article", "main") and rng.random() < 0.12:
+            self.leaf(rng.choice(["p", "p", "h1", "h2", "div"]), self.sentences(1, 4) if rng.random() < 0.6 else self.words(1, 6), False)
+            return
         kind = rng.choice(["menu", "advert", "notice", "sidebar", "share", "form", "comment", "top", "bottom"])
-        tag = {"menu": ["nav", "nav", "div", "ul"], "advert": ["div", "aside", "section", "ins"], "notice": ["div", "div", "section", "dialog", "p"], "sidebar": ["aside", "aside", "div", "section"], "share": ["div", "ul"], "form": ["form", "form", "div", "section"], "comment": ["section", "div", "ol", "div"], "top": ["header", "header", "div"], "bottom": ["footer", "footer", "div"]}[kind]
+        tag = {"menu": ["nav", "nav", "div", "ul"], "advert": ["div", "div", "aside", "section", "ins", "p"], "notice": ["div", "div", "section", "dialog", "p", "p"], "sidebar": ["aside", "aside", "div", "section"], "share": ["div", "ul", "p"], "form": ["form", "form", "div", "section"], "comment": ["section", "div", "ol", "div"], "top": ["header", "header", "div"], "bottom": ["footer", "footer", "div"]}[kind]
         tag = rng.choice(tag)
         # an element without a telling name has a telling class
         named = tag in ("nav", "aside", "form", "header", "footer", "dialog")
@@ -68,7 +71,9 @@ class Maker:
         self.open(tag, False, group)
         self.out[-1] = self.out[-1] if named or "class" in self.out[-1] or "id=" in self.out[-1] else f'<{tag} class="{rng.choice(LEXICON[kind].split())}">'
         if kind in ("menu", "share"):
-            if tag in ("ul", "ol"):
+            if tag == "p":
+                self.out.append(" ".join(self.link(self.words(1, 2)) for _ in range(rng.randint(1, 4))))
+            elif tag in ("ul", "ol"):
                 for _ in range(rng.randint(2, 8)):
                     self.leaf("li", self.link(self.words(1, 3)), False)
             else:
@@ -95,19 +100,21 @@ class Maker:
                 self.leaf("p", self.sentences(1, 4), False)
         else:
             text = self.sentences(1, 3) if rng.random() < 0.7 else self.link(self.words(2, 8))
-            if rng.random() < 0.5:
+            if tag == "p" or rng.random() < 0.5:
                 self.out.append(text)
             else:
                 self.leaf(rng.choice(["p", "div"]), text, False)
-            if kind == "bottom" and rng.random() < 0.5:
+            if kind == "bottom" and tag != "p" and rng.random() < 0.5:
                 self.links(2, 6)
         self.close(tag)
 
     def main(self) -> None:
         rng = self.rng
-        tag = rng.choice(["article", "article", "article", "main", "div", "section", "td"])
-        self.open(tag, True, "content" if tag in ("div", "section", "td") or rng.random() < 0.3 else None)
-        if tag in ("div", "section") and "class" not in self.out[-1] and "id=" not in self.out[-1]:
+        tag = self.main_tag
+        named = tag in ("div", "section", "td") and rng.random() < 0.8
+        if tag:
+            self.open(tag, True, "content" if named or rng.random() < 0.3 else None)
+        if named and tag != "td" and "class" not in self.out[-1] and "id=" not in self.out[-1]:
             self.out[-1] = f'<{tag} class="{rng.choice(LEXICON["content"].split())}">'
         inner = rng.choice([None, None, None, "div", "section"])
         if inner:
@@ -156,12 +163,14 @@ class Maker:
             self.close(inner)
         if rng.random() < 0.3:
             self.noise(True)
-        self.close(tag)
+        if tag:
+            self.close(tag)
 
     def page(self) -> str:
         rng = self.rng
         self.out.append("<!DOCTYPE html><html><head><title>x</title><script>var a='</p>';</script></head>")
         self.open("body", False)
+        self.main_tag = rng.choice(["article", "article", "article", "article", "main", "div", "div", "section", "td", "", ""])
         wraps = [rng.choice(["div", "div", "section"]) for _ in range(rng.choice([0, 0, 1, 2]))]
         for _ in range(rng.randint(0, 3)):
             self.noise(False)

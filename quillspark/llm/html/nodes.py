@@ -22,6 +22,8 @@ LEXICON = {
     "content": "article content contents main body text story post entry page prose articlebody maincontent copy",
     "hidden": "hidden hide invisible",
 }
+#: The one group that speaks for main text.
+_GOOD = list(LEXICON).index("content")
 _GROUP = {token: k for k, words in enumerate(LEXICON.values()) for token in words.split()}
 GROUPS = len(LEXICON)
 # Elements with a feature of their own.
@@ -32,7 +34,7 @@ _STOPS = re.compile(r"[.!?;:,…。]")
 
 NUMERIC = [
     "depth", "children", "same siblings before", "same siblings", "elements below", "log characters", "own log characters", "link share", "stops per character", "characters per element",
-    "words per block", "share of page", "place in page", "parent link share", "parent characters per element", "parent share of page", "role", "roles above good", "roles above bad", "tokens",
+    "words per block", "share of page", "place in page", "parent link share", "parent characters per element", "parent share of page", "role", "roles above good", "roles above bad", "tokens", "telling tokens", "telling tokens above", "beside an article",
 ]
 FEATURES = len(TAGS) + 1 + 2 * GROUPS + len(NUMERIC)
 
@@ -86,7 +88,14 @@ def features(tree: Tree, owner: list[int]) -> tuple[np.ndarray, np.ndarray, np.n
             a[up[i]] += a[i]
     total = max(1, chars[0])
     x = np.zeros((len(nodes), FEATURES), np.float32)
-    good, bad = [0] * n, [0] * n
+    good, bad, told, above = [0] * n, [0] * n, [0] * n, [0] * n
+    leads = [0] * n  # 1: inside an article, or one is inside
+    named = [i for i in nodes if _ROLE.get(tree.tag[i], 0) > 0 or "main" in tree.tokens[i]]
+    for i in named:
+        while i >= 0 and not leads[i]:
+            leads[i] = 1
+            i = up[i]
+    inside = set(named)
     at = len(TAGS) + 1
     for k, i in enumerate(nodes):
         x[k, _TAG.get(tree.tag[i], len(TAGS))] = 1
@@ -94,6 +103,11 @@ def features(tree: Tree, owner: list[int]) -> tuple[np.ndarray, np.ndarray, np.n
             if w in _GROUP:
                 x[k, at + _GROUP[w]] = 1
         p = max(up[i], 0)
+        if p in inside:
+            inside.add(i)
+            leads[i] = 1
+        told[i] = sum(_GROUP.get(w, _GOOD) != _GOOD for w in tree.tokens[i])
+        above[i] = above[p] + told[p] if i else 0
         role = _ROLE.get(tree.tag[i], 0)
         if i:
             q = row[up[i]]
@@ -101,7 +115,7 @@ def features(tree: Tree, owner: list[int]) -> tuple[np.ndarray, np.ndarray, np.n
             good[i], bad[i] = good[p] + (_ROLE.get(tree.tag[p], 0) > 0), bad[p] + (_ROLE.get(tree.tag[p], 0) < 0)
         x[k, at + 2 * GROUPS :] = (
             tree.depth[i], children[i], before[i], same.get((up[i], tree.tag[i]), 1), below[i], np.log1p(chars[i]), np.log1p(own[i]), links[i] / max(1, chars[i]), stops[i] / max(1, chars[i]), chars[i] / below[i],
-            words[i] / max(1, blocks[i]), chars[i] / total, place[i] / total, links[p] / max(1, chars[p]), chars[p] / below[p], chars[p] / total, role, good[i], bad[i], len(tree.tokens[i]),
+            words[i] / max(1, blocks[i]), chars[i] / total, place[i] / total, links[p] / max(1, chars[p]), chars[p] / below[p], chars[p] / total, role, good[i], bad[i], len(tree.tokens[i]), told[i], above[i], bool(named) and not leads[i],
         )
     parents = np.array([row[up[i]] if i else -1 for i in nodes])
     return np.array(nodes), parents, x
