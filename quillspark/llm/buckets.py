@@ -22,6 +22,8 @@ PIVOTS = 16
 CHUNK = 8192
 #: Expected size of a bucket, from which more blocks are used.
 EXPECTED = 48
+#: Low bits of a key that number the choice of blocks.
+CHOICE = 127
 
 
 def references(n: int = PIVOTS, seed: int = 7) -> np.ndarray:
@@ -49,7 +51,7 @@ def block_masks(k: int, n: int, least: int = 2) -> list[int]:
 
 
 def bucket_rows(masks: list[int], pivots: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    mix = np.uint64(0x9E3779B97F4A7C15)
+    mix, low = np.uint64(0x9E3779B97F4A7C15), np.uint64(CHOICE)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,7 +61,8 @@ def bucket_rows(masks: list[int], pivots: bool) -> Callable[[Iterator[pa.RecordB
                 p = pivot_distances(fp)
                 own, names = own + [pa.array(p[:, 0]), pa.array(p[:, 1])], names + ["p0", "p1"]
             for i, mask in enumerate(masks):
-                key = (fp.view(np.uint64) & np.uint64(mask)) * mix + np.uint64(i)  # keys of different masks may meet by chance
+                # the masked bits mixed, and the choice's number; buckets that meet by chance do no harm
+                key = ((fp.view(np.uint64) & np.uint64(mask)) * mix) & ~low | np.uint64(i)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *own], ["key", *names])
 
     return rows
@@ -94,11 +97,14 @@ class Forest:
         self.label = p.copy()
 
 
-def spanning(key: np.ndarray, fp: np.ndarray, piv: np.ndarray, k: int, same: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+def spanning(
+    key: np.ndarray, fp: np.ndarray, piv: np.ndarray, k: int, same: Callable[[int, int], bool] | None = None, masks: list[int] | None = None
+) -> list[tuple[int, int]]:
     """Links that join the rows of each key as all links would: a spanning forest, so a dense group of n rows gives n - 1.
 
     Rows are ordered by the first pivot coordinate; partners further than k in it are never visited, and those further
-    than k in any other coordinate are discarded before the exact comparison. ``same`` may refuse a link.
+    than k in any other coordinate are discarded before the exact comparison. ``same`` may refuse a link. With ``masks``
+    a pair that shares several buckets is looked at in that of the first choice only.
     """
     order = np.lexsort((piv[:, 0], key))
     key, fp, piv = key[order], fp.view(np.uint64)[order], piv[order].astype(np.int16)
@@ -113,6 +119,11 @@ def spanning(key: np.ndarray, fp: np.ndarray, piv: np.ndarray, k: int, same: Cal
         for lo in range(1, piv.shape[1], 5):
             c = c[(np.abs(piv[c, lo : lo + 5] - piv[c + d, lo : lo + 5]) <= k).all(1)]
         c = c[np.bitwise_count(fp[c] ^ fp[c + d]) <= k]
+        if masks and c.size:
+            differ, choice = fp[c] ^ fp[c + d], key[c] & CHOICE
+            for j, mask in enumerate(masks):
+                fresh = (j >= choice) | ((differ & np.uint64(mask)) != 0)
+                c, differ, choice = c[fresh], differ[fresh], choice[fresh]
         joined = False
         for i in c.tolist():
             if forest.find(i) != forest.find(i + d) and (same is None or same(int(order[i]), int(order[i + d]))):
@@ -201,7 +212,7 @@ def _distances(t: pa.Table) -> np.ndarray:
     return np.bitwise_count(t.column("fp").to_numpy().view(np.uint64))[:, None]
 
 
-def link_rows(k: int, chunk: int | None, schema: pa.Schema, same: Callable[[str, str], bool] | None, mark: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def link_rows(k: int, chunk: int | None, schema: pa.Schema, same: Callable[[str, str], bool] | None, mark: bool, masks: list[int] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From sorted bucket rows: links a, b, or with ``mark`` the ids a that have a partner; and rows of large buckets."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,8 +225,8 @@ def link_rows(k: int, chunk: int | None, schema: pa.Schema, same: Callable[[str,
             if mark:
                 a = b = ids[partnered(key, fp, p, k)]
             else:
-                text = t.column("text") if same else None
-                found = spanning(key, fp, p, k, (lambda i, j: same(text[i].as_py(), text[j].as_py())) if same else None)  # noqa: B023
+                text = t.column("text").to_pylist() if same else None
+                found = spanning(key, fp, p, k, (lambda i, j: same(text[i], text[j])) if same else None, masks)  # noqa: B023
                 i = np.array(found, np.int64).reshape(-1, 2)
                 a, b = ids[i[:, 0]], ids[i[:, 1]]
             if len(a):
@@ -239,8 +250,9 @@ def near_links(
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())] + [(c, pa.string() if t == "string" else pa.int64()) for c, t in kinds])
     sort = lambda df: df.repartition("key").sortWithinPartitions("key")
     own = fps.select(*[c for c, _ in kinds if c not in ("key", "p0", "p1")])
-    rows = own.mapInArrow(bucket_rows(block_masks(k, n, least), pivots), ", ".join(f"{c} {t}" for c, t in kinds))
-    found = table(sort(rows).mapInArrow(link_rows(k, chunk, schema, same, mark), spark_schema), "found")
+    masks = block_masks(k, n, least)
+    rows = own.mapInArrow(bucket_rows(masks, pivots), ", ".join(f"{c} {t}" for c, t in kinds))
+    found = table(sort(rows).mapInArrow(link_rows(k, chunk, schema, same, mark, masks), spark_schema), "found")
     links, large = found.where("a is not null").select("a", "b"), found.where("a is null").drop("a", "b")
     if large.isEmpty():
         return links
@@ -254,4 +266,4 @@ def near_links(
         .withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
         .select(*[c for c, _ in kinds])
     )
-    return links.unionByName(sort(tiles).mapInArrow(link_rows(k, None, schema, same, mark), spark_schema).select("a", "b"))
+    return links.unionByName(sort(tiles).mapInArrow(link_rows(k, None, schema, same, mark, None), spark_schema).select("a", "b"))
