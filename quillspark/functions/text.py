@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import ANALYST_KEYWORDS, EXECUTIVE_KEYWORDS, GUIDANCE_KEYWORDS, UNCERTAINTY_WORDS
 
-#: White space as the reference sees it: Unicode, no-break space included.
+#: Unicode white space, no-break spaces included.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -90,7 +90,7 @@ def first_name(name: Column) -> Column:
 def file_name_fields(name: Column, suffix: str = "") -> Column:
     """(ticker, date, quarter) of ``T_YYYY-MM-DD_Qn-YYYY`` or ``T_MM-DD-slug``, else the parts between underscores.
 
-    A slug's fiscal year becomes the date's year, as in the reference; without a quarter date and quarter are empty.
+    A slug's fiscal year becomes the date's year; without a quarter date and quarter are empty.
     """
     stem = F.regexp_replace(name, rf"(?:{re.escape(suffix)})?(?:\.\w+)?$", "") if suffix else name
     full, slug = r"^([A-Z]+)_(\d{4}-\d{2}-\d{2})_(Q\d-\d{4})$", r"^([A-Z]+)_(\d{2}-\d{2})-(.+)$"
