@@ -122,5 +122,27 @@ d as (select page_id, octet_length(encode(html))::bigint as payload_bytes, sha25
 f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first from d)
 select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
        case when page_id <> first then first end as refers_to from f
+""",
+    # every item against every passage, by shingles alone
+    "op8_decontamination": r"""
+with b as (
+  select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w, list_filter(list_transform(string_split_regex(text, '[\n.!?]+\s*'), lambda x: regexp_extract_all(lower(x), '[\p{L}\p{N}_]+')), lambda x: len(x) > 0) as parts from benchmark),
+i as (
+  select item_id, w, case when len(parts) > 1 then list_distinct(flatten(parts[:len(parts) - 1])) else list_distinct(w) end as question, list_distinct(parts[len(parts)]) as answer from b where len(w) > 0),
+size as (select max(len(w)) as l from i),
+ig as (select distinct item_id, array_to_string(w[p:p + 4], ' ') as g from (select item_id, w, unnest(case when len(w) < 5 then [1] else range(1, len(w) - 3) end) as p from i)),
+total as (select item_id, count(*) as n from ig group by 1),
+d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as w from documents),
+dg as (select doc_id, p, len(w) as n, array_to_string(w[p:p + 4], ' ') as g from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d)),
+hit as (select doc_id, item_id, p, least(5, n - p + 1) as size, g, n from dg join ig using (g)),
+placed as (select doc_id, item_id, g, unnest(range(0, (p - 1) // l + 1)) * l as s, p, size, n, l from hit cross join size),
+share as (
+  select doc_id, item_id, s, count(distinct g) as found from placed where p - 1 + size <= s + 3 * l and (size = 5 or p - 1 = s and size = n - s) group by 1, 2, 3),
+good as (select doc_id, item_id, s, found * 1e0 / n as overlap from share join total using (item_id) where found >= 0.8 * n),
+kept as (
+  select good.doc_id, good.item_id, overlap, d.w[s + 1:s + 3 * l] as passage, question, answer from good join d on good.doc_id is not distinct from d.doc_id join i using (item_id) cross join size),
+pairs as (
+  select doc_id, item_id, overlap from kept where len(list_filter(question, lambda x: list_contains(passage, x))) >= 0.5 * len(question) and len(list_filter(answer, lambda x: list_contains(passage, x))) >= 0.5 * len(answer))
+select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct item_id)), ',') as item_ids, round(max(overlap), 6) as overlap from pairs group by 1
 """,
 }
