@@ -30,6 +30,23 @@ def lexicon_scorer(positive: Sequence[str], negative: Sequence[str]) -> Callable
     return score
 
 
+def pick_device() -> str:
+    """The fastest device of the worker that runs this: mps, cuda or cpu."""
+    try:
+        import torch
+    except ImportError:
+        return "cpu"
+    return "mps" if torch.backends.mps.is_available() else "cuda" if torch.cuda.is_available() else "cpu"
+
+
+def load_classifier(name: str, max_tokens: int = 512, batch: int = BATCH) -> Model:
+    """A text classification model by name, for ``model_scorer(lambda: load_classifier(name))``; needs transformers there."""
+    from transformers import pipeline
+
+    run = pipeline("text-classification", model=name, top_k=None, truncation=True, max_length=max_tokens, device=pick_device())
+    return lambda texts: [{x["label"].lower(): x["score"] for x in found} for found in run(texts, batch_size=batch)]
+
+
 def model_scorer(load: Callable[[], Model], batch: int = BATCH) -> Callable[[Column], Column]:
     """A scorer that loads a model once in every worker and hands it Arrow batches.
 
@@ -68,9 +85,10 @@ def section_scores(sents: DataFrame, scorer: Callable[[Column], Column], keys: S
 def score_transcripts(transcripts: DataFrame, scorer: Callable[[Column], Column], keys: Sequence[str] = ("ticker", "date", "quarter", "source", "word_count", "sentence_count")) -> DataFrame:
     """The 24 score columns for every transcript; sections without sentences score zero.
 
-    All sections are one exploded table and one aggregation; a transcript is known by a hash of its place, (ticker, date).
+    All sections are one exploded table and one aggregation. A transcript is known by a hash of its keys and sections, so
+    repeated rows are scored once and keep their repeats.
     """
-    own = transcripts.withColumn("_id", F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    own = transcripts.withColumn("_id", F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], *SECTIONS.values()))
     parts = F.array(*[F.struct(F.lit(name).alias("section"), F.col(c).alias("sents")) for name, c in SECTIONS.items()])
     long = own.dropDuplicates(["_id"]).select("_id", F.explode(parts).alias("p")).select("_id", "p.section", F.explode("p.sents").alias("sentence"))
     scores = section_scores(long, scorer, ["_id", "section"])

@@ -22,15 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written and read again. Plans above stay small, and lost executors cost no recomputation of what is below."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; what is there goes when the session's Python ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_remove)
     _written.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """``df`` written and read again. Plans above stay small, and lost executors cost no recomputation of what is below."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _remove() -> None:
