@@ -173,16 +173,14 @@ class Index:
                         out[k][i] = share
 
 
-def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", chars: int = INDEX_CHARS) -> list[Index]:
-    """Indexes of at most about ``chars`` characters each that together have every item."""
+def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", chars: int = INDEX_CHARS) -> Iterator[Index]:
+    """Indexes of about ``chars`` characters at most, one at a time, that together have every item."""
     total = benchmark.agg(F.sum(F.length(text_col))).first()[0] or 0
     parts = 1 + int(total) // chars
     items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
-    out = []
     for k in range(parts):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k) if parts > 1 else items
-        out.append(Index([(r["i"], r["t"]) for r in part.toArrow().to_pylist()]))
-    return out
+        yield Index([(r["i"], r["t"]) for r in part.toArrow().to_pylist()])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", chars: int = INDEX_CHARS) -> DataFrame:

@@ -2,57 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows in an Arrow batch handed to Python: bounds a worker's memory when texts are long.
-BATCH_ROWS = 1000
-
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set, which only a local master allows."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(remove_written)
-    _written.append(path)
-    return path
+from pyspark.sql import SparkSession
 
+from ..sources.stage import new_path, shared_dir
+from ..sources.stage import staged as table
 
-def remove_written() -> None:
-    """Delete the tables of this session, if it still runs."""
-    spark = SparkSession.getActiveSession()
-    while spark is not None and _written:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session ended meanwhile
-            return
+__all__ = ["bounded_batches", "new_path", "numbers", "shared_dir", "slices", "table"]
 
-
-def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows in an Arrow batch handed to Python: bounds a worker's memory when texts are long.
+BATCH_ROWS = 1000
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -63,10 +25,6 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    return [x or "" for x in batch.column(column).to_pylist()]
-
-
 def numbers(batch: pa.RecordBatch, column: str) -> np.ndarray:
     return batch.column(column).to_numpy(zero_copy_only=False)
 
@@ -75,7 +33,3 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
-
-
-def count_by(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rules that are broadcast at most; a larger list has to be filtered in parts.
-MAX_RULES = 5_000_000
+#: Rules of one broadcast trie at most; a longer list is applied in parts, of which the best match wins.
+MAX_RULES = 2_000_000
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -77,26 +77,35 @@ class UrlTrie:
         return found
 
 
-def judge_urls(df: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", default: str = "allow") -> DataFrame:
+def judge_urls(df: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", default: str = "allow", part: int = MAX_RULES) -> DataFrame:
     """``df`` with a struct ``judged`` (host, path, rule, verdict) for each row.
 
     Null, empty and malformed urls have no host and get the ``default`` verdict with a null rule. Rows keep their other
-    columns; one named ``judged`` is replaced.
+    columns; one named ``judged`` is replaced. ``part``: rules of one trie at most.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are broadcast at once")
-    trie = df.sparkSession.sparkContext.broadcast(rules)
+    columns = [_judged(df, rules[i : i + part], F.col(url_col)) for i in range(0, max(1, len(rules)), part)]
+    best = columns[0] if len(columns) == 1 else F.greatest(*columns)
+    own = df.withColumn("judged", best)
+    fields = ["host", "path", "rule"]
+    return own.withColumn("judged", F.struct(*[F.col(f"judged.{c}").alias(c) for c in fields], F.coalesce("judged.verdict", F.lit(default)).alias("verdict")))
+
+
+def _judged(df: DataFrame, rules: list[tuple[str, str]], url: F.Column) -> F.Column:
+    """Rank of the best rule (labels, path length, whether it blocks; null without one), then host, path, rule, verdict."""
+    shared = df.sparkSession.sparkContext.broadcast(rules)
     built: list[UrlTrie] = []
 
-    @F.pandas_udf("host string, path string, rule string, verdict string")
+    @F.pandas_udf("labels int, length int, blocks int, host string, path string, rule string, verdict string")
     def judged(urls: pd.Series) -> pd.DataFrame:
         if not built:
-            built.append(UrlTrie(trie.value))
+            built.append(UrlTrie(shared.value))
         out = []
         for url in urls:
             host, path = split_url(url)
-            rule, verdict = built[0].match(host, path) or (None, default)
-            out.append((host, path, rule, verdict))
-        return pd.DataFrame(out, columns=["host", "path", "rule", "verdict"])
+            rule, verdict = built[0].match(host, path) or (None, None)
+            name, slash, rest = (rule or "").partition("/")
+            rank = (0, 0, 0) if rule is None else (1 + name.count("."), len(slash + rest), int(verdict == "block"))
+            out.append((*rank, host, path, rule, verdict))
+        return pd.DataFrame(out, columns=["labels", "length", "blocks", "host", "path", "rule", "verdict"])
 
-    return df.withColumn("judged", judged(F.col(url_col)))
+    return judged(url)

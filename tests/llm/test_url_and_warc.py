@@ -39,8 +39,10 @@ def test_judge(spark):
         "http://a.net#/en": ("a.net", "", None, "allow"), "http:///p": ("", "/p", None, "allow"),
     }
     df = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)] + [(0, "", 2)], "page_id long, url string, judged int")
-    got = {(r.url): tuple(r.judged) for r in url_filter.judge_urls(df, URL_RULES).collect()}
-    assert got == urls
+    for part in (url_filter.MAX_RULES, 1, 3):
+        got = url_filter.judge_urls(df, URL_RULES, part=part)
+        assert got.columns == df.columns and {r.url: tuple(r.judged) for r in got.collect()} == urls
+    assert {r.judged.verdict for r in url_filter.judge_urls(df, []).collect()} == {"allow"}
     assert url_filter.judge_urls(df.limit(0), URL_RULES).count() == 0
 
 
