@@ -18,8 +18,12 @@ from .shared import numbers, table
 
 #: Reference fingerprints of the pivot table.
 PIVOTS = 16
-#: Distinct fingerprints of one bucket that one task compares; larger buckets are dealt out as pairs of chunks.
-CHUNK = 8192
+#: Rows of a bucket that are compared as they come; larger buckets are dealt out as pairs of chunks, of at least half as
+#: many rows each, at most CHUNK_MOST, and otherwise a 64th of the bucket.
+CHUNK, CHUNK_MOST = 512, 4096
+#: One row in so many is counted to find large buckets beforehand, and the most that are then told by a broadcast. What
+#: this misses is set aside as it comes, so results do not depend on it.
+SAMPLED, BROADCAST_KEYS = 64, 100_000
 #: Expected size of a bucket, from which more blocks are used.
 EXPECTED = 48
 #: Low bits of a key that number the choice of blocks.
@@ -251,19 +255,29 @@ def near_links(
     sort = lambda df: df.repartition("key").sortWithinPartitions("key")
     own = fps.select(*[c for c, _ in kinds if c not in ("key", "p0", "p1")])
     masks = block_masks(k, n, least)
-    rows = own.mapInArrow(bucket_rows(masks, pivots), ", ".join(f"{c} {t}" for c, t in kinds))
+    made = bucket_rows(masks, pivots), ", ".join(f"{c} {t}" for c, t in kinds)
+    rows = own.mapInArrow(*made)
+    some = own.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SAMPLED)) == 0).mapInArrow(*made)
+    counts = some.groupBy("key").agg((F.count(F.lit(1)) * SAMPLED).alias("rows"))
+    known = table(counts.where(F.col("rows") > chunk), "large")
+    tiled = None
+    if 0 < known.count() <= BROADCAST_KEYS:
+        told = rows.join(F.broadcast(known), "key", "left")
+        tiled, rows = _tiles(told.where("rows is not null"), chunk, kinds), told.where("rows is null").drop("rows")
     found = table(sort(rows).mapInArrow(link_rows(k, chunk, schema, same, mark, masks), spark_schema), "found")
     links, large = found.where("a is not null").select("a", "b"), found.where("a is null").drop("a", "b")
-    if large.isEmpty():
+    if not large.isEmpty():
+        more = _tiles(large.join(large.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key"), chunk, kinds)
+        tiled = more if tiled is None else tiled.unionByName(more)
+    if tiled is None:
         return links
-    half = chunk // 2
-    chunks = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("c"))
-    mine = F.pmod(F.xxhash64("id"), F.col("c")).cast("int")
-    tiles = (
-        large.join(chunks, "key")
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-        .withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
-        .select(*[c for c, _ in kinds])
-    )
-    return links.unionByName(sort(tiles).mapInArrow(link_rows(k, None, schema, same, mark, None), spark_schema).select("a", "b"))
+    return links.unionByName(sort(tiled).mapInArrow(link_rows(k, None, schema, same, mark, None), spark_schema).select("a", "b"))
+
+
+def _tiles(large: DataFrame, chunk: int, kinds: list[tuple[str, str]]) -> DataFrame:
+    """Rows of large buckets, each once for every pair of chunks that its own is part of; ``rows`` says how large."""
+    size = F.least(F.greatest(F.col("rows") / 64, F.lit(chunk / 2)), F.lit(CHUNK_MOST))
+    own = large.withColumn("c", F.ceil(F.col("rows") / size).cast("int"))
+    own = own.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    return own.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).select(*[c for c, _ in kinds])

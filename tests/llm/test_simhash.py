@@ -73,7 +73,7 @@ def test_nulls_repeats_and_empty(spark):
     assert simhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_large_buckets_and_all_plans(spark):
+def test_large_buckets_and_all_plans(spark, monkeypatch):
     """Dense balls of fingerprints, with chunks so small that buckets are dealt out as pairs of chunks."""
     rng = random.Random(5)
     fps = {0}
@@ -91,6 +91,7 @@ def test_large_buckets_and_all_plans(spark):
     df = spark.createDataFrame(list(enumerate(signed)), "id long, fp long")
     from quillspark.llm.components import components
 
-    for chunk, n in ((buckets.CHUNK, len(fps)), (10, len(fps)), (buckets.CHUNK, 10**7), (buckets.CHUNK, 10**13)):
+    for chunk, n, sampled in ((buckets.CHUNK, len(fps), 64), (10, len(fps), 64), (10, len(fps), 1), (20, len(fps), 4), (buckets.CHUNK, 10**7, 64), (buckets.CHUNK, 10**13, 64)):
+        monkeypatch.setattr(buckets, "SAMPLED", sampled)
         found = {r.node: r.component for r in components(buckets.near_links(df, 4, n, chunk)).collect()}
         assert [found.get(i, i) for i in range(len(fps))] == want
