@@ -151,8 +151,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit([r["t"] for r in got], [r["l"] for r in got])
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(id, held_out, lang_pred, score) per row, or with ``keep`` all columns of ``docs`` and a struct ``language``.
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """(id, held_out, lang_pred, score) per row, or ``docs`` with a struct (lang_pred, score) in the column ``keep``.
 
     Null texts and texts without a letter, and all texts without a model, get ``und`` and 0. Repeated rows and null ids
     are returned as they come.
@@ -187,7 +187,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             parts = [predict(s.iloc[i : i + SCORED].tolist()) for i in range(0, len(s), SCORED)]
             return pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1]]})
 
-        return docs.withColumn("language", language(F.col(text_col)))
+        return docs.withColumn(keep, language(F.col(text_col)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, SCORED):

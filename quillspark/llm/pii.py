@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import fresh, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -232,13 +232,14 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     """``docs`` with every span of ``found`` (of unique ids) replaced by its kind in angle brackets."""
     named = lambda kind: F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"<{kind}>").alias("k")))
     spans = F.concat(*[named(kind) for kind in KINDS])
-    own = found.select(F.col("id").alias("_id"), F.array_sort(spans).alias("_spans"))
-    joined = docs.join(own, F.col(id_col) == F.col("_id"), "left")
+    key, listed = fresh(docs, "_id", "_spans")
+    own = found.select(F.col("id").alias(key), F.array_sort(spans).alias(listed))
+    joined = docs.join(own, F.col(id_col) == F.col(key), "left")
     zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         keep = F.substring(F.col(text_col), acc["pos"] + 1, F.greatest(x["s"] - acc["pos"], F.lit(0)))
         return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.concat(acc["out"], keep, F.when(x["s"] >= acc["pos"], x["k"]).otherwise(F.lit(""))).alias("out"))
 
-    done = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["pos"] + 1, F.length(text_col))))
-    return joined.withColumn(text_col, F.when(F.size("_spans") > 0, done).otherwise(F.col(text_col))).drop("_id", "_spans")
+    done = F.aggregate(listed, zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["pos"] + 1, F.length(text_col))))
+    return joined.withColumn(text_col, F.when(F.size(listed) > 0, done).otherwise(F.col(text_col))).drop(key, listed)

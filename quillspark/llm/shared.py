@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.stage import new_path, shared_dir
 from ..sources.stage import staged as table
 
-__all__ = ["bounded_batches", "new_path", "numbers", "shared_dir", "slices", "table"]
+__all__ = ["bounded_batches", "fresh", "new_path", "numbers", "shared_dir", "slices", "table"]
 
 #: Rows in an Arrow batch handed to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 1000
@@ -33,3 +33,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have yet, whatever its columns are called; case does not tell names apart."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+        have.add(name.lower())
+    return out

@@ -28,7 +28,7 @@ def test_held_out_accuracy(spark):
             assert (r.lang_pred, r.score) == ("und", 0.0)
         else:
             assert r.lang_pred == (truth[r.id] or "yy")
-    kept = li.identify(df, model, keep=True)
+    kept = li.identify(df, model, keep="language")
     assert kept.columns == [*df.columns, "language"]
     assert sorted((str(r.doc_id), r.language.lang_pred) for r in kept.collect()) == sorted((str(r.id), r.lang_pred) for r in got)
 
