@@ -123,7 +123,7 @@ class Index:
         total = int(n.sum())
         posting = np.repeat(self.first[term] - (np.cumsum(n) - n), n) + np.arange(total)
         key = np.repeat(place, n) * self.blocks + self.block[posting]
-        sums = np.bincount(key, self.weight[posting], cell * self.blocks).reshape(cell, self.blocks)
+        sums = np.bincount(key, self.weight[posting], cell * self.blocks).astype(float).reshape(cell, self.blocks)
         sums[:-1] += sums[1:] + np.concatenate([sums[2:], np.zeros((1, self.blocks))])
         c, b = np.nonzero(sums >= 1 - self.bound)
         starts = np.array(first)
