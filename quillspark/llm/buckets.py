@@ -26,8 +26,8 @@ CHUNK, CHUNK_MOST = 512, 4096
 SAMPLED, BROADCAST_KEYS = 64, 100_000
 #: Expected size of a bucket, from which more blocks are used.
 EXPECTED = 48
-#: Low bits of a key that number the choice of blocks.
-CHOICE = 127
+#: Low bits of a key: the number of the choice of blocks, and whether it is a pair of chunks.
+CHOICE, TILE = 127, 128
 
 
 def references(n: int = PIVOTS, seed: int = 7) -> np.ndarray:
@@ -55,7 +55,7 @@ def block_masks(k: int, n: int, least: int = 2) -> list[int]:
 
 
 def bucket_rows(masks: list[int], pivots: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    mix, low = np.uint64(0x9E3779B97F4A7C15), np.uint64(CHOICE)
+    mix, low = np.uint64(0x9E3779B97F4A7C15), np.uint64(CHOICE | TILE)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +181,7 @@ def whole_keys(batches: Iterator[pa.RecordBatch], chunk: int | None) -> Iterator
             if first:
                 yield from _sorted_out(t.slice(0, first), chunk)
             rest = t.slice(first)
-            if chunk is not None and rest.num_rows > chunk:
+            if chunk is not None and rest.num_rows > chunk and not key[-1] & TILE:
                 large = key[-1]
                 yield rest, True
                 rest = rest.slice(0, 0)
@@ -201,7 +201,7 @@ def whole_keys(batches: Iterator[pa.RecordBatch], chunk: int | None) -> Iterator
 def _sorted_out(t: pa.Table, chunk: int | None) -> Iterator[tuple[pa.Table, bool]]:
     key = t.column("key").to_numpy()
     _, at, n = np.unique(key, return_inverse=True, return_counts=True)
-    big = n[at] > chunk if chunk is not None else np.zeros(len(key), bool)
+    big = (n[at] > chunk) & (key & TILE == 0) if chunk is not None else np.zeros(len(key), bool)
     if big.any():
         yield t.filter(pa.array(big)), True
         t = t.filter(pa.array(~big))
@@ -260,24 +260,22 @@ def near_links(
     some = own.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SAMPLED)) == 0).mapInArrow(*made)
     counts = some.groupBy("key").agg((F.count(F.lit(1)) * SAMPLED).alias("rows"))
     known = table(counts.where(F.col("rows") > chunk), "large")
-    tiled = None
     if 0 < known.count() <= BROADCAST_KEYS:
-        told = rows.join(F.broadcast(known), "key", "left")
-        tiled, rows = _tiles(told.where("rows is not null"), chunk, kinds), told.where("rows is null").drop("rows")
+        rows = _tiles(rows.join(F.broadcast(known), "key", "left"), chunk, kinds)
     found = table(sort(rows).mapInArrow(link_rows(k, chunk, schema, same, mark, masks), spark_schema), "found")
     links, large = found.where("a is not null").select("a", "b"), found.where("a is null").drop("a", "b")
-    if not large.isEmpty():
-        more = _tiles(large.join(large.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key"), chunk, kinds)
-        tiled = more if tiled is None else tiled.unionByName(more)
-    if tiled is None:
+    if large.isEmpty():
         return links
-    return links.unionByName(sort(tiled).mapInArrow(link_rows(k, None, schema, same, mark, None), spark_schema).select("a", "b"))
+    tiles = _tiles(large.join(large.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key"), chunk, kinds)
+    return links.unionByName(sort(tiles).mapInArrow(link_rows(k, chunk, schema, same, mark, masks), spark_schema).select("a", "b"))
 
 
-def _tiles(large: DataFrame, chunk: int, kinds: list[tuple[str, str]]) -> DataFrame:
-    """Rows of large buckets, each once for every pair of chunks that its own is part of; ``rows`` says how large."""
+def _tiles(buckets: DataFrame, chunk: int, kinds: list[tuple[str, str]]) -> DataFrame:
+    """Rows of buckets that ``rows`` says are large, once for every pair of chunks that their own is part of; others as they are."""
     size = F.least(F.greatest(F.col("rows") / 64, F.lit(chunk / 2)), F.lit(CHUNK_MOST))
-    own = large.withColumn("c", F.ceil(F.col("rows") / size).cast("int"))
+    own = buckets.withColumn("c", F.coalesce(F.ceil(F.col("rows") / size).cast("int"), F.lit(1)))
     own = own.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    return own.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).select(*[c for c, _ in kinds])
+    tile = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).bitwiseAND(F.lit(~(CHOICE | TILE)))
+    tile = tile.bitwiseOR(F.col("key").bitwiseAND(F.lit(CHOICE))).bitwiseOR(F.lit(TILE))
+    return own.withColumn("key", F.when(F.col("c") > 1, tile).otherwise(F.col("key"))).select(*[c for c, _ in kinds])
