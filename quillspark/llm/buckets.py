@@ -24,6 +24,8 @@ CHUNK, CHUNK_MOST = 512, 4096
 #: One row in so many is counted to find large buckets beforehand, and the most that are then told by a broadcast. What
 #: this misses is set aside as it comes, so results do not depend on it.
 SAMPLED, BROADCAST_KEYS = 64, 100_000
+#: Rows that a task holds before it compares them.
+HELD = 40_000
 #: Expected size of a bucket, from which more blocks are used.
 EXPECTED = 48
 #: Low bits of a key: the number of the choice of blocks, and whether it is a pair of chunks.
@@ -159,41 +161,42 @@ def partnered(key: np.ndarray, fp: np.ndarray, piv: np.ndarray, k: int) -> np.nd
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch], chunk: int | None) -> Iterator[tuple[pa.Table, bool]]:
-    """Tables of whole keys from sorted batches, and whether the rows belong to a key of over ``chunk`` rows."""
+    """Tables of whole keys from sorted batches, and whether the rows belong to a key of over ``chunk`` rows.
+
+    About HELD rows are held at once, however many a key has: one that is found to be large is passed on as it comes.
+    """
     held: list[pa.RecordBatch] = []
     large = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        if sum(b.num_rows for b in held) < 40_000:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) < HELD:
             continue
         t = pa.Table.from_batches(held)
         key = t.column("key").to_numpy()
         if large is not None:
-            cut = int(np.searchsorted(key != large, True)) if (key != large).any() else len(key)
-            cut = cut if cut < len(key) else len(key)
-            yield t.slice(0, cut), True
-            t, key = t.slice(cut), key[cut:]
-            large = None if len(key) else large
-        if len(key):
-            first = int(np.argmax(key == key[-1]))
-            if first:
-                yield from _sorted_out(t.slice(0, first), chunk)
-            rest = t.slice(first)
-            if chunk is not None and rest.num_rows > chunk and not key[-1] & TILE:
-                large = key[-1]
-                yield rest, True
-                rest = rest.slice(0, 0)
-            held = rest.to_batches()
-        else:
-            held = []
+            cut = int(np.argmax(key != large)) if (key != large).any() else len(key)
+            if cut:
+                yield t.slice(0, cut), True
+            t, key, held = t.slice(cut), key[cut:], []
+            if not len(key):
+                continue
+            large = None
+        first = int(np.argmax(key == key[-1]))
+        if first:
+            yield from _sorted_out(t.slice(0, first), chunk)
+        rest = t.slice(first)
+        held = rest.to_batches()
+        if chunk is not None and rest.num_rows > chunk and not key[-1] & TILE:
+            large, held = key[-1], []
+            yield rest, True
     if held:
         t = pa.Table.from_batches(held)
         if large is not None:
-            key = t.column("key").to_numpy()
-            yield t.filter(pa.array(key == large)), True
-            t = t.filter(pa.array(key != large))
+            mine = t.column("key").to_numpy() == large
+            if mine.any():
+                yield t.filter(pa.array(mine)), True
+                t = t.filter(pa.array(~mine))
         if t.num_rows:
             yield from _sorted_out(t, chunk)
 

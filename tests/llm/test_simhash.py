@@ -95,3 +95,30 @@ def test_large_buckets_and_all_plans(spark, monkeypatch):
         monkeypatch.setattr(buckets, "SAMPLED", sampled)
         found = {r.node: r.component for r in components(buckets.near_links(df, 4, n, chunk)).collect()}
         assert [found.get(i, i) for i in range(len(fps))] == want
+
+
+def test_whole_keys(monkeypatch):
+    """Keys stay together however batches fall, and large ones are passed on in any number of parts."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    for _ in range(200):
+        monkeypatch.setattr(buckets, "HELD", rng.choice([1, 5, 20]))
+        chunk = rng.choice([None, 2, 6])
+        keys = [k * 1000 for k in range(12) for _ in range(rng.choice([1, 1, 3, 9, 40]))]
+        keys = sorted((k & ~buckets.TILE) | (buckets.TILE if k // 1000 % 3 == 0 else 0) for k in keys)
+        batches, i = [], 0
+        while i < len(keys):
+            n = rng.randint(0, 8)
+            batches.append(pa.RecordBatch.from_arrays([pa.array(keys[i : i + n], pa.int64()), pa.array(range(i, min(i + n, len(keys))), pa.int64())], ["key", "id"]))
+            i += n
+        seen, ids, flags = {}, [], {}
+        for part, (t, large) in enumerate(buckets.whole_keys(iter(batches), chunk)):
+            assert t.num_rows
+            ids += t.column("id").to_pylist()
+            for k in t.column("key").to_pylist():
+                flags.setdefault(k, large)
+                assert flags[k] == large and (large or seen.setdefault(k, part) == part)
+        assert sorted(ids) == list(range(len(keys)))
+        for k, large in flags.items():
+            assert large == (chunk is not None and keys.count(k) > chunk and not k & buckets.TILE)
