@@ -9,16 +9,19 @@ from __future__ import annotations
 import functools
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, table
+from .shared import bounded_batches, new_path, table
 
 #: Samples a second as stored and as analysed; the ratio is UP / DOWN, and each phase of the filter has TAPS taps.
 STORED_RATE, RATE, UP, DOWN, TAPS = 16_000, 12_000, 3, 4, 16
@@ -30,6 +33,8 @@ BEGIN_DB, END_DB = 6.0, 9.0
 UNIT, PAD = 192, b" "
 #: Samples that are resampled, and frames that are transformed, at once: bounds memory for long sound.
 BLOCK_SAMPLES, BLOCK_FRAMES = 1 << 18, 2048
+#: Tensors from which a row group of a tensor file is closed.
+GROUP_TENSORS = 2048
 
 
 def padded(data: bytes) -> bytes:
@@ -217,3 +222,95 @@ def digests(media: DataFrame) -> DataFrame:
     return media.select("id", "n_bytes", "media").mapInArrow(
         rows, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
+
+
+_FILE = [("id", "long"), ("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string")]
+_PLACE = [("path", "string"), ("row_group", "int"), ("first", "long"), ("tensors", "long")]
+
+
+def _arrow(kinds: list[tuple[str, str]], rows: list[tuple]) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[t]) for k, (_, t) in enumerate(kinds)], [c for c, _ in kinds])
+
+
+def store_tensors(media: DataFrame) -> DataFrame:
+    """Write the tensors of all media files to the shared folder; a row per media file with digests and the tensors' place.
+
+    A partition writes a Parquet file (segment, begin_s, end_s, tensor) of the fixed-shape Arrow type. A task that is run
+    again writes a file of a new name; the table names those of the attempt that succeeded.
+    """
+    folder = new_path(media.sparkSession, "tensors")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        name, writer, group = f"part-{uuid.uuid4().hex}.parquet", None, 0
+        held, places = [], []
+
+        def write() -> None:
+            nonlocal writer, group, held
+            flat = np.concatenate([x[3].ravel() for x in held]) if held else np.empty(0, np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * TENSOR_FRAMES * MELS, pa.int32()), pa.array(flat, pa.float32()))
+            cols = [pa.array([x[k] for x in held], t) for k, t in enumerate((pa.int32(), pa.float64(), pa.float64()))]
+            t = as_tensor_column(pa.Table.from_arrays([*cols, lists], ["segment", "begin_s", "end_s", "tensor"]))
+            writer = writer or pq.ParquetWriter(base + "/" + name, t.schema, filesystem=store, compression="zstd")
+            writer.write_table(t, row_group_size=max(1, len(held)))
+            group, held = group + 1, []
+
+        for b in batches:
+            for i, n, m in zip(b.column("id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media").to_pylist()):
+                p, first = from_wav(m), len(held)
+                held.extend(features(p).tensors())
+                own = (i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest())
+                places.append((*own, f"{folder}/{name}", group, first, len(held) - first))
+                if len(held) >= GROUP_TENSORS:
+                    write()
+            yield _arrow(_FILE + _PLACE, places)
+            places = []
+        if held:
+            write()
+        if writer:
+            writer.close()
+
+    bounded_batches(media.sparkSession)
+    return table(media.select(F.col("id").cast("long"), "n_bytes", "media").mapInArrow(rows, ", ".join(f"{c} {t}" for c, t in _FILE + _PLACE)), "digests")
+
+
+def tensor_summary(t: pa.Table) -> str:
+    """Shape, segments, sounding frames, their mean decibels, and a digest of spans and frames of one media file's tensors."""
+    begin, end = t.column("begin_s").to_numpy(), t.column("end_s").to_numpy()
+    frames = np.rint(((end - begin) * RATE - FRAME) / HOP).astype(np.int64) + 1
+    x = t.column("tensor").combine_chunks()
+    x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+    x = x.to_numpy_ndarray()
+    sound = np.rint(x[np.arange(TENSOR_FRAMES) < frames[:, None]] * 10).astype("<i2")
+    digest = hashlib.sha256(np.stack([t.column("segment").to_numpy().astype("<f8"), begin, end], 1).astype("<f8").tobytes())
+    digest.update(sound.tobytes())
+    segments_ = len(np.unique(t.column("segment").to_numpy()))
+    return f"{len(x)}x{TENSOR_FRAMES}x{MELS};{segments_};{int(frames.sum())};{int(sound.sum(dtype=np.int64) // sound.size)};{digest.hexdigest()[:32]}"
+
+
+def stored_digests(stored: DataFrame) -> DataFrame:
+    """The rows of ``store_tensors`` with the summary of the tensors as read back, instead of their place."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, group, file, source, t = None, None, None, None, None
+        for b in batches:
+            found = []
+            for r in b.to_pylist():
+                if r["path"] != path:
+                    if source is not None:
+                        source.close()
+                    path, group = r["path"], None
+                    store, at = fs.FileSystem.from_uri(path)
+                    source = store.open_input_file(at)
+                    file = pq.ParquetFile(source)
+                if r["row_group"] != group:
+                    group = r["row_group"]
+                    t = file.read_row_group(group)
+                found.append((*(r[c] for c, _ in _FILE), tensor_summary(t.slice(r["first"], r["tensors"]))))
+            yield _arrow([*_FILE, ("feature", "string")], found)
+        if source is not None:
+            source.close()
+
+    return stored.mapInArrow(rows, ", ".join(f"{c} {t}" for c, t in [*_FILE, ("feature", "string")]))

@@ -59,7 +59,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.digests(audio.store(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+    stored = audio.store_tensors(audio.store(read(spark, sf_dir, "documents")))
+    return audio.stored_digests(stored).withColumnRenamed("id", "doc_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,23 @@ def test_tables(spark, tmp_path):
     assert pq.read_table(tmp_path / "t.parquet").column("tensor").type == out.column("tensor").type
     assert audio.digests(audio.store(df.limit(0))).count() == 0
     assert audio.as_tensor_column(audio.tensors(audio.store(df.limit(0))).toArrow()).num_rows == 0
+
+
+def test_stored_tensors(spark):
+    import pyarrow.parquet as pq
+
+    texts = [None, "", "x" * 192, "word " * 5000, "word " * 5000, "é" * 100]
+    media = audio.store(spark.createDataFrame([(i if i != 2 else None, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    stored = audio.store_tensors(media)
+    places = stored.collect()
+    for r, m in ((r, m) for r in places for m in media.collect() if m.id == r.id):
+        t = pq.ParquetFile(r.path.removeprefix("file://")).read_row_group(r.row_group)
+        assert t.schema.field("tensor").type.shape == [audio.TENSOR_FRAMES, audio.MELS]
+        own, want = t.slice(r["first"], r.tensors), list(audio.features(audio.from_wav(m.media)).tensors())
+        assert list(zip(*(own.column(c).to_pylist() for c in ("segment", "begin_s", "end_s")))) == [w[:3] for w in want]
+        assert np.array_equal(own.column("tensor").combine_chunks().to_numpy_ndarray(), np.stack([w[3] for w in want]))
+    got = {r.id: r for r in audio.stored_digests(stored).collect()}
+    assert len(got) == len(texts) and got[3].feature == got[4].feature and got[0].feature == got[1].feature != got[5].feature
+    for r in audio.digests(media).collect():
+        assert r[:-1] == got[r.id][:-1] and r.feature.split(";")[1:3] == got[r.id].feature.split(";")[1:3]
+    assert audio.stored_digests(audio.store_tensors(audio.store(spark.createDataFrame([], "doc_id long, text string")))).count() == 0
