@@ -28,8 +28,6 @@ SAMPLED, BROADCAST_KEYS = 64, 100_000
 HELD = 40_000
 #: Expected size of a bucket, from which more blocks are used.
 EXPECTED = 48
-#: Values of a signature, and how many of two that share a band must be equal.
-VALUES, AGREE = 16, 4
 #: Low bits of a key: the number of the choice of blocks, and whether it is a pair of chunks.
 CHOICE, TILE = 127, 128
 
@@ -105,14 +103,12 @@ class Forest:
         self.label = p.copy()
 
 
-def spanning(
-    key: np.ndarray, fp: np.ndarray, piv: np.ndarray, k: int, same: Callable[[int, int], bool] | None = None, masks: list[int] | None = None
-) -> list[tuple[int, int]]:
+def spanning(key: np.ndarray, fp: np.ndarray, piv: np.ndarray, k: int, masks: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that join the rows of each key as all links would: a spanning forest, so a dense group of n rows gives n - 1.
 
     Rows are ordered by the first pivot coordinate; partners further than k in it are never visited, and those further
-    than k in any other coordinate are discarded before the exact comparison. ``same`` may refuse a link. With ``masks``
-    a pair that shares several buckets is looked at in that of the first choice only.
+    than k in any other coordinate are discarded before the exact comparison. With ``masks`` a pair that shares several
+    buckets is looked at in that of the first choice only.
     """
     order = np.lexsort((piv[:, 0], key))
     key, fp, piv = key[order], fp.view(np.uint64)[order], piv[order].astype(np.int16)
@@ -134,8 +130,7 @@ def spanning(
                 c, differ, choice = c[fresh], differ[fresh], choice[fresh]
         joined = False
         for i in c.tolist():
-            if forest.find(i) != forest.find(i + d) and (same is None or same(int(order[i]), int(order[i + d]))):
-                forest.union(i, i + d)
+            if forest.union(i, i + d):
                 out.append((int(order[i]), int(order[i + d])))
                 joined = True
         if joined:
@@ -143,76 +138,6 @@ def spanning(
     return out
 
 
-def partnered(key: np.ndarray, fp: np.ndarray, piv: np.ndarray, k: int) -> np.ndarray:
-    """Which rows have another of their key within k bits. Pairs of rows that both have one are not visited again."""
-    order = np.lexsort((piv[:, 0], key))
-    key, fp, first = key[order], fp.view(np.uint64)[order], piv[order, 0].astype(np.int16)
-    n, mark = len(key), np.zeros(len(key), bool)
-    alive, d = np.arange(n), 0
-    while alive.size:
-        d += 1
-        alive = alive[alive + d < n]
-        alive = alive[key[alive] == key[alive + d]]
-        alive = alive[first[alive + d] - first[alive] <= k]
-        c = alive[~(mark[alive] & mark[alive + d])]
-        c = c[np.bitwise_count(fp[c] ^ fp[c + d]) <= k]
-        mark[c] = mark[c + d] = True
-    out = np.zeros(n, bool)
-    out[order] = mark
-    return out
-
-
-def agreeing(key: np.ndarray, sig: np.ndarray, same: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Of rows of one key, those with AGREE equal signature bytes: without ``same`` which rows have such a partner, with it
-    a spanning forest of the pairs that it accepts."""
-    order = np.argsort(key, kind="stable")
-    key, sig = key[order], sig[order]
-    n, mark, forest, out = len(key), np.zeros(len(key), bool), Forest(len(key)), []
-    alive, d = np.arange(n), 0
-    while alive.size:
-        d += 1
-        alive = alive[alive + d < n]
-        alive = alive[key[alive] == key[alive + d]]
-        c = alive[~(mark[alive] & mark[alive + d])] if same is None else alive[forest.label[alive] != forest.label[alive + d]]
-        c = c[(sig[c] == sig[c + d]).sum(1) >= AGREE]
-        if same is None:
-            mark[c] = mark[c + d] = True
-            continue
-        joined = False
-        for i in c.tolist():
-            if forest.find(i) != forest.find(i + d) and same(int(order[i]), int(order[i + d])):
-                joined = forest.union(i, i + d)
-                out.append((int(order[i]), int(order[i + d])))
-        if joined:
-            forest.relabel()
-    found = np.zeros(n, bool)
-    found[order] = mark
-    return found, out
-
-
-def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket row for each band of two values of each signature of VALUES 16-bit values; ``sig`` may hold several.
-
-    Buckets of different bands or signatures have different keys. One byte of each value travels as p0 and p1.
-    """
-    mix, low = np.uint64(0x9E3779B97F4A7C15), np.uint64(CHOICE | TILE)
-    for batch in batches:
-        size = np.array([len(x) for x in batch.column("sig").to_pylist()], np.int64) // (2 * VALUES)
-        names = [c for c in batch.schema.names if c != "sig"]
-        all_values = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, VALUES)
-        at = np.cumsum(size) - size
-        for s in range(int(size.max(initial=0))):
-            rows = np.flatnonzero(size > s)
-            values = all_values[at[rows] + s]
-            p = np.ascontiguousarray(values.astype(np.uint8)).view(np.int64)
-            own = [batch.column(c).take(pa.array(rows)) for c in names]
-            for b in range(VALUES // 2):
-                pair = values[:, 2 * b].astype(np.uint64) << np.uint64(16) | values[:, 2 * b + 1]
-                choice = np.uint64(s * VALUES // 2 + b)
-                key = ((pair << np.uint64(7) | choice) * mix) & ~low | choice
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *own, pa.array(p[:, 0]), pa.array(p[:, 1])], ["key", *names, "p0", "p1"])
-
-
 def whole_keys(batches: Iterator[pa.RecordBatch], chunk: int | None) -> Iterator[tuple[pa.Table, bool]]:
     """Tables of whole keys from sorted batches, and whether the rows belong to a key of over ``chunk`` rows.
 
@@ -272,8 +197,11 @@ def _distances(t: pa.Table) -> np.ndarray:
     return np.bitwise_count(t.column("fp").to_numpy().view(np.uint64))[:, None]
 
 
-def link_rows(k: int, chunk: int | None, schema: pa.Schema, same: Callable[[str, str], bool] | None, mark: bool, masks: list[int] | None, bands: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From sorted bucket rows: links a, b, or with ``mark`` the ids a that have a partner; and rows of large buckets."""
+Found = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
+
+
+def _group_rows(find: Found, chunk: int | None, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From sorted bucket rows: what ``find`` makes of whole buckets, as a and b; and rows of large buckets."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, large in whole_keys(batches, chunk):
@@ -281,15 +209,7 @@ def link_rows(k: int, chunk: int | None, schema: pa.Schema, same: Callable[[str,
                 own = [pa.nulls(t.num_rows, pa.int64())] * 2 + [t.column(c).combine_chunks() for c in schema.names[2:]]
                 yield pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in own], schema=schema)
                 continue
-            ids, key, fp, p = t.column("id").to_numpy(), t.column("key").to_numpy(), t.column("fp").to_numpy(), _distances(t)
-            if mark:
-                a = b = ids[agreeing(key, p)[0] if bands else partnered(key, fp, p, k)]
-            else:
-                text = t.column("text").to_pylist() if same else None
-                own = (lambda i, j: same(text[i], text[j])) if same else None  # noqa: B023
-                found = agreeing(key, p, own)[1] if bands else spanning(key, fp, p, k, own, masks)
-                i = np.array(found, np.int64).reshape(-1, 2)
-                a, b = ids[i[:, 0]], ids[i[:, 1]]
+            a, b = find(t)
             if len(a):
                 rest = [pa.nulls(len(a), schema.field(c).type) for c in schema.names[2:]]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *rest], schema=schema)
@@ -297,38 +217,45 @@ def link_rows(k: int, chunk: int | None, schema: pa.Schema, same: Callable[[str,
     return rows
 
 
-def near_links(
-    fps: DataFrame, k: int, n: int, chunk: int = CHUNK, pivots: bool = True, least: int = 2, same: Callable[[str, str], bool] | None = None, mark: bool = False, bands: bool = False
-) -> DataFrame:
-    """Links (a, b) that connect the ids of ``fps`` (id, fp: long, and text where ``same`` is given) as all pairs within
-    k bits would that ``same`` accepts; with ``mark`` only (a, a) for every id that has a partner.
+def in_buckets(source: DataFrame, bucketed: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], names: list[str], find: Found, chunk: int = CHUNK) -> DataFrame:
+    """(a, b) that ``find`` gives for the rows of every bucket; ``bucketed`` makes them of the rows of ``source``: a key
+    and further columns ``names``, all long, among them id.
 
-    With ``bands`` rows meet by the bands of their signatures (column sig) instead of blocks of fp, and pairs are those with
-    AGREE equal values. ``n``: rows of ``fps``. Buckets over ``chunk`` rows are cut into chunks whose pairs are separate groups, so no
-    task holds a whole one and no pair is lost.
+    Buckets over ``chunk`` rows are cut into chunks whose pairs are separate groups, so no task holds a whole one and no
+    pair is lost.
     """
-    kinds = [("key", "long"), ("fp", "long"), ("id", "long")] + [("text", "string")] * (same is not None) + [("p0", "long"), ("p1", "long")] * (pivots or bands)
-    spark_schema = "a long, b long, " + ", ".join(f"{c} {t}" for c, t in kinds)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())] + [(c, pa.string() if t == "string" else pa.int64()) for c, t in kinds])
+    names = ["key", *names]
+    made = ", ".join(f"{c} long" for c in names)
+    schema = pa.schema([(c, pa.int64()) for c in ["a", "b", *names]])
     sort = lambda df: df.repartition("key").sortWithinPartitions("key")
-    own = fps.select(*[c for c, _ in kinds if c not in ("key", "p0", "p1")], *["sig"] * bands)
-    masks = None if bands else block_masks(k, n, least)
-    made = band_rows if bands else bucket_rows(masks, pivots), ", ".join(f"{c} {t}" for c, t in kinds)
-    rows = own.mapInArrow(*made)
-    some = own.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SAMPLED)) == 0).mapInArrow(*made)
+    rows = source.mapInArrow(bucketed, made)
+    some = source.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SAMPLED)) == 0).mapInArrow(bucketed, made)
     counts = some.groupBy("key").agg((F.count(F.lit(1)) * SAMPLED).alias("rows"))
     known = table(counts.where(F.col("rows") > chunk), "large")
     if 0 < known.count() <= BROADCAST_KEYS:
-        rows = _tiles(rows.join(F.broadcast(known), "key", "left"), chunk, kinds)
-    found = table(sort(rows).mapInArrow(link_rows(k, chunk, schema, same, mark, masks, bands), spark_schema), "found")
+        rows = _tiles(rows.join(F.broadcast(known), "key", "left"), chunk, names)
+    found = table(sort(rows).mapInArrow(_group_rows(find, chunk, schema), f"a long, b long, {made}"), "found")
     links, large = found.where("a is not null").select("a", "b"), found.where("a is null").drop("a", "b")
     if large.isEmpty():
         return links
-    tiles = _tiles(large.join(large.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key"), chunk, kinds)
-    return links.unionByName(sort(tiles).mapInArrow(link_rows(k, chunk, schema, same, mark, masks, bands), spark_schema).select("a", "b"))
+    tiles = _tiles(large.join(large.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key"), chunk, names)
+    return links.unionByName(sort(tiles).mapInArrow(_group_rows(find, chunk, schema), f"a long, b long, {made}").select("a", "b"))
+
+
+def near_links(fps: DataFrame, k: int, n: int, chunk: int = CHUNK, least: int = 2) -> DataFrame:
+    """Links (a, b) that connect the ids of ``fps`` (id, fp: long) as all pairs within k bits would. ``n``: rows of ``fps``."""
+    masks = block_masks(k, n, least)
+
+    def find(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, key, fp = (t.column(c).to_numpy() for c in ("id", "key", "fp"))
+        piv = np.ascontiguousarray(np.stack([t.column("p0").to_numpy(), t.column("p1").to_numpy()], 1)).view(np.uint8)
+        i = np.array(spanning(key, fp, piv, k, masks), np.int64).reshape(-1, 2)
+        return ids[i[:, 0]], ids[i[:, 1]]
+
+    return in_buckets(fps.select("fp", "id"), bucket_rows(masks, True), ["fp", "id", "p0", "p1"], find, chunk)
 
 
-def _tiles(buckets: DataFrame, chunk: int, kinds: list[tuple[str, str]]) -> DataFrame:
+def _tiles(buckets: DataFrame, chunk: int, names: list[str]) -> DataFrame:
     """Rows of buckets that ``rows`` says are large, once for every pair of chunks that their own is part of; others as they are."""
     size = F.least(F.greatest(F.col("rows") / 64, F.lit(chunk / 2)), F.lit(CHUNK_MOST))
     own = buckets.withColumn("c", F.coalesce(F.ceil(F.col("rows") / size).cast("int"), F.lit(1)))
@@ -336,4 +263,4 @@ def _tiles(buckets: DataFrame, chunk: int, kinds: list[tuple[str, str]]) -> Data
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     tile = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).bitwiseAND(F.lit(~(CHOICE | TILE)))
     tile = tile.bitwiseOR(F.col("key").bitwiseAND(F.lit(CHOICE))).bitwiseOR(F.lit(TILE))
-    return own.withColumn("key", F.when(F.col("c") > 1, tile).otherwise(F.col("key"))).select(*[c for c, _ in kinds])
+    return own.withColumn("key", F.when(F.col("c") > 1, tile).otherwise(F.col("key"))).select(*names)
