@@ -58,12 +58,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component_id) per row of ``docs``: the least id reachable over links of at most ``max_bits`` bits.
 
     Null and empty texts have fingerprint zero and link like any other. Rows repeated with one id stay repeated. A row
-    with a null id is returned with its group's component, but never names one, unless all ids of its fingerprint are
-    null: then its component is null. Other columns are ignored.
+    with a null id links like any other and gets its group's component, but never names one: only a group without any id
+    has a null component. Other columns are ignored.
     """
     prints = table(fingerprints(docs, id_col, text_col), "prints")
     distinct = table(prints.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
-    found = near_links(distinct.where("id is not null"), max_bits, distinct.count())
-    groups = components(found)
-    named = distinct.join(groups, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    # fingerprints are the nodes, so that those without an id link too
+    groups = components(near_links(distinct.select("fp", F.col("fp").alias("id")), max_bits, distinct.count()))
+    grouped = table(distinct.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("group")), "grouped")
+    least = grouped.groupBy("group").agg(F.min("id").alias("component_id"))
+    named = grouped.join(least, "group").select("fp", "component_id")
     return prints.join(named, "fp").select("id", "fp", "component_id")

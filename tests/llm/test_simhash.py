@@ -73,6 +73,14 @@ def test_nulls_repeats_and_empty(spark):
     assert simhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_through_rows_without_an_id(spark, monkeypatch):
+    """Two documents that only a row without an id joins are one group."""
+    prints = [(1, 0b0), (None, 0b1111), (2, 0b11111111), (None, 1 << 60 | 0b1111), (None, 0xFFFF << 40)]
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda docs, i, t: docs.select("id", "fp"))
+    got = sorted(((r.fp, r.component_id) for r in simhash_dedup.near_duplicates(spark.createDataFrame(prints, "id long, fp long")).collect()))
+    assert got == [(0b0, 1), (0b1111, 1), (0b11111111, 1), (0xFFFF << 40, None), (1 << 60 | 0b1111, 1)]
+
+
 def test_large_buckets_and_all_plans(spark, monkeypatch):
     """Dense balls of fingerprints, with chunks so small that buckets are dealt out as pairs of chunks."""
     rng = random.Random(5)
