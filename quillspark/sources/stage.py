@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_registered: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,8 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses; what is there goes when the session's Python ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_remove)
+    if not _registered:
+        _registered.append(atexit.register(_remove))
     _written.append(path)
     return path
 
@@ -35,14 +37,29 @@ def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written and read again. Plans above stay small, and lost executors cost no recomputation of what is below."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no later step reads, and let Spark drop the shuffle files of plans that are done."""
+    for df in tables:
+        _written.remove(df._staged_at)
+        _delete(df.sparkSession, df._staged_at)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _remove() -> None:
     spark = SparkSession.getActiveSession()
     while spark is not None and _written:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, _written.pop())
         except Exception:  # the session ended meanwhile
             return
