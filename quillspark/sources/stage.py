@@ -42,13 +42,18 @@ def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete staged tables that no later step reads, and let Spark drop the shuffle files of plans that are done."""
+    """Delete staged tables that no later step reads, and release what made them."""
     for df in tables:
         _written.remove(df._staged_at)
         _delete(df.sparkSession, df._staged_at)
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+    release(tables[0].sparkSession)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
