@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import numbers, table
+from .shared import numbers, release, table
 
 #: Reference fingerprints of the pivot table.
 PIVOTS = 16
@@ -235,6 +235,8 @@ def in_buckets(source: DataFrame, bucketed: Callable[[Iterator[pa.RecordBatch]],
     if 0 < known.count() <= BROADCAST_KEYS:
         rows = _tiles(rows.join(F.broadcast(known), "key", "left"), chunk, names)
     found = table(sort(rows).mapInArrow(_group_rows(find, chunk, schema), f"a long, b long, {made}"), "found")
+    del rows, some, counts
+    release(source.sparkSession)
     links, large = found.where("a is not null").select("a", "b"), found.where("a is null").drop("a", "b")
     if large.isEmpty():
         return links

@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.stage import discard, new_path, shared_dir
+from ..sources.stage import discard, new_path, release, shared_dir
 from ..sources.stage import staged as table
 
-__all__ = ["bounded_batches", "discard", "fresh", "new_path", "numbers", "shared_dir", "slices", "table"]
+__all__ = ["bounded_batches", "discard", "fresh", "new_path", "numbers", "release", "shared_dir", "slices", "table"]
 
 #: Rows in an Arrow batch handed to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 1000
