@@ -76,11 +76,22 @@ def test_nulls_repeats_and_empty(spark):
 def test_links_through_rows_without_an_id(spark, monkeypatch):
     """Two documents that only a row without an id joins are one group."""
     prints = [(1, 0b0), (None, 0b1111), (2, 0b11111111), (None, 1 << 60 | 0b1111), (None, 0xFFFF << 40)]
-    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda docs, i, t: docs.select("id", "fp"))
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda docs, i, t: docs)
     got = sorted(((r.fp, r.component_id) for r in simhash_dedup.near_duplicates(spark.createDataFrame(prints, "id long, fp long")).collect()))
     assert got == [(0b0, 1), (0b1111, 1), (0b11111111, 1), (0xFFFF << 40, None), (1 << 60 | 0b1111, 1)]
 
 
+def test_one_row_of_each_group(spark):
+    """By row: repeated ids with other texts, repeated rows and rows without an id are judged like any other."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta", "some quite other words stand in this text", "and a third one that is like neither of them")
+    rows = [(5, a, "x"), (2, b, "x"), (5, b, "y"), (5, a, "z"), (None, a, "n"), (None, c, "n"), (None, c, "m"), (9, None, "p"), (9, None, "p"), (None, "", "q")]
+    got = simhash_dedup.dedup_documents(spark.createDataFrame(rows, "doc_id long, text string, _id string"))
+    found = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert got.columns == ["doc_id", "text", "_id"]
+    assert found == sorted([(2, b), (5, a), (None, c), (9, None)], key=str)
+    assert simhash_dedup.dedup_documents(got.limit(0)).count() == 0
+
+
 def test_large_buckets_and_all_plans(spark, monkeypatch):
     """Dense balls of fingerprints, with chunks so small that buckets are dealt out as pairs of chunks."""
     rng = random.Random(5)
