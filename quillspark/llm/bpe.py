@@ -1,7 +1,7 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text is split at ASCII white space, which the tokenizer's own splitting pattern never crosses, and each distinct run
-is encoded once per batch of work. A long unsplit piece is halved down to leaves, the leaves are encoded as one parallel
+Where a tokenizer's own splitting never crosses white space, a text is split there, and each distinct run is encoded once
+per batch of work. A long unsplit piece is halved down to leaves, the leaves are encoded as one parallel
 batch, and neighbours are concatenated up the tree: a window around each join is encoded anew and grown until both
 sides agree with it on whole tokens, which makes the spliced sequence the encoding of the whole.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import bounded_batches
 
 #: Longest piece that is encoded as it is, first reach of a window, and consecutive tokens that have to agree.
-LEAF, REACH, AGREE = 512, 64, 3
+LEAF, REACH, AGREE = 24, 64, 3
 #: Distinct runs remembered by a worker; then it starts anew. Only speed depends on it.
 REMEMBERED = 400_000
 
@@ -30,7 +30,11 @@ Token = tuple[int, int]  # start in the piece, id
 
 
 class TreeBpe:
-    """Encoder and decoder for a BPE tokenizer file of the tokenizers library whose splits never cross white space."""
+    """Encoder and decoder for a BPE tokenizer file of the tokenizers library.
+
+    Texts are split at white space only where the file's own splitting never crosses it and drops it; with any other
+    file the whole text is one run.
+    """
 
     def __init__(self, path: str, leaf: int = LEAF) -> None:
         from tokenizers import Tokenizer
@@ -50,6 +54,10 @@ class TreeBpe:
         self.lowers = self.full.normalizer is not None and self.full.normalizer.normalize_str("Aa") == "aa"
         self.opens = [s.encode()[:2] for s in special]
 
+        probe = "a b  ab 1\tx.y\n z \r\n. b\x0b'\x0cs a"
+        apart = [i for x in probe.split() for i in self.full.encode(x, add_special_tokens=False).ids]
+        self.by_space = self.full.encode(probe, add_special_tokens=False).ids == apart and self.full.decoder is None
+
     # --- one unsplit piece
     def _leaves(self, pieces: list[tuple[int, str]]) -> list[list[Token]]:
         found = self.bare.encode_batch([s for _, s in pieces], add_special_tokens=False)
@@ -111,20 +119,17 @@ class TreeBpe:
 
     def learn(self, new: list[bytes]) -> None:
         """Encode runs; the short ones as one text, whose tokens are dealt out by their offsets."""
-        short = [p for p in new if len(p) <= self.leaf]
-        if self.full.decoder is None and short:
+        short, own = [p for p in new if len(p) <= self.leaf], {}
+        if short:
             found = [p.decode() for p in short]
             e = self.full.encode(" ".join(found), add_special_tokens=False)
             starts = np.cumsum([0] + [len(x) + 1 for x in found])
             cuts = np.searchsorted(np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], starts).tolist()
             ids = e.ids
             own = {p: ids[a:b] for p, a, b in zip(short, cuts, cuts[1:])}
-        else:
-            own = dict(zip(short, (e.ids for e in self.full.encode_batch([p.decode() for p in short], add_special_tokens=False))))
         for p in new:
             x = own[p] if p in own else self.run(p.decode())
-            text = b" ".join([self.token[i] for i in x]) if self.full.decoder is None else self.full.decode(x, skip_special_tokens=False).encode()
-            self.known[p] = (len(x), b" ".join([self.decimal[i] for i in x]), text)
+            self.known[p] = (len(x), b" ".join([self.decimal[i] for i in x]), b" ".join([self.token[i] for i in x]))
 
     def runs(self, text: str) -> list[tuple[int, bytes, bytes]]:
         """(tokens, decimal ids, decoded text) of every run that has tokens.
@@ -133,6 +138,9 @@ class TreeBpe:
         separates it too, so fewer distinct runs are encoded.
         """
         data = text.encode("utf-8", "replace")
+        if not self.by_space:
+            ids = self.run(data.decode())
+            return [(len(ids), b" ".join([self.decimal[i] for i in ids]), self.full.decode(ids, skip_special_tokens=False).encode())] if ids else []
         if self.lowers and not any(x in data for x in self.opens):
             data = _STOPS.sub(rb" \1", data.lower())
         parts = data.split()
@@ -148,7 +156,7 @@ class TreeBpe:
 
     def decode(self, ids: list[int]) -> str:
         """The library's text of the ids, decoded in halves."""
-        if len(ids) <= 1 << 16 or self.full.decoder is not None:
+        if len(ids) <= 1 << 16 or not self.by_space:
             return self.full.decode(ids, skip_special_tokens=False)
         half = len(ids) // 2
         return f"{self.decode(ids[:half])} {self.decode(ids[half:])}"

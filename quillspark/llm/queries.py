@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +13,6 @@ from .html import extract
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Place of the public vocabulary files, which are not part of the repository.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
@@ -24,7 +21,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vocabulary(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """Place of a public vocabulary file; these are not part of the repository."""
+    return public_tokenizers.path(name)
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

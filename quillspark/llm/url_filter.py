@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ class Node:
     segments: dict[str, Node] = field(default_factory=dict)
     #: Rules that end here: what the rest of the path has to start with, and the rule and its verdict.
     rests: dict[str, tuple[str, str]] = field(default_factory=dict)
+    #: Lengths of the rests, longest first: a rest is looked up by its length, however many there are.
+    sizes: list[int] = field(default_factory=list)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -49,6 +54,10 @@ class UrlTrie:
             for segment in whole:
                 node = node.segments.setdefault(segment, Node())
             if node.rests.get(rest, ("", ""))[1] != "block":
+                if rest not in node.rests:
+                    at = bisect_left(node.sizes, -len(rest), key=lambda n: -n)
+                    if node.sizes[at : at + 1] != [len(rest)]:
+                        node.sizes.insert(at, len(rest))
                 node.rests[rest] = (rule, verdict)
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
@@ -68,43 +77,54 @@ class UrlTrie:
         """The longest rule below ``node`` that the path, split at its slashes, starts with."""
         found = None
         for k, part in enumerate(parts):
-            rest = max((r for r in node.rests if part.startswith(r)), key=len, default=None)
-            if rest is not None:
-                found = node.rests[rest]
+            for n in node.sizes[bisect_left(node.sizes, -len(part), key=lambda n: -n) :]:
+                if part[:n] in node.rests:
+                    found = node.rests[part[:n]]
+                    break
             node = node.segments.get(part) if k < len(parts) - 1 else None
             if node is None:
                 break
         return found
 
 
+#: Tries of this worker, by their list of rules and its part: built once a worker, not once a task.
+_tries: dict[tuple[str, int], UrlTrie] = {}
+
+
+def _trie(name: str, part: int, rules: Broadcast) -> UrlTrie:
+    if (name, part) not in _tries:
+        for other in [k for k in _tries if k[0] != name]:
+            del _tries[other]
+        _tries[name, part] = UrlTrie(rules.value)
+    return _tries[name, part]
+
+
 def judge_urls(df: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", default: str = "allow", part: int = MAX_RULES) -> DataFrame:
     """``df`` with a struct ``judged`` (host, path, rule, verdict) for each row.
 
     Null, empty and malformed urls have no host and get the ``default`` verdict with a null rule. Rows keep their other
     columns; one named ``judged`` is replaced. ``part``: rules of one trie at most.
     """
-    columns = [_judged(df, rules[i : i + part], F.col(url_col)) for i in range(0, max(1, len(rules)), part)]
+    name = uuid.uuid4().hex
+    columns = [_judged(df, rules[i : i + part], F.col(url_col), name, i) for i in range(0, max(1, len(rules)), part)]
     best = columns[0] if len(columns) == 1 else F.greatest(*columns)
     own = df.withColumn("judged", best)
     fields = ["host", "path", "rule"]
     return own.withColumn("judged", F.struct(*[F.col(f"judged.{c}").alias(c) for c in fields], F.coalesce("judged.verdict", F.lit(default)).alias("verdict")))
 
 
-def _judged(df: DataFrame, rules: list[tuple[str, str]], url: F.Column) -> F.Column:
+def _judged(df: DataFrame, rules: list[tuple[str, str]], url: F.Column, name: str, part: int) -> F.Column:
     """Rank of the best rule (labels, path length, whether it blocks; null without one), then host, path, rule, verdict."""
     shared = df.sparkSession.sparkContext.broadcast(rules)
-    built: list[UrlTrie] = []
 
     @F.pandas_udf("labels int, length int, blocks int, host string, path string, rule string, verdict string")
     def judged(urls: pd.Series) -> pd.DataFrame:
-        if not built:
-            built.append(UrlTrie(shared.value))
-        out = []
+        trie, out = _trie(name, part, shared), []
         for url in urls:
             host, path = split_url(url)
-            rule, verdict = built[0].match(host, path) or (None, None)
-            name, slash, rest = (rule or "").partition("/")
-            rank = (0, 0, 0) if rule is None else (1 + name.count("."), len(slash + rest), int(verdict == "block"))
+            rule, verdict = trie.match(host, path) or (None, None)
+            own, slash, rest = (rule or "").partition("/")
+            rank = (0, 0, 0) if rule is None else (1 + own.count("."), len(slash + rest), int(verdict == "block"))
             out.append((*rank, host, path, rule, verdict))
         return pd.DataFrame(out, columns=["labels", "length", "blocks", "host", "path", "rule", "verdict"])
 

@@ -39,6 +39,19 @@ def test_same_as_library(library):
             assert own.digests(text) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
 
 
+def test_a_file_that_keeps_white_space():
+    """Byte-level BPE has white space in its tokens, so texts are not split there."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), bpe.TreeBpe(path, 24)
+    assert not own.by_space and bpe.TreeBpe(PATH).by_space
+    for text in [*samples(), "Hello, world! \n\n  x  " * 40]:
+        text = text.encode("utf-8", "replace").decode()
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert own.encode(text) == ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False), text[:80]
+
+
 def test_columns_and_digests(spark, library):
     rows = [(1, None, "x"), (1, "the the", "y"), (None, "", "z"), (4, "word " * 3000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, token_ids string")
