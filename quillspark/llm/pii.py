@@ -2,8 +2,9 @@
 
 Patterns propose spans; a regex, a gazetteer, a context and a shape labeler vote on each. Votes are counted by their
 pattern, a bounded table, from which expectation-maximisation estimates the labelers' reliabilities without labels.
-The posteriors train a logistic span classifier over votes and lengths, which decides on every span that the base
-patterns alone would not give. Base spans always stay.
+The posteriors are the soft labels from which a logistic classifier learns the spans' own traits: length, separators,
+repeated digits, first character, word before and character after. It decides on every span that the base patterns alone
+would not give. Base spans always stay. Work grows in proportion to a document's spans, but for sorting.
 """
 
 from __future__ import annotations
@@ -53,26 +54,58 @@ CONTEXT, ACCEPT, ROUNDS = 40, 0.5, 40
 #: Share of a kind's spans as which that belief counts.
 TRUST = 0.2
 LABELERS = ("regex", "gazetteer", "context", "shape")
-FOUND = "array<struct<s:int,e:int,m:string,pre:string,post:string>>"
+#: Elements that one step of a scan copies at most, and how often blocks are taken of blocks.
+SCAN_BLOCK, SCAN_LEVELS = 64, 3
+#: Words before a span are told apart by so many values of a hash.
+WORDS = 8
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scan(values: Column, zero: int, merge: Callable[[Column, Column], Column], levels: int = SCAN_LEVELS) -> Column:
+    """What ``merge`` makes of all elements before each one, in an array of ints; ``merge`` is associative.
+
+    An array cannot be appended to without a copy, so blocks are scanned apart, and then the blocks' totals.
+    """
+
+    def plain(block: Column) -> Column:  # one longer than the block: its total comes last
+        first = F.array(F.lit(zero)).cast("array<int>")
+        return F.aggregate(block, first, lambda acc, x: F.concat(acc, F.array(merge(F.element_at(acc, -1), x))).cast("array<int>"))
+
+    if levels == 1:
+        return F.slice(plain(values), F.lit(1), F.size(values))
+
+    def whole(v: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / SCAN_BLOCK).cast("int"))
+        blocks = F.transform(places, lambda b: plain(F.slice(v, b * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK))))
+        return _let(blocks, lambda own: joined(own, _scan(F.transform(own, lambda x: F.element_at(x, -1)), zero, merge, levels - 1)))
+
+    def joined(blocks: Column, before: Column) -> Column:
+        return F.flatten(F.zip_with(blocks, before, lambda x, a: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda y: merge(a, y))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(v))
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """Every match with its code points [s, e) and the text around it: splits and matches come from the same search."""
-    parts = F.split(text, pattern, -1)
-    rows = F.arrays_zip(parts, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.slice(parts, F.lit(2), F.lit(2**30)))
-
-    def add(acc: Column, x: Column) -> Column:
-        before, match, after = x["0"], x["1"], x["2"]
-        s = acc["pos"] + F.length(before)
-        one = F.struct(
-            s.alias("s"), (s + F.length(match)).alias("e"), match.alias("m"),
-            F.substring(before, F.greatest(F.length(before) - (CONTEXT - 1), F.lit(1)), F.lit(CONTEXT)).alias("pre"), F.substring(after, 1, 1).alias("post"),
-        )
-        more = F.struct((s + F.length(match)).alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
-        return F.when(match.isNull(), acc).otherwise(more)
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(FOUND).alias("out"))
-    return F.aggregate(rows, zero, add, lambda acc: acc["out"])
+    def placed(x: Column) -> Column:
+        parts, found = x["parts"], x["found"]
+        steps = F.transform(found, lambda m, i: F.length(parts[i]) + F.length(m))
+
+        def one(m: Column, i: Column, at: Column) -> Column:
+            before = parts[i]
+            s = at[i] + F.length(before)
+            near = F.substring(before, F.greatest(F.length(before) - (CONTEXT - 1), F.lit(1)), F.lit(CONTEXT))
+            return F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m"), near.alias("pre"), F.substring(parts[i + 1], 1, 1).alias("post"))
+
+        return _let(_scan(steps, 0, lambda a, y: a + y), lambda at: F.transform(found, lambda m, i: one(m, i, at)))
+
+    own = F.struct(F.split(text, pattern, -1).alias("parts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return _let(own, placed)
 
 
 def _luhn(digits: Column) -> Column:
@@ -96,7 +129,8 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 def _voted(kind: str, loose: bool) -> Callable[[Column], Column]:
-    """(s, e, base, votes) of a match x: the votes as kind, source, a sign for each labeler, and the length's class."""
+    """(s, e, base, votes, traits) of a match x: the votes as kind, source and a sign for each labeler, and the traits as
+    kind, source and a letter for each of six."""
 
     def vote(yes: Column, no: Column) -> Column:
         return F.when(yes, "+").when(no, "-").otherwise("0")
@@ -112,8 +146,20 @@ def _voted(kind: str, loose: bool) -> Callable[[Column], Column]:
             vote(pre.rlike(FOR[kind]), pre.rlike(AGAINST)),
             vote(~inside, F.lit(True)),
         ]
-        size = F.when(F.length(m) < 12, "s").when(F.length(m) < 20, "m").otherwise("l")
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), valid.alias("base"), F.concat(F.lit(f"{kind}|{'loose' if loose else 'found'}|"), *votes, F.lit("|"), size).alias("votes"))
+        word = F.lower(F.regexp_extract(pre, r"(\p{L}+)\P{L}*$", 1))
+        has = lambda c: F.when(m.rlike(c), "1").otherwise("0")
+        traits = [
+            F.when(F.length(m) < 12, "s").when(F.length(m) < 20, "m").otherwise("l"),
+            F.concat(has(r"\."), has(r"[ -]"), has(r"[(\[]")),
+            has(r"([0-9])\1{3}"),
+            F.when(m.rlike(r"^[A-Za-z]"), "a").when(m.rlike(r"^[0-9]"), "0").otherwise("x"),
+            F.when(word == "", "-").otherwise(F.pmod(F.xxhash64(word), F.lit(WORDS)).cast("string")),
+            F.when(post.rlike(r"^[A-Za-z0-9_]"), "a").when(post.rlike(r"^\s?$"), "s").otherwise("x"),
+        ]
+        source = f"{kind}|{'loose' if loose else 'found'}|"
+        return F.struct(
+            x["s"].alias("s"), x["e"].alias("e"), valid.alias("base"), F.concat(F.lit(source), *votes).alias("votes"), F.concat(F.lit(source), F.concat_ws("|", *traits)).alias("traits")
+        )
 
     return one
 
@@ -121,7 +167,7 @@ def _voted(kind: str, loose: bool) -> Callable[[Column], Column]:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, and for each kind the voted matches of its patterns; one row per document."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    none = F.array().cast("array<struct<s:int,e:int,base:boolean,votes:string>>")
+    none = F.array().cast("array<struct<s:int,e:int,base:boolean,votes:string,traits:string>>")
     columns = []
     for kind in KINDS:
         sources = [(BASE[kind], GUARD[kind], False)] + ([(LOOSE[kind], LOOSE_GUARD[kind], True)] if kind in LOOSE else [])
@@ -157,74 +203,90 @@ def reliabilities(counts: dict[str, int]) -> dict[str, dict]:
     return out
 
 
-def _features(pattern: str) -> list[str]:
-    kind, source, votes, size = pattern.split("|")
-    return ["bias", kind, f"{kind} {source}", f"size {size}"] + [f"{name} {v}" for name, v in zip(LABELERS, votes)]
+def _features(traits: str) -> list[str]:
+    kind, source, *own = traits.split("|")
+    return ["bias", kind, f"{kind} {source}"] + [f"{kind} {k} {v}" for k, v in enumerate(own)]
 
 
-def classifier(counts: dict[str, int], posterior: dict[str, float], rounds: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> dict[str, float]:
-    """Logistic weights of the features, fit to the posteriors; a pattern weighs as the root of its count."""
-    weights = dict.fromkeys((f for p in counts for f in _features(p)), 0.0)
-    rows = [(_features(p), posterior[p], math.sqrt(n)) for p, n in sorted(counts.items())]
-    total = sum(w for *_, w in rows)
+def classifier(rows: dict[str, tuple[int, float]], rounds: int = 200, rate: float = 2.0, ridge: float = 1e-3) -> dict[str, float]:
+    """Logistic weights of the traits' features, fit to (spans, mean posterior); traits weigh as the root of their spans."""
+    weights = dict.fromkeys((f for t in rows for f in _features(t)), 0.0)
+    known = [(_features(t), y, math.sqrt(n)) for t, (n, y) in sorted(rows.items())]
+    total = sum(w for *_, w in known)
     for _ in range(rounds):
         slope = {f: ridge * w for f, w in weights.items()}
-        for names, y, w in rows:
+        for names, y, w in known:
             e = w / total * (1 / (1 + math.exp(-sum(weights[f] for f in names))) - y)
             for f in names:
                 slope[f] += e
         for f, s in slope.items():
-            weights[f] -= 4 * rate * s
+            weights[f] -= rate * s
     return weights
 
 
-def probability(weights: dict[str, float], pattern: str) -> float:
-    return 1 / (1 + math.exp(-sum(weights.get(f, 0.0) for f in _features(pattern))))
+def probability(weights: dict[str, float], traits: str) -> float:
+    return 1 / (1 + math.exp(-sum(weights.get(f, 0.0) for f in _features(traits))))
 
 
-def accepted_patterns(counts: dict[str, int]) -> list[str]:
-    """Vote patterns that the span classifier takes."""
-    known = reliabilities(counts)
-    posterior = {p: q for k in known.values() for p, q in k["posterior"].items()}
-    weights = classifier(counts, posterior)
-    return sorted(p for p in counts if probability(weights, p) >= ACCEPT)
+def accepted_traits(found: DataFrame) -> list[str]:
+    """Traits that the span classifier takes, learned from all spans of ``found``.
 
+    Both tables that come to the driver are bounded whatever the number of spans: kinds x sources x 3^4 votes, and kinds
+    x sources x 5184 traits.
+    """
+    spans = found.select(F.explode(F.concat(*[F.col(c) for c in found.columns if c != "id"])).alias("x"))
+    counts = {r["votes"]: r["count"] for r in spans.groupBy(F.col("x.votes").alias("votes")).count().collect()}
+    posterior = {p: q for k in reliabilities(counts).values() for p, q in k["posterior"].items()}
+    if not posterior:
+        return []
+    belief = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(posterior.items()) for x in pair]), F.col("votes"))
+    both = spans.groupBy(F.col("x.traits").alias("traits"), F.col("x.votes").alias("votes")).count()
+    known = both.groupBy("traits").agg(F.sum("count").alias("n"), F.sum(belief * F.col("count")).alias("y"))
+    rows = {r["traits"]: (r["n"], r["y"] / r["n"]) for r in known.collect()}
+    weights = classifier(rows)
+    return sorted(t for t in rows if probability(weights, t) >= ACCEPT)
+
+
+def _clear(xs: Column, ys: Column) -> Column:
+    """The spans of ``xs`` that overlap none of ``ys``, sorted: no end before is beyond their start, no start after before their end."""
+    far = 2**31 - 1
+    bare = lambda a, own: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(own).alias("own")))
 
-def _longest(kind: str) -> Callable[[Column], Column]:
-    """Whether a span is the longest, then first, of those of its kind that it overlaps."""
+    def swept(every: Column) -> Column:
+        ends = _scan(F.transform(every, lambda x: F.when(x["own"], 0).otherwise(x["e"])), 0, F.greatest)
+        starts = _scan(F.reverse(F.transform(every, lambda x: F.when(x["own"], far).otherwise(x["s"]))), far, F.least)
 
-    def keeps(x: Column) -> Column:
-        size = lambda z: z["e"] - z["s"]
-        apart = lambda y: (x["e"] <= y["s"]) | (y["e"] <= x["s"])
-        return F.forall(f"_{kind}", lambda y: apart(y) | (size(y) < size(x)) | ((size(y) == size(x)) & (y["s"] >= x["s"])))
+        def kept(ends: Column, starts: Column) -> Column:
+            free = F.filter(every, lambda x, i: x["own"] & (ends[i] <= x["s"]) & (starts[i] >= x["e"]))
+            return F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
 
-    return keeps
+        return _let(ends, lambda a: _let(F.reverse(starts), lambda b: kept(a, b)))
+
+    plain = F.transform(xs, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    swept_all = _let(F.array_sort(F.concat(bare(xs, True), bare(ys, False))), swept)
+    return F.when((F.size(xs) == 0) | (F.size(ys) == 0), plain).otherwise(swept_all)
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, and arrays ``email``, ``ip``, ``card``, ``phone`` of (s, e, base), by start; one row per document.
 
     Null and empty texts have none. Ids may be null or repeated, and other columns are ignored. Further spans never
-    overlap a base span of any kind, nor a longer further span of their own kind.
+    overlap a base span of any kind, nor does one of the looser patterns overlap another span of its own kind.
     """
     found = table(candidates(docs, id_col, text_col), "spans")
-    every = F.concat(*[F.col(c) for c in found.columns if c != "id"])
-    # at most kinds x sources x 3^4 votes x 3 lengths patterns, whatever the number of spans
-    patterns = found.select(F.explode(every).alias("x")).groupBy(F.col("x.votes").alias("votes")).count()
-    accepted = accepted_patterns({r["votes"]: r["count"] for r in patterns.collect()})
-    taken = F.array(*[F.lit(p) for p in accepted]) if accepted else F.array().cast("array<string>")
+    accepted = accepted_traits(found)
     base = F.concat(*[F.filter(f"{k}_found", lambda x: x["base"]) for k in KINDS])
     own = found.withColumn("_base", base)
-    for kind in KINDS:
-        more = F.concat(F.col(f"{kind}_found"), F.col(f"{kind}_loose")) if kind in LOOSE else F.col(f"{kind}_found")
-        own = own.withColumn(f"_{kind}", F.when(F.size(more) > 0, F.filter(more, lambda x: ~x["base"] & F.array_contains(taken, x["votes"]))).otherwise(more))
-    clear = lambda x, y: (x["e"] <= y["s"]) | (y["e"] <= x["s"])
+    taken = lambda c: F.filter(c, lambda x: ~x["base"] & x["traits"].isin(accepted)) if accepted else F.slice(c, 1, 0)
+    own = own.withColumns({f"_{c}": taken(c) for c in found.columns if c != "id"})
+    own = own.select("id", *[f"{k}_found" for k in KINDS], *[_clear(F.col(f"_{c}"), F.col("_base")).alias(f"_{c}") for c in found.columns if c != "id"])
     out = []
     for kind in KINDS:
-        free = F.filter(F.col(f"_{kind}"), lambda x: F.forall("_base", lambda y: clear(x, y)))
-        free = F.filter(free, _longest(kind))
-        spans = F.concat(F.filter(f"{kind}_found", lambda x: x["base"]), free)
-        out.append(F.array_sort(F.transform(spans, lambda x: F.struct(x["s"], x["e"], x["base"]))).alias(kind))
+        spans = lambda a, b: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(b).alias("base")))
+        parts = [spans(F.filter(f"{kind}_found", lambda x: x["base"]), True), spans(F.col(f"_{kind}_found"), False)]
+        if kind in LOOSE:
+            parts.append(spans(_clear(F.col(f"_{kind}_loose"), F.col(f"_{kind}_found")), False))
+        out.append(F.array_sort(F.concat(*parts)).alias(kind))
     return own.select("id", *out)
 
 
