@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Generator
 from dataclasses import dataclass, field
 
 # Element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe noembed noframes textarea title xmp svg math object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+RAW = frozenset("script style noscript template iframe noembed noframes textarea title xmp".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark object option optgroup q rp rt ruby s samp select small span strike strong sub sup svg time tt u var wbr img".split())
+MATH = frozenset("math annotation menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
 )
@@ -25,7 +27,12 @@ ENDS = {
     "option": ({"option"}, {"select", "datalist"}),
     "body": ({"head"}, {"html"}),
 }
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+#: A tag whose attributes hold no angle bracket: a match reads no further than the next one.
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*+)([^<>"']*+(?:"[^"<>]*+"[^<>"']*+|'[^'<>]*+'[^<>"']*+)*+)>""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_END = re.compile("[>\"']")
+#: Tags of a page whose quotes may be left open; then quotes no longer count, so that no page is read again and again.
+OPEN_QUOTES = 50
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop|aria-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/"'>]|\Z)""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -58,20 +65,67 @@ def attribute_tokens(attrs: str) -> list[str]:
     return out
 
 
+def tags(page: str) -> Generator[tuple[int, int, str, bool, str], int | None]:
+    """(start, end, lower-case name, whether it ends an element, attributes) of tags; comments and others have no name.
+
+    A quoted value may hold angle brackets; where a quote is left open, the tag ends at the next bracket. What is no tag is
+    text. The end may be moved on by sending a place. Time is in proportion to the page.
+    """
+    at, last, left_open = 0, page.rfind(">"), 0
+    while True:
+        lt = page.find("<", at)
+        if lt < 0 or lt > last and not page.startswith("<!--", lt):
+            lt = page.find("<!--", lt) if lt >= 0 else -1
+            if lt < 0:
+                return
+        m = _PLAIN.match(page, lt)
+        if m:
+            end, found = m.end(), (m[2].lower(), bool(m[1]), m[3])
+        elif page.startswith("<!--", lt):
+            end, found = page.find("-->", lt + 4) + 3, ("", False, "")
+            end = len(page) if end < 3 else end
+        elif m := _NAME.match(page, lt):
+            end, i = -1, m.end()
+            while left_open < OPEN_QUOTES:
+                q = _END.search(page, i)
+                if q and q[0] == ">":
+                    end = q.end()
+                    break
+                i = page.find(q[0], q.end()) + 1 if q else 0
+                if not i:
+                    left_open += 1
+                    break
+            end = end if end > 0 else page.find(">", m.end()) + 1
+            found = (m[2].lower(), bool(m[1]), page[m.end() : end - 1])
+        elif page[lt + 1 : lt + 2] in ("!", "?", "/"):
+            end, found = page.find(">", lt) + 1, ("", False, "")
+        else:
+            at = lt + 1
+            continue
+        moved = yield (lt, end, *found)
+        at = end if moved is None else moved
+
+
 def parse(page: str | None) -> Tree:
-    """The tree of a page; an empty one for null. Every input gives a tree."""
+    """The tree of a page; an empty one for null. Every input gives a tree.
+
+    Text in a list of choices is left out, as is the content of raw elements; that of formulas, pictures and objects stays.
+    """
     t = Tree()
     page = page or ""
     stack, open_names, links, block = [0], {"#root": 1}, 0, 0
     lower: str | None = None
     at = 0
 
+    def inline(name: str) -> bool:
+        return name in INLINE or name in MATH or bool(open_names.get("svg"))
+
     def pop() -> None:
         nonlocal links, block
         name = t.tag[stack.pop()]
         open_names[name] -= 1
         links -= name == "a"
-        block += name not in INLINE
+        block += not inline(name)
 
     def close(names: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
         """End the open element of these names that is nearest, unless one of ``stop`` is nearer; and what is in it."""
@@ -86,59 +140,59 @@ def parse(page: str | None) -> Tree:
                     return
 
     def text(data: str) -> None:
-        if data:
+        if data and not open_names.get("select"):
             t.runs.append((stack[-1], block, entities.unescape(data) if "&" in data else data, links > 0))
 
-    while True:
-        m = _TAG.search(page, at)
-        text(page[at : m.start() if m else len(page)])
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            continue
-        if m[1] or m[4]:
-            if name == "br":
-                text(" ")
-            elif open_names.get(name):
-                close({name}, frozenset())
-            elif name not in INLINE:
-                block += 1
-            continue
+    found = tags(page)
+    tag = next(found, None)
+    while tag:
+        start, end, name, ends, attrs = tag
+        text(page[at:start])
+        at, moved = end, None
         if name == "br":
             text(" ")
-            continue
-        if name in CLOSES_P and open_names.get("p"):
-            close({"p"}, {"table", "td", "th", "button", "#root"})
-        if name in ENDS:
-            names, stop = ENDS[name]
-            while any(open_names.get(n) for n in names) and (n := len(stack)):
-                close(names, stop)
-                if len(stack) == n:
-                    break
-        if name == "a" and links:
-            close({"a"}, {"table", "td", "th"})
-        if name not in INLINE:
-            block += 1
-        if name in VOID:
-            continue
-        attrs = m[3] if m[2] else m[6]
-        i = len(t.tag)
-        t.tag.append(name)
-        t.parent.append(stack[-1])
-        t.depth.append(len(stack))
-        t.tokens.append(attribute_tokens(attrs or ""))
-        if name in RAW:
-            lower = page.lower() if lower is None else lower
-            end = lower.find(f"</{name}", at) if len(lower) == len(page) else -1
-            if end < 0:
-                found = re.compile(f"</{re.escape(name)}", re.I).search(page, at)
-                end = found.start() if found else len(page)
-            at = page.find(">", end) + 1 or len(page)
-            block += name not in INLINE
-        elif not (attrs or "").endswith("/") or name not in ("path", "use"):
-            stack.append(i)
-            open_names[name] = open_names.get(name, 0) + 1
-            links += name == "a"
+        elif ends:
+            if open_names.get(name):
+                close({name}, frozenset())
+            elif not inline(name):
+                block += 1
+        elif name:
+            if name in CLOSES_P:
+                if open_names.get("select"):
+                    close({"select"}, frozenset())
+                if open_names.get("p"):
+                    close({"p"}, {"table", "td", "th", "button", "#root"})
+            if name in ENDS:
+                names, stop = ENDS[name]
+                while any(open_names.get(n) for n in names) and (n := len(stack)):
+                    close(names, stop)
+                    if len(stack) == n:
+                        break
+            if name == "a" and links:
+                close({"a"}, {"table", "td", "th"})
+            if not inline(name):
+                block += 1
+            if name not in VOID:
+                i = len(t.tag)
+                t.tag.append(name)
+                t.parent.append(stack[-1])
+                t.depth.append(len(stack))
+                t.tokens.append(attribute_tokens(attrs))
+                if name in RAW:
+                    lower = page.lower() if lower is None else lower
+                    stop_at = lower.find(f"</{name}", at) if len(lower) == len(page) else -1
+                    if stop_at < 0:
+                        own = re.compile(f"</{re.escape(name)}", re.I).search(page, at)
+                        stop_at = own.start() if own else len(page)
+                    at = moved = page.find(">", stop_at) + 1 or len(page)
+                    block += not inline(name)
+                elif not attrs.endswith("/") or name not in ("svg", "math") and not open_names.get("svg") and not open_names.get("math"):
+                    stack.append(i)
+                    open_names[name] = open_names.get(name, 0) + 1
+                    links += name == "a"
+        try:
+            tag = found.send(moved)
+        except StopIteration:
+            tag = None
+    text(page[at:])
     return t

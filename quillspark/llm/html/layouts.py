@@ -16,6 +16,8 @@ PAGES = 700
 class Maker:
     def __init__(self, rng: random.Random) -> None:
         self.rng, self.out, self.truth, self.main_tag = rng, [], [], ""
+        self.unknown = rng.choice([0, 0, 0.3, 0.9])
+        self.own_words = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=rng.randint(2, 6))) for _ in range(12)]
 
     def words(self, low: int, high: int) -> str:
         rng = self.rng
@@ -26,11 +28,15 @@ class Maker:
     def sentences(self, low: int, high: int) -> str:
         return " ".join(self.words(3, 14) + self.rng.choice(".....!?") for _ in range(self.rng.randint(low, high)))
 
+    def token(self, group: str) -> str:
+        """A word of the group; or, on pages whose makers use words of their own, one that tells nothing."""
+        return self.rng.choice(self.own_words if self.rng.random() < self.unknown else LEXICON[group].split())
+
     def open(self, tag: str, good: bool, group: str | None = None) -> None:
         """A start tag; ``good`` is whether it is main text. ``group`` names words of which its class may be made."""
         rng, attrs = self.rng, ""
         if group and rng.random() < 0.8:
-            token = rng.choice(LEXICON[group].split())
+            token = self.token(group)
             other = rng.choice(["", "", f"-{rng.choice(['box', 'wrap', 'block', 'area', 'list', 'item', 'inner', 'x1'])}", f" {rng.choice(['left', 'wide', 'row', 'col', 'clearfix', 'js'])}"])
             attrs = rng.choice([' class="{}"', ' id="{}"', " class='{}'", ' data-k="1" class="{}"']).format(token + other)
         elif rng.random() < 0.2:
@@ -69,7 +75,7 @@ class Maker:
         named = tag in ("nav", "aside", "form", "header", "footer", "dialog")
         group = kind if not named or rng.random() < 0.6 else None
         self.open(tag, False, group)
-        self.out[-1] = self.out[-1] if named or "class" in self.out[-1] or "id=" in self.out[-1] else f'<{tag} class="{rng.choice(LEXICON[kind].split())}">'
+        self.out[-1] = self.out[-1] if named or "class" in self.out[-1] or "id=" in self.out[-1] else f'<{tag} class="{self.token(kind)}">'
         if kind in ("menu", "share"):
             if tag == "p":
                 self.out.append(" ".join(self.link(self.words(1, 2)) for _ in range(rng.randint(1, 4))))
@@ -115,7 +121,7 @@ class Maker:
         if tag:
             self.open(tag, True, "content" if named or rng.random() < 0.3 else None)
         if named and tag != "td" and "class" not in self.out[-1] and "id=" not in self.out[-1]:
-            self.out[-1] = f'<{tag} class="{rng.choice(LEXICON["content"].split())}">'
+            self.out[-1] = f'<{tag} class="{self.token("content")}">'
         inner = rng.choice([None, None, None, "div", "section"])
         if inner:
             self.open(inner, True, rng.choice([None, "content"]))

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-from .dom import INLINE, Tree
+from .dom import INLINE, MATH, Tree
 
 # Attribute tokens that tell what a part of a page is for.
 LEXICON = {
@@ -42,8 +42,10 @@ FEATURES = len(TAGS) + 1 + 2 * GROUPS + len(NUMERIC)
 def scored(tree: Tree) -> list[int]:
     """For every element its node: itself if it is no inline one, or one named like no content; else its parent's."""
     out = [0] * len(tree.tag)
+    drawn = [False] * len(tree.tag)
     for i in range(1, len(out)):
-        mine = tree.tag[i] not in INLINE or any(_GROUP.get(w, 9) in (0, 1, 2, 3, 4, 5) for w in tree.tokens[i]) and tree.tag[i] in ("span", "small")
+        drawn[i] = drawn[tree.parent[i]] or tree.tag[i] in ("svg", "math")
+        mine = tree.tag[i] not in INLINE and tree.tag[i] not in MATH and not drawn[i] or any(_GROUP.get(w, 9) in (0, 1, 2, 3, 4, 5) for w in tree.tokens[i]) and tree.tag[i] in ("span", "small")
         out[i] = i if mine else out[tree.parent[i]]
     return out
 
