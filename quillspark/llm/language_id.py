@@ -1,9 +1,10 @@
 """Language identification with string kernels.
 
-A text is folded to classes of letters; its blended spectrum is the set of all its 1- to 3-grams. The kernel of two
-texts is the number of n-grams that both have, over the root of the product of their numbers. Nyström landmarks give a
-finite feature map, one-versus-rest ridge regression the classifier, and texts are scored in batches: presence rows
-times landmark rows, times coefficients.
+The blended spectrum of a text is the set of all 1- to 3-grams of its letters, each hashed from its code points. The kernel
+of two texts is the number of n-grams that both have, over the root of the product of their numbers. Nyström landmarks
+give a finite feature map, one-versus-rest ridge regression the classifier, and texts are scored in batches: presence rows
+times landmark rows, times coefficients. Learning goes over the sample in the same batches, so the driver holds the
+sampled texts, which are bounded in rows and characters, the landmarks' n-grams and one batch.
 """
 
 from __future__ import annotations
@@ -21,14 +22,18 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches, slices
 
-#: Labelled rows of each language to learn from (a bounded sample), landmarks, ridge, and languages at most.
-SAMPLE, LANDMARKS, RIDGE, MAX_LANGUAGES = 300, 192, 1e-3, 512
-#: Letters with a class of their own; all others share the rest of the 64 classes by their place in Unicode.
-OWN, CLASSES = 48, 64
-_SIZES = (0, CLASSES, CLASSES + CLASSES**2, CLASSES + CLASSES**2 + CLASSES**3)
+#: Labelled rows of each language to learn from and of all together (a bounded sample), landmarks at least, ridge, and
+#: languages at most.
+SAMPLE, ROWS, LANDMARKS, RIDGE, MAX_LANGUAGES = 300, 12_000, 192, 1e-3, 512
+#: Characters of all sampled texts together; each text is learned from a stretch of at most its share.
+SAMPLE_CHARS = 32 << 20
+#: Bits of an n-gram's hash.
+BITS = 20
 #: Lengths of the pieces of sampled texts that are learned beside the whole, so short texts are known too.
 PIECES = (25, 80, 300)
 SCORED = 256
+#: Landmark n-grams that are multiplied at once.
+COLUMNS = 1 << 13
 
 
 @functools.cache
@@ -40,36 +45,26 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
 
 
-def letter_classes(texts: list[str]) -> np.ndarray:
-    """Class of every code point: 0 for what is no letter."""
-    seen = np.zeros(0x110000, np.int64)
-    for t in texts:
-        seen += np.bincount(points(t), minlength=0x110000)
-    seen[~is_letter()] = 0
-    cp = np.arange(0x110000)
-    classes = np.where(is_letter(), OWN + 1 + (cp >> 7) % (CLASSES - OWN - 1), 0).astype(np.int32)
-    own = np.lexsort((cp, -seen))[:OWN]
-    own = own[seen[own] > 0]
-    classes[own] = np.arange(1, len(own) + 1)
-    return classes
-
-
 class Presence:
     """The n-grams of a text as flags."""
 
-    def __init__(self, classes: np.ndarray) -> None:
-        self.classes, self.flags = classes, np.zeros(_SIZES[-1], bool)
+    def __init__(self) -> None:
+        self.flags = np.zeros(1 << BITS, bool)
 
     def codes(self, text: str) -> np.ndarray | None:
-        """Codes of all 1- to 3-grams, repeats included; None without a letter."""
-        c = self.classes[points(text)]
+        """Hashes of all 1- to 3-grams, repeats included; what is no letter is one gap. None without a letter."""
+        c = points(text)
+        c = np.where(is_letter()[c], c, 0)
         gap = c == 0
         if gap.all():
             return None
         c = c[~(gap & np.concatenate([[True], gap[:-1]]))]
-        c = np.concatenate([[0], c[:-1] if c[-1] == 0 else c, [0]]).astype(np.int32)
-        two = c[:-1] * CLASSES + c[1:]
-        return np.concatenate([c, two + _SIZES[1], two[:-1] * CLASSES + c[2:] + _SIZES[2]])
+        c = np.concatenate([[0], c[:-1] if c[-1] == 0 else c, [0]]).astype(np.uint32)
+        odd, shift = np.uint32(0x9E3779B1), np.uint32(32 - BITS)
+        one = (c + np.uint32(1)) * odd
+        two = (one[:-1] ^ one[:-1] >> np.uint32(15)) * np.uint32(0x85EBCA77) + one[1:]
+        three = (two[:-1] ^ two[:-1] >> np.uint32(13)) * np.uint32(0xC2B2AE3D) + one[2:]
+        return np.concatenate([(x ^ x >> np.uint32(16)) * odd >> shift for x in (one, two, three)])
 
     def row(self, codes: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, int]:
         """Which n-grams of ``among`` there are, and how many n-grams in all."""
@@ -82,13 +77,16 @@ class Presence:
 @dataclass
 class Model:
     languages: list[str]
-    classes: np.ndarray
     among: np.ndarray  # the landmarks' n-grams
-    landmarks: np.ndarray  # presence of each in each landmark, over the root of the landmark's number
+    landmarks: np.ndarray  # presence of each in each landmark
+    sizes: np.ndarray  # n-grams of each landmark
     weights: np.ndarray  # landmarks x languages
 
     def kernel(self, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (rows @ self.landmarks.T) / np.sqrt(np.maximum(n, 1)).astype(np.float32)[:, None]
+        both = np.zeros((len(rows), len(self.landmarks)), np.float32)
+        for i in range(0, len(self.among), COLUMNS):
+            both += rows[:, i : i + COLUMNS].astype(np.float32) @ self.landmarks[:, i : i + COLUMNS].T.astype(np.float32)
+        return both / np.sqrt(np.maximum(n, 1)).astype(np.float32)[:, None] / np.sqrt(self.sizes).astype(np.float32)
 
     def scores(self, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
         return self.kernel(rows, n) @ self.weights
@@ -104,31 +102,33 @@ def fit(texts: list[str], languages: list[str], seed: int = 11, landmarks: int =
             if len(t) > size:
                 at = int(rng.integers(0, len(t) - size + 1))
                 more.append((t[at : at + size], lang))
-    classes = letter_classes(texts)
-    presence = Presence(classes)
-    known = [(c, lang) for t, lang in more if (c := presence.codes(t)) is not None]
+    presence = Presence()
+    known = [(t, lang) for t, lang in more if is_letter()[points(t)].any()]
     if not known:
         return None
     names = sorted({lang for _, lang in known})
-    y = np.array([names.index(lang) for _, lang in known])
+    number = {name: k for k, name in enumerate(names)}
+    y = np.array([number[lang] for _, lang in known])
     picked = np.sort(rng.permutation(len(known))[:landmarks])
-    for k in range(len(names)):  # every language has a landmark
-        if not (y[picked] == k).any():
-            picked = np.append(picked, np.argmax(y == k))
-    among = np.unique(np.concatenate([known[i][0] for i in picked]))
-    rows, n = (np.array(x) for x in zip(*(presence.row(c, among) for c, _ in known)))
-    rows = rows.astype(np.float32)
-    model = Model(names, classes, among, rows[picked] / np.sqrt(n[picked]).astype(np.float32)[:, None], np.zeros(0))
-    k_nm = model.kernel(rows, n).astype(np.float64)
-    k_mm = k_nm[picked]
+    missing = np.setdiff1d(np.arange(len(names)), y[picked])  # every language has a landmark
+    picked = np.append(picked, [int(np.argmax(y == k)) for k in missing]).astype(int)
+    own = [np.unique(presence.codes(known[i][0])) for i in picked]
+    among = np.unique(np.concatenate(own))
+    rows = np.stack([np.isin(among, x, assume_unique=True) for x in own])
+    model = Model(names, among, rows, np.array([len(x) for x in own]), np.zeros(0))
+    k_mm = model.kernel(rows, model.sizes).astype(np.float64)
     value, vector = np.linalg.eigh((k_mm + k_mm.T) / 2)
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
-    phi = k_nm @ root
     share = 1 / np.bincount(y, minlength=len(names))[y]
-    target = (y[:, None] == np.arange(len(names))).astype(float)
-    left = (phi * share[:, None]).T @ phi + ridge * np.eye(phi.shape[1])
-    model.weights = (root @ np.linalg.solve(left, (phi * share[:, None]).T @ target)).astype(np.float32)
+    left, right = ridge * np.eye(int(keep.sum())), np.zeros((int(keep.sum()), len(names)))
+    for i in range(0, len(known), SCORED):
+        rows, n = zip(*(presence.row(presence.codes(t), among) for t, _ in known[i : i + SCORED]))
+        phi = model.kernel(np.array(rows), np.array(n)).astype(np.float64) @ root
+        weighed = (phi * share[i : i + SCORED, None]).T
+        left += weighed @ phi
+        right += weighed @ (y[i : i + SCORED, None] == np.arange(len(names)))
+    model.weights = (root @ np.linalg.solve(left, right)).astype(np.float32)
     return model
 
 
@@ -137,16 +137,24 @@ def held_out(id_col: str) -> F.Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Fit on about ``sample`` rows of each language that are not held out, picked by a hash of the id."""
+    """Fit on about ``sample`` rows of each language that are not held out, picked by a hash of the id and the text.
+
+    At most about ROWS rows in all, and SAMPLE_CHARS characters: of a longer text a stretch, at a place from a hash.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return None
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    sample = max(1, min(sample, ROWS // len(counts)))
+    chars = max(300, SAMPLE_CHARS // (len(counts) * sample))
+    place = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    size = F.length(text_col)
+    begin = F.floor(F.greatest(size - chars, F.lit(0)) * F.pmod(F.xxhash64(F.col(text_col), F.lit(6)), F.lit(1 << 20)) / float(1 << 20)).cast("int") + 1
+    stretch = F.when(size > chars, F.substring(F.col(text_col), begin, F.lit(chars))).otherwise(F.col(text_col))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.3 * sample / n))])
-    some = rows.where(place < share[F.col(lang_col)]).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    some = rows.where(place < share[F.col(lang_col)]).select(F.col(id_col).alias("i"), stretch.alias("t"), F.col(lang_col).alias("l"))
     got = sorted(some.toArrow().to_pylist(), key=lambda r: (r["l"], str(r["i"]), r["t"]))
     return fit([r["t"] for r in got], [r["l"] for r in got])
 
@@ -166,7 +174,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         names, score = ["und"] * len(texts), [0.0] * len(texts)
         if m is None:
             return names, score
-        presence, at, rows, counts = Presence(m.classes), [], [], []
+        presence, at, rows, counts = Presence(), [], [], []
         for i, t in enumerate(texts):
             codes = presence.codes(t) if t else None
             if codes is not None:
@@ -175,7 +183,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 rows.append(row)
                 counts.append(n)
         if at:
-            s = m.scores(np.array(rows, np.float32), np.array(counts))
+            s = m.scores(np.array(rows), np.array(counts))
             for i, k, x in zip(at, s.argmax(1), np.clip(s.max(1), 0, 1)):
                 names[i], score[i] = m.languages[k], float(x)
         return names, score

@@ -1,5 +1,10 @@
+import random
+import subprocess
+import sys
 import zlib
 
+import numpy as np
+
 from quillspark.llm import language_id as li
 
 WORDS = {"xx": "alpha beta gamma delta omega sigma theta", "yy": "über straße größe schön müde käse", "zz": "привет мир слово город река"}
@@ -41,8 +46,7 @@ def test_nothing_to_learn(spark):
 
 def test_kernel_is_shared_ngrams():
     texts = ["Abc ab", "bca! ab..", "--x", "aaaa"]
-    model = li.fit(texts, ["p", "q", "p", "q"])
-    p = li.Presence(model.classes)
+    p = li.Presence()
 
     def grams(t):
         folded = f" {' '.join(''.join(c if c.isalpha() else ' ' for c in t.lower()).split())} "
@@ -52,3 +56,51 @@ def test_kernel_is_shared_ngrams():
     for a in range(4):
         for b in range(4):
             assert len(codes[a] & codes[b]) == len(grams(texts[a]) & grams(texts[b])) and len(codes[a]) == len(grams(texts[a]))
+
+
+def made(rng, letters, words=60):
+    own = ["".join(rng.choices(letters, k=rng.randint(1, 7))) for _ in range(words)]
+    return lambda n: " ".join(rng.choices(own, k=n))
+
+
+def test_languages_of_one_block_of_letters():
+    """Two languages whose letters lie in one block of ideographs are told apart, beside six that have alphabets."""
+    rng = random.Random(3)
+    speak = {f"a{k}": made(rng, "abcdefghijklmnopqrstuvwxyzäöüßéèñ") for k in range(6)}
+    speak |= {"x1": made(rng, [chr(0x4E00 + k) for k in range(0, 120, 2)]), "x2": made(rng, [chr(0x4E00 + k) for k in range(1, 120, 2)])}
+    rows = [(f(rng.randint(2, 60)), lang) for lang, f in speak.items() for _ in range(60)]
+    model = li.fit([t for t, _ in rows], [lang for _, lang in rows])
+    p = li.Presence()
+    tried = [(f(rng.randint(3, 30)), lang) for lang, f in speak.items() for _ in range(25)]
+    found, n = zip(*(p.row(p.codes(t), model.among) for t, _ in tried))
+    got = model.scores(np.array(found), np.array(n)).argmax(1)
+    right = [model.languages[k] == lang for k, (_, lang) in zip(got, tried)]
+    assert sum(right[-50:]) == 50 and sum(right) >= 0.97 * len(right)
+
+
+def test_many_languages_in_bounded_memory():
+    """A hundred languages, with as many rows and characters as a sample may have, are learned in under a GB."""
+    code = """
+import random, resource
+from tests.llm.test_language_id import li, made
+rng = random.Random(1)
+rows = [(f(20)[:3000], str(k)) for k in range(100) for f in [made(rng, [chr(0x61 + i) for i in range(26)] + [chr(0x400 + k + i) for i in range(9)])] for _ in range(60)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+model = li.fit([t for t, _ in rows], [x for _, x in rows])
+assert len(model.languages) == 100
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 800
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(li, "SAMPLE_CHARS", 3 * 40 * 300)
+    monkeypatch.setattr(li, "ROWS", 3 * 40)
+    seen = []
+    monkeypatch.setattr(li, "fit", lambda texts, languages: seen.append((texts, languages)))
+    words = {k: v.split() for k, v in WORDS.items()}
+    rows = [(i, " ".join(words[lang][(i + k) % len(words[lang])] for k in range(300)), lang) for i in range(600) for lang in [list(WORDS)[i % 3]]]
+    li.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    [(texts, languages)] = seen
+    assert 90 <= len(texts) <= 220 and max(map(len, texts)) == 300 and set(languages) == set(WORDS)
