@@ -1,4 +1,5 @@
 import random
+import time
 
 from quillspark.llm import decontamination as dec
 
@@ -76,3 +77,29 @@ def test_tables(spark):
     assert dec.contaminated(df, bench.limit(0)).count() == 0
     assert dec.contaminated(df.limit(0), bench).count() == 0
     assert dec.clean(df, bench.limit(0)).count() == len(rows)
+
+
+def test_any_batches_find_the_same(monkeypatch):
+    """Postings walked a few at a time, and texts searched one by one, give the same."""
+    items, docs = cases(random.Random(11), 80, 60)
+    want = dec.Index(items).search(docs)
+    for postings, words, rest in ((1, 1, 0.8), (40, 700, 0.3), (1 << 20, 1, 0.99), (300, 200_000, 0.8)):
+        monkeypatch.setattr(dec, "POSTINGS", postings)
+        monkeypatch.setattr(dec, "WORDS", words)
+        monkeypatch.setattr(dec, "REST", rest)
+        assert dec.Index(items).search(docs) == want
+
+
+def test_time_by_items_is_sublinear():
+    """A hundred times the items take a few times as long: lists of frequent terms are skipped."""
+    rng = random.Random(2)
+    vocab = ["w%d" % i for i in range(30_000)]
+    word = lambda: vocab[int(len(vocab) * rng.random() ** 4)]
+    docs = [" ".join(word() for _ in range(400)) for _ in range(300)]
+    took = []
+    for n in (100, 10_000):
+        index = dec.Index([(i, " ".join(word() for _ in range(30))) for i in range(n)])
+        begun = time.perf_counter()
+        index.search(docs)
+        took.append(time.perf_counter() - begun)
+    assert took[1] < 20 * took[0] + 0.2, took
