@@ -1,7 +1,8 @@
 """Cross-sectional statistics by group: order statistics, ranks, buckets, z-scores, winsorising, rank correlation.
 
-Values are first counted by (group, value), which combines on the map side; windows then run over distinct values only,
-so a large group is sorted once it has been reduced. Null groups and null values take no part.
+Values are first counted by (group, value), which combines on the map side. Distinct values are then ranked in bins of
+their magnitude, and the bins' totals put the bins in order, so no task holds a group, however few groups there are. Null
+groups and null values take no part.
 """
 
 from __future__ import annotations
@@ -15,12 +16,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Bins of a doubling of the magnitude, and bins of a sign at most: a group has so few that one task orders their totals.
+BINS, MOST_BINS = 256, 1 << 19
+
+
+def magnitude_bin(value: Column) -> Column:
+    """A number that never falls when ``value`` grows; NaN comes last, as in Spark's order."""
+    x = value.cast("double")
+    size = F.floor(F.least(F.greatest(F.log2(F.abs(x)) * BINS, F.lit(float(1 - MOST_BINS))), F.lit(float(MOST_BINS - 1)))) + MOST_BINS
+    return F.when(F.isnan(x), 4 * MOST_BINS).when(x > 0, size).when(x < 0, -size).otherwise(0)
+
+
 def value_ranks(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, value, n, below, m): how many rows have the value, how many a lesser one, and how many there are."""
     counts = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(group)
-    below = F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    return counts.withColumns({"below": below, "m": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    counts = counts.withColumn("_bin", magnitude_bin(F.col(value)))
+    to_here = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = counts.groupBy(group, "_bin").agg(F.sum("n").alias("_n"))
+    of_group = Window.partitionBy(group)
+    bins = bins.select(
+        F.col(group).alias("_bg"), F.col("_bin").alias("_bb"), (F.sum("_n").over(to_here(of_group.orderBy("_bin"))) - F.col("_n")).alias("_before"), F.sum("_n").over(of_group).alias("m")
+    )
+    inside = F.sum("n").over(to_here(Window.partitionBy(group, "_bin").orderBy(value))) - F.col("n")
+    ranked = counts.withColumn("_inside", inside).join(bins, (F.col(group) == F.col("_bg")) & (F.col("_bin") == F.col("_bb")))
+    return ranked.select(group, value, "n", (F.col("_before") + F.col("_inside")).alias("below"), "m")
 
 
 def average_ranks(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
@@ -29,10 +48,10 @@ def average_ranks(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
     return df.join(ranks, (F.col(group) == F.col("_g")) & (F.col(value) == F.col("_v")), "left").drop("_g", "_v")
 
 
-def _edges(ranks: DataFrame, group: str, value: str, n: int) -> DataFrame:
-    """Linear quantiles k / n of every group, interpolated as numpy does."""
+def quantiles(ranks: DataFrame, group: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """(group, m, edges): the linear quantiles of every group of ``value_ranks``, interpolated as numpy does."""
     out = []
-    for k, q in enumerate(np.linspace(0, 1, n + 1) * 100 / 100):
+    for k, q in enumerate(shares):
         pos = (F.col("m") - 1) * F.lit(float(q))
         lo = F.floor(pos)
         hi = F.least(lo + 1, F.col("m") - 1)
@@ -40,7 +59,7 @@ def _edges(ranks: DataFrame, group: str, value: str, n: int) -> DataFrame:
         out += [at(lo).alias(f"lo{k}"), at(hi).alias(f"hi{k}"), F.max(pos - lo).alias(f"t{k}")]
     rows = ranks.groupBy(group).agg(F.max("m").alias("m"), *out)
     lerp = lambda a, b, t: F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
-    edges = [lerp(F.col(f"lo{k}"), F.col(f"hi{k}"), F.col(f"t{k}")).alias(f"e{k}") for k in range(n + 1)]
+    edges = [lerp(F.col(f"lo{k}"), F.col(f"hi{k}"), F.col(f"t{k}")).alias(f"e{k}") for k in range(len(shares))]
     return rows.select(group, "m", F.array(*edges).alias("edges"))
 
 
@@ -48,23 +67,29 @@ def buckets(df: DataFrame, group: str, value: str, n: int, row_id: Sequence[str]
     """``df`` with quantile buckets 1..n of each group.
 
     Right-closed at the group's quantiles; where those are not all distinct, equal widths of the rank in order of value
-    and ``row_id``. Null values and groups get null.
+    and ``row_id``. Null values and groups get null. Only tied values of groups without distinct quantiles need an order of
+    rows: their rows are counted by the first of ``row_id`` before they are put in order.
     """
     ranks = value_ranks(df, group, value)
-    edges = _edges(ranks, group, value, n).withColumn("distinct", F.size(F.array_distinct("edges")) == n + 1)
-    edges = edges.select(F.col(group).alias("_g"), F.col("m").alias("_m"), F.col("edges").alias("_edges"), F.col("distinct").alias("_distinct"))
-    below = ranks.select(F.col(group).alias("_rg"), F.col(value).alias("_rv"), F.col("below").alias("_below"))
-    x = F.col(value)
+    edges = quantiles(ranks, group, value, [float(q) for q in np.linspace(0, 1, n + 1) * 100 / 100]).withColumn("distinct", F.size(F.array_distinct("edges")) == n + 1)
+    edges = edges.select(F.col(group).alias("_g"), F.col("edges").alias("_edges"), F.col("distinct").alias("_distinct"))
+    below = ranks.select(F.col(group).alias("_rg"), F.col(value).alias("_rv"), F.col("below").alias("_below"), F.col("m").alias("_m"))
+    x, lead = F.col(value), row_id[0]
     joined = df.join(edges, F.col(group) == F.col("_g"), "left")
-    joined = joined.join(below, (F.col(group) == F.col("_rg")) & (x == F.col("_rv")), "left")
-    # only tied values of groups without distinct quantiles need an order of rows
-    tie = Window.partitionBy("_rg", "_rv", "_distinct").orderBy(*row_id)
-    first_rank = F.col("_below") + F.when(~F.col("_distinct"), F.row_number().over(tie)).otherwise(1)
+    tied = F.coalesce(~F.col("_distinct"), F.lit(False)) & x.isNotNull()
     by_edge = F.lit(1) + sum(((x > F.get("_edges", F.lit(k))).cast("int") for k in range(1, n)), F.lit(0))
-    by_rank = F.greatest(F.lit(1), F.ceil((first_rank - 1) * n / F.nullif(F.col("_m") - 1, F.lit(0)))).cast("int")
-    chosen = F.when(F.col("_distinct"), by_edge).when(F.col("_m") == 1, (n + 1) // 2).otherwise(by_rank)
-    bucket = F.when(x.isNotNull() & F.col("_g").isNotNull(), chosen).cast("int")
-    return joined.withColumn(out, bucket).drop("_g", "_m", "_edges", "_distinct", "_rg", "_rv", "_below")
+    plain = joined.where(~tied).withColumn(out, F.when(x.isNotNull() & F.col("_g").isNotNull(), by_edge).cast("int"))
+    rows = joined.where(tied).join(below, (F.col(group) == F.col("_rg")) & (x == F.col("_rv")))
+    leads = rows.groupBy(F.col("_rg").alias("_lg"), F.col("_rv").alias("_lv"), F.col(lead).alias("_lead")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_lg", "_lv").orderBy("_lead").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    leads = leads.select("_lg", "_lv", "_lead", before.alias("_before"))
+    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("_rg", "_rv", lead).orderBy(*row_id)))
+    rows = rows.join(leads, (F.col("_rg") == F.col("_lg")) & (F.col("_rv") == F.col("_lv")) & F.col(lead).eqNullSafe(F.col("_lead")))
+    rank = F.col("_below") + F.col("_before") + F.col("_turn")
+    by_rank = F.greatest(F.lit(1), F.ceil((rank - 1) * n / F.nullif(F.col("_m") - 1, F.lit(0)))).cast("int")
+    ranked = rows.withColumn(out, F.when(F.col("_m") == 1, (n + 1) // 2).otherwise(by_rank).cast("int"))
+    names = [c for c in df.columns if c != out] + [out]
+    return plain.select(*names).unionByName(ranked.select(*names))
 
 
 def rounded(c: Column, digits: int | None) -> Column:
@@ -92,7 +117,9 @@ def winsorize(df: DataFrame, columns: Sequence[str], low: float = 0.025, high: f
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
-    bounds = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_b_{c}") for c in columns])
+    long = df.select(*columns).unpivot([], columns, "_column", "_value")
+    found = quantiles(value_ranks(long, "_column", "_value"), "_column", "_value", [low, high])
+    bounds = found.agg(*[F.max(F.when(F.col("_column") == c, F.col("edges"))).alias(f"_b_{c}") for c in columns])
     joined = df.crossJoin(F.broadcast(bounds))  # one row
     new = {}
     for c in columns:

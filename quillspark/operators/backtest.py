@@ -74,10 +74,14 @@ def long_short_series(rows: DataFrame, ret: str) -> DataFrame:
 
 def long_short(rows: DataFrame, ret: str, digits: int = 4) -> DataFrame:
     """Mean, annualised return, population deviation a year and Sharpe ratio; null without quarters."""
-    s = long_short_series(rows, ret).agg(F.avg("ls").alias("m"), F.stddev_pop("ls").alias("d"), F.count("ls").alias("n_quarters"))
+    return _yearly(long_short_series(rows, ret), digits)
+
+
+def _yearly(series: DataFrame, digits: int, by: Sequence[str] = ()) -> DataFrame:
+    s = series.groupBy(*by).agg(F.avg("ls").alias("m"), F.stddev_pop("ls").alias("d"), F.count("ls").alias("n_quarters"))
     year, spread = F.col("m") * YEAR, F.col("d") * YEAR**0.5
     return s.select(
-        F.round("m", digits).alias("mean_ls"), F.round(year, digits).alias("ann_return"), F.round(spread, digits).alias("ann_std"),
+        *by, F.round("m", digits).alias("mean_ls"), F.round(year, digits).alias("ann_return"), F.round(spread, digits).alias("ann_std"),
         F.round(year / (spread + 1e-8), digits).alias("sharpe"), "n_quarters",
     )
 
@@ -90,25 +94,33 @@ def bucket_spread(rows: DataFrame, ret: str, digits: int = 4) -> DataFrame:
 
 def backtest(signals: DataFrame, ret: str, n: int = 3) -> DataFrame:
     """One row: horizon, IC statistics, spread and long-short statistics."""
-    return evaluate(tertiles(signals, n), ret)
+    return evaluate(tertiles(signals, n), [ret])
 
 
-def evaluate(rows: DataFrame, ret: str) -> DataFrame:
-    """The line of a backtest for rows that have their bucket."""
-    parts = [icir(ic_by_quarter(rows, ret)), bucket_spread(rows, ret), long_short(rows, ret).drop("n_quarters")]
-    out = rows.sparkSession.createDataFrame([(ret,)], "horizon string")
-    for p in parts:
-        out = out.crossJoin(F.broadcast(p))  # one row each
-    return out
+def evaluate(rows: DataFrame, returns: Sequence[str], signal: str = "composite_z", digits: int = 4) -> DataFrame:
+    """The line of a backtest for every return column, for rows that have their bucket: one pass over all horizons.
+
+    A horizon without any complete row keeps its line, with nulls.
+    """
+    long = rows.select("quarter", "quintile", signal, *returns).unpivot(["quarter", "quintile", signal], list(returns), "horizon", "ret")
+    lines = factor_decay(rows, returns, signal)
+    full = long.where(F.col("quintile").isNotNull() & F.col("ret").isNotNull())
+    # sums by quarter and bucket serve both the spread and the long-short series
+    cells = full.groupBy("horizon", "quarter", "quintile").agg(F.sum("ret").alias("s"), F.count(F.lit(1)).alias("n"))
+    by_bucket = cells.groupBy("horizon", "quintile").agg((F.sum("s") / F.sum("n")).alias("r"))
+    extremes = by_bucket.groupBy("horizon").agg(F.max_by("r", "quintile").alias("hi"), F.min_by("r", "quintile").alias("lo"), F.count(F.lit(1)).alias("n"))
+    spread = extremes.select("horizon", F.round(F.when(F.col("n") >= 2, F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))), digits).alias("spread"))
+    means = cells.where(F.col("quarter").isNotNull()).withColumn("r", F.col("s") / F.col("n"))
+    series = means.groupBy("horizon", "quarter").agg((F.max_by("r", "quintile") - F.min_by("r", "quintile")).alias("ls"))
+    gains = _yearly(series, digits, ["horizon"]).drop("n_quarters")
+    every = rows.sparkSession.createDataFrame([(c,) for c in returns], "horizon string")
+    out = every.join(lines, "horizon", "left").join(spread, "horizon", "left").join(gains, "horizon", "left")
+    return out.withColumn("n_quarters", F.coalesce("n_quarters", F.lit(0)))
 
 
 def horizon_sweep(signals: DataFrame, returns: Sequence[str] = ("fwd_1d", "fwd_5d", "fwd_20d"), n: int = 3) -> DataFrame:
     """A backtest row for each return column."""
-    rows, out = tertiles(signals, n), None
-    for c in returns:
-        line = evaluate(rows, c)
-        out = line if out is None else out.unionByName(line)
-    return out
+    return evaluate(tertiles(signals, n), list(returns))
 
 
 def quarters_by_ticker(signals: DataFrame) -> DataFrame:
