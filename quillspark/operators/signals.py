@@ -61,3 +61,18 @@ def pooled_ic(signals: DataFrame, returns: list[str], signal: str = "composite_z
 def summary(signals: DataFrame, ret: str = "fwd_5d", digits: int = 4) -> DataFrame:
     """Mean return of every bucket."""
     return signals.where(F.col("quintile").isNotNull()).groupBy("quintile").agg(F.round(F.avg(ret), digits).alias("mean_ret"))
+
+
+def describe(signals: DataFrame, column: str = "composite_z", digits: int = 4) -> DataFrame:
+    """Number, mean, sample deviation, extremes and quartiles of a column."""
+    own = signals.select(F.lit(1).alias("all"), column)
+    edges = stats.quantiles(stats.value_ranks(own, "all", column), "all", column, [0.25, 0.5, 0.75])
+    c = F.col(column)
+    whole = signals.agg(F.count(c).alias("n"), *[F.round(f(c), digits).alias(k) for k, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))])
+    q = edges.agg(*[F.round(F.max(F.col("edges")[k]), digits).alias(name) for k, name in enumerate(("q1", "median", "q3"))])
+    return whole.crossJoin(F.broadcast(q))  # one row
+
+
+def head(signals: DataFrame, n: int = 5, signal: str = "composite_z") -> DataFrame:
+    """The ``n`` rows of the greatest signal; ties by ticker and date."""
+    return signals.orderBy(F.col(signal).desc_nulls_last(), "ticker", "date").limit(n)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..config import GUIDANCE_KEYWORDS
+
 import numpy as np
 
 #: Tables that several queries build on, each after those it needs.
@@ -115,16 +117,34 @@ def _with(parts: dict[str, str], body: str) -> str:
 
 def _tone() -> str:
     parts = dict(_TURNS)
-    parts["long"] = "select doc_id, 'prep' as k, unnest(prep) as s from whole union all select doc_id, 'qa_ceo', unnest(qa) from whole union all select doc_id, 'qa_anal', unnest(ana) from whole"
+    parts["long"] = "select doc_id, 'prep' as k, unnest(prep) as s from whole union all select doc_id, 'qa_ceo', unnest(qa) from whole union all select doc_id, 'qa_anal', unnest(ana) from whole union all select doc_id, 'guidance', unnest(list_filter(list_concat(prep, qa), lambda x: regexp_matches(lower(x), '" + "|".join(GUIDANCE_KEYWORDS) + "'))) from whole"
     parts["words"] = "select doc_id, k, list_filter(string_split(lower(s), ' '), lambda w: w <> '') as w from long"
     parts["each"] = "select doc_id, k, len(w) as n, len(list_filter(w, lambda x: x in ('the', 'le', 'der', 'and'))) / len(w) as p, len(list_filter(w, lambda x: x in ('of', 'de', 'die', 'in'))) / len(w) as q from words"
-    parts["scored"] = "select doc_id, k, round(sum(n * p) / sum(n), 5) as pos, round(sum(n * q) / sum(n), 5) as neg, round(sum(n * p) / sum(n) - sum(n * q) / sum(n), 5) as net from each group by 1, 2"
-    cols = ", ".join(f"coalesce(max({c}) filter (k = '{k}'), 0e0) as {k}_{c}" for k in ("prep", "qa_ceo", "qa_anal") for c in ("pos", "neg", "net"))
+    parts["scored"] = "select doc_id, k, round(sum(n * p) / sum(n), 5) as pos, round(sum(n * q) / sum(n), 5) as neg, round(sum(n * p) / sum(n) - sum(n * q) / sum(n), 5) as net, count(*) as n_sents from (select doc_id, k, greatest(n, 1) as n, p, q from each) group by 1, 2"
+    cols = ", ".join(f"coalesce(max({c}) filter (k = '{k}'), {'0' if c == 'n_sents' else '0e0'}) as {k}_{c}" for k in ("prep", "qa_ceo", "qa_anal", "guidance") for c in ("pos", "neg", "net", "n_sents"))
     parts["wide"] = f"select doc_id, {cols} from docs left join scored using (doc_id) group by 1"
     return _with(parts, "select cast(doc_id as varchar) as ticker, * exclude (doc_id), round(qa_ceo_net - prep_net, 5) as qa_delta from wide")
 
 
+#: Paragraphs beside the heading of a page, as text without tags; one whose bold part is short is a speaker's label.
+_PARAGRAPHS = """with inside as (select page_id, regexp_extract(html, '(?s)</h1>(.*)</article>', 1) as x from pages),
+    parts as (select page_id, unnest(string_split(x, '<p>')[2:]) as part, unnest(range(1, len(string_split(x, '<p>')))) as place from inside),
+    bare as (select page_id, place, starts_with(part, '<b>') as bold, replace(replace(replace(replace(replace(trim(regexp_replace(part, '<[^>]*>', '', 'g')), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&amp;', '&') as text from parts)
+    """
+
 ORACLE_SQL: dict[str, str] = {
+    "page_participants": _PARAGRAPHS + "select page_id, row_number() over (partition by page_id order by place) - 1 as pos, text as line from bare where length(text) between 4 and 149",
+    "page_elements": _PARAGRAPHS + """, kind as (select *, bold and length(text) < 120 and length(text) - length(replace(text, '.', '')) <= 1 as is_label from bare where text <> '')
+        select page_id, 'prepared_remarks' as section, row_number() over (partition by page_id order by place) - 1 as pos, is_label, case when is_label then text end as label, case when is_label then '' else text end as text from kind""",
+    "scored_in_parts": _tone(),
+    "call_dates": "select o_orderkey, case o_orderkey % 3 when 0 then cast(o_orderdate as date) end as day from orders",
+    "company_keys": "select n_name as ticker, lpad(cast(n_nationkey as varchar), 10, '0') as cik from nation where n_nationkey % 2 = 0",
+    "merged_metadata": """with saved as (select page_id as doc_id, case when page_id % 2 = 0 then 'old' end as ticker, 'saved' as source, url from pages where page_id % 3 <> 0),
+        named as (select page_id as doc_id, case when page_id % 5 = 0 then '' else 'new' end as ticker from pages where page_id % 4 <> 0)
+        select doc_id, case when named.ticker is not null then named.ticker else saved.ticker end as ticker, source, url from saved full join named using (doc_id)""",
+    "signal_stats": _sql("""select cast(count(composite_z) as bigint) as n, round(avg(composite_z), 4) as mean, round(stddev_samp(composite_z), 4) as std, round(min(composite_z), 4) as min,
+        round(quantile_cont(composite_z, 0.25), 4) as q1, round(quantile_cont(composite_z, 0.5), 4) as median, round(quantile_cont(composite_z, 0.75), 4) as q3, round(max(composite_z), 4) as max from rows""", "rows"),
+    "signal_head": _sql("select r.ticker, quarter, r.date, composite_z, bucket as quintile from rows r order by composite_z desc nulls last, r.ticker, r.date limit 5", "rows"),
     "daily_prices": _sql("select ticker, date, close from prices", "prices"),
     "wide_prices": _sql("select cast(ticker as varchar) as ticker, date, close from prices where ticker in (1, 2, 3)", "prices"),
     "filled_prices": _sql("select ticker, date, close from panel", "panel"),

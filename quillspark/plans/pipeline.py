@@ -28,21 +28,25 @@ def land(raw: DataFrame, urls: DataFrame, markers: tuple[str, ...] = PAGE_MARKER
 
 
 def parse(raw: DataFrame, metadata: DataFrame | None = None, suffix: str = "", source: str = "", **tags: str) -> DataFrame:
-    """Transcripts from (name, html); fields come from the file name, the address from ``metadata`` (name, url).
+    """Transcripts from (name, html); fields come from the file name, address and source from ``metadata`` (name, url, and
+    perhaps source), which the name's fields go before.
 
     A null page has every section missing and is dropped, as an unreadable file would be.
     """
     named = raw.where(F.col("html").isNotNull()).select(F.col("name").alias("doc_id"), "html", t.file_name_fields(F.col("name"), suffix).alias("f"))
     if metadata is not None:
-        named = named.join(metadata.select(F.col("name").alias("doc_id"), F.col("url").alias("source_url")), "doc_id", "left")
+        own_source = F.col("source") if "source" in metadata.columns else F.lit(None).cast("string")
+        saved = metadata.select(F.col("name").alias("doc_id"), *[F.lit("").alias(k) for k in KEYS], F.col("url").alias("source_url"), own_source.alias("own_source"))
+        merged = pages.merge_metadata(saved, named.select("doc_id", "f.*"))
+        named = named.drop("f").join(merged, "doc_id").withColumn("f", F.struct(*KEYS)).drop(*KEYS)
     else:
-        named = named.withColumn("source_url", F.lit(None).cast("string"))
-    found = staged(pages.page_parts(named, **tags).select("doc_id", "source_url", "f.*", "parts.*"), "parts")
+        named = named.withColumns({c: F.lit(None).cast("string") for c in ("source_url", "own_source")})
+    found = staged(pages.page_parts(named, **tags).select("doc_id", "source_url", "own_source", "f.*", "parts.*"), "parts")
     elements = found.select("doc_id", F.explode("elements").alias("e")).select("doc_id", "e.*")
     lookup = staged(turns.role_lookup(found.select("doc_id", F.posexplode("participants").alias("pos", "line"))), "roles")
     whole = turns.assemble(found, turns.speaker_turns(elements, lookup), lookup)
     return whole.select(
-        *KEYS, F.lit(source).alias("source"), F.coalesce("source_url", F.lit("")).alias("source_url"), "word_count", "sentence_count", "prepared_remarks", "qa_ceo", "qa_analyst",
+        *KEYS, F.coalesce("own_source", F.lit(source)).alias("source"), F.coalesce("source_url", F.lit("")).alias("source_url"), "word_count", "sentence_count", "prepared_remarks", "qa_ceo", "qa_analyst",
         "guidance_sentences", "speaker_turns", F.col("participants").alias("call_participants"), "parse_errors",
     )
 
@@ -79,8 +83,7 @@ def signals_table(spark: SparkSession, scores: DataFrame, prices: DataFrame, pat
     if known is not None:
         return known
     dated = scores.withColumn("date", returns.call_date(F.col("date"))) if dict(scores.dtypes)["date"] == "string" else scores
-    built = staged(signals.build_signals(dated, returns.fill_forward(prices), config, sectors), "signals")
-    built.write.mode("overwrite").parquet(path)
+    signals.build_signals(dated, returns.fill_forward(prices), config, sectors).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -13,7 +13,8 @@ from ..functions import stats
 from ..functions import text as t
 from ..operators import backtest, returns, scoring, signals, turns
 from ..sources import filings, pages, tables
-from ..sources.stage import staged
+from ..sources.stage import new_path
+from . import pipeline
 from . import stand_ins as s
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -25,8 +26,16 @@ FWD = ["fwd_1d", "fwd_5d", "fwd_20d"]
 
 
 def _signals(spark: SparkSession, d: str, weights: dict[str, float] | None = None) -> DataFrame:
+    """The signals of a folder's tables: built and written once a session, and read again by every later query."""
     config = CONFIG if weights is None else replace(CONFIG, weights=weights)
-    return signals.build_signals(s.scores(spark, d), returns.fill_forward(s.prices(spark, d)), config, s.sectors(spark, d))
+    own = spark.sparkContext.applicationId, d, tuple(config.weights.items())
+    if own not in _paths:
+        _paths[own] = new_path(spark, "signals")
+    return pipeline.signals_table(spark, s.scores(spark, d), s.prices(spark, d), _paths[own], config=config, sectors=s.sectors(spark, d))
+
+
+#: Where the signals of a session, folder and weights are.
+_paths: dict[tuple, str] = {}
 
 
 def _tertiles(spark: SparkSession, d: str) -> DataFrame:
@@ -76,11 +85,11 @@ def legacy_signal_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pooled_ic(spark: SparkSession, d: str) -> DataFrame:
-    return signals.pooled_ic(staged(_signals(spark, d), "signals"), FWD).drop("p")
+    return signals.pooled_ic(_signals(spark, d), FWD).drop("p")
 
 
 def pooled_ic_p(spark: SparkSession, d: str) -> DataFrame:
-    return signals.pooled_ic(staged(_signals(spark, d), "signals"), FWD)
+    return signals.pooled_ic(_signals(spark, d), FWD)
 
 
 def signal_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -178,10 +187,55 @@ def transcripts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_TONE = [f"{k}_{c}" for k in ("prep", "qa_ceo", "qa_anal", "guidance") for c in ("pos", "neg", "net", "n_sents")]
+
+
+def _unscored(spark: SparkSession, d: str) -> DataFrame:
+    return _transcripts(spark, d).withColumns({"ticker": F.col("doc_id").cast("string"), "date": F.lit(""), "quarter": F.lit("Q1"), "source": F.lit("")})
+
+
+def _tone(done: DataFrame) -> DataFrame:
+    counts = {c: F.col(c).cast("long") for c in _TONE if c.endswith("n_sents")}
+    return done.withColumns(counts).select("ticker", *_TONE, "qa_delta")
+
+
 def transcript_scores(spark: SparkSession, d: str) -> DataFrame:
-    own = _transcripts(spark, d).withColumns({"ticker": F.col("doc_id").cast("string"), "date": F.lit(""), "quarter": F.lit("Q1"), "source": F.lit("")})
-    done = scoring.score_transcripts(own, scoring.lexicon_scorer(s.POSITIVE, s.NEGATIVE))
-    return done.select("ticker", *[f"{k}_{c}" for k in ("prep", "qa_ceo", "qa_anal") for c in ("pos", "neg", "net")], "qa_delta")
+    return _tone(scoring.score_transcripts(_unscored(spark, d), scoring.lexicon_scorer(s.POSITIVE, s.NEGATIVE)))
+
+
+def scored_in_parts(spark: SparkSession, d: str) -> DataFrame:
+    """A run over half of the transcripts, and one over all of them that takes up where it ended."""
+    own, scorer, path = _unscored(spark, d), scoring.lexicon_scorer(s.POSITIVE, s.NEGATIVE), new_path(spark, "scores")
+    pipeline.score_all(own.where("doc_id % 2 = 0"), scorer, path)
+    return _tone(pipeline.score_all(own, scorer, path))
+
+
+def call_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates from readable, unreadable and empty strings."""
+    o = s.read(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("day"))
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.col("day")).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("x"), "day")).otherwise("")
+    return o.select("o_orderkey", returns.call_date(text).alias("day"))
+
+
+def company_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of every second nation, asked for in lower case."""
+    n = s.read(spark, d, "nation").select(F.col("n_name").alias("ticker"), F.col("n_nationkey").alias("cik"))
+    return filings.company_keys(n, n.where("cik % 2 = 0").select(F.lower("ticker").alias("ticker")))
+
+
+def merged_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Saved metadata of some pages and fields from the names of others."""
+    p = s.read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    saved = p.where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "old").alias("ticker"), F.lit("saved").alias("source"), "url")
+    return pages.merge_metadata(saved, p.where("doc_id % 4 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "").otherwise("new").alias("ticker")))
+
+
+def signal_stats(spark: SparkSession, d: str) -> DataFrame:
+    return signals.describe(_signals(spark, d))
+
+
+def signal_head(spark: SparkSession, d: str) -> DataFrame:
+    return signals.head(_signals(spark, d)).select("ticker", "quarter", "date", "composite_z", "quintile")
 
 
 def file_names(spark: SparkSession, d: str) -> DataFrame:
@@ -209,12 +263,12 @@ def gated_pages(spark: SparkSession, d: str) -> DataFrame:
 def page_participants(spark: SparkSession, d: str) -> DataFrame:
     """What follows the first h1 beside it, read as participants."""
     got = pages.page_parts(s.read(spark, d, "pages"), participants="", header_tag="h1", label_tag="b")
-    return got.select("page_id", F.posexplode("parts.participants").alias("pos", "line"))
+    return got.select("page_id", F.posexplode("parts.participants").alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def page_elements(spark: SparkSession, d: str) -> DataFrame:
     got = pages.page_parts(s.read(spark, d, "pages"), prepared="", qa="\0", header_tag="h1", label_tag="b")
-    return got.select("page_id", F.explode("parts.elements").alias("e")).select("page_id", "e.section", "e.pos", "e.is_label", "e.label", "e.text")
+    return got.select("page_id", F.explode("parts.elements").alias("e")).select("page_id", "e.section", F.col("e.pos").cast("long").alias("pos"), "e.is_label", "e.label", "e.text")
 
 
 def filing_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -236,7 +290,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         bucket_returns, daily_prices, wide_prices, filled_prices, forward_returns, sector_lookup, winsorized, zscores, signal_rows, legacy_signal_rows, pooled_ic, pooled_ic_p, signal_summary,
         tertile_rows, bucket_distribution, quarterly_ic, icir, factor_decay, long_short, long_short_series, bucket_spread, horizon_sweep, quarters_by_ticker, new_calls, union_scores,
-        text_scores, role_lookup, speaker_turns, transcripts, transcript_scores, file_names, url_dates, gated_pages, page_participants, page_elements, filing_rows,
+        text_scores, role_lookup, speaker_turns, transcripts, transcript_scores, file_names, url_dates, gated_pages, page_participants, page_elements, filing_rows, scored_in_parts, call_dates, company_keys, merged_metadata, signal_stats, signal_head,
     )
 }
 FLAGSHIP = "bucket_returns"

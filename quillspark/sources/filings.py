@@ -21,6 +21,12 @@ def company_key(companies: DataFrame, ticker: str) -> str:
     return rows[0]["k"]
 
 
+def company_keys(companies: DataFrame, tickers: DataFrame) -> DataFrame:
+    """(ticker, cik) of every company that ``tickers`` names, case aside; the key is padded. Unknown tickers are left out."""
+    wanted = tickers.select(F.upper("ticker").alias("_t")).distinct()
+    return companies.join(wanted, F.upper("ticker") == F.col("_t"), "left_semi").select("ticker", padded_cik(F.col("cik")).alias("cik"))
+
+
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.FILINGS).option("multiLine", True).json(path)
 
