@@ -12,6 +12,7 @@ from ..functions import text as t
 from ..operators import backtest, returns, scoring, signals, turns
 from ..sources import pages, tables
 from ..sources.stage import staged
+from ..sources.transcripts import read_transcripts
 
 KEYS = ("ticker", "date", "quarter")
 
@@ -51,6 +52,16 @@ def parse(raw: DataFrame, metadata: DataFrame | None = None, suffix: str = "", s
     )
 
 
+def load(spark: SparkSession, path: str, suffix: str = "", **tags: str) -> DataFrame:
+    """Transcripts from a path by its kind: a page is parsed, metadata stands for the page beside it, other JSON is read."""
+    if path.endswith("_meta.json"):
+        path = path.removesuffix("_meta.json") + ".html"
+    if not path.endswith((".html", ".htm")):
+        return read_transcripts(spark, path)
+    rows = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("html"))
+    return parse(rows, suffix=suffix, **tags)
+
+
 def parse_all(raw: DataFrame, path: str, overwrite: bool = False, **options) -> DataFrame:  # noqa: ANN003
     """Parse pages whose transcript the table at ``path`` lacks, append them, and return the table."""
     done = None if overwrite else tables.read_or_none(raw.sparkSession, path)

@@ -1,9 +1,8 @@
-"""Parsed transcripts from files of any stage."""
+"""Parsed transcripts from files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import schemas
 
@@ -11,15 +10,3 @@ from .. import schemas
 def read_transcripts(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """Transcript files, one JSON object each."""
     return spark.read.schema(schemas.TRANSCRIPT).option("multiLine", True).option("pathGlobFilter", glob).json(path)
-
-
-def load(spark: SparkSession, path: str, suffix: str = "", **tags: str) -> DataFrame:
-    """Transcripts from a path by its kind: a page is parsed, metadata stands for the page beside it, other JSON is read."""
-    from ..plans import pipeline
-
-    if path.endswith("_meta.json"):
-        path = path.removesuffix("_meta.json") + ".html"
-    if not path.endswith((".html", ".htm")):
-        return read_transcripts(spark, path)
-    rows = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("html"))
-    return pipeline.parse(rows, suffix=suffix, **tags)
