@@ -191,7 +191,7 @@ def tensors(media: DataFrame) -> DataFrame:
 
     bounded_batches(media.sparkSession)
     kind = media.schema["id"].dataType.simpleString()
-    return media.select("id", "media").mapInArrow(rows, f"id {kind}, segment int, begin_s double, end_s double, tensor array<float>")
+    return media.where("media is not null").select("id", "media").mapInArrow(rows, f"id {kind}, segment int, begin_s double, end_s double, tensor array<float>")
 
 
 def as_tensor_column(rows: pa.Table) -> pa.Table:
@@ -205,7 +205,10 @@ def as_tensor_column(rows: pa.Table) -> pa.Table:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """A row per media file: sizes and digests of the samples and of the file as stored, and the features' summary."""
+    """A row per media file: sizes and digests of the samples and of the file as stored, and the features' summary.
+
+    Rows without media, here and in the other readers of media, give none.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
@@ -219,7 +222,7 @@ def digests(media: DataFrame) -> DataFrame:
 
     bounded_batches(media.sparkSession)
     kind = media.schema["id"].dataType.simpleString()
-    return media.select("id", "n_bytes", "media").mapInArrow(
+    return media.where("media is not null").select("id", "n_bytes", "media").mapInArrow(
         rows, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
 
@@ -273,7 +276,7 @@ def store_tensors(media: DataFrame) -> DataFrame:
             writer.close()
 
     bounded_batches(media.sparkSession)
-    return table(media.select(F.col("id").cast("long"), "n_bytes", "media").mapInArrow(rows, ", ".join(f"{c} {t}" for c, t in _FILE + _PLACE)), "digests")
+    return table(media.where("media is not null").select(F.col("id").cast("long"), "n_bytes", "media").mapInArrow(rows, ", ".join(f"{c} {t}" for c, t in _FILE + _PLACE)), "digests")
 
 
 def tensor_summary(t: pa.Table) -> str:

@@ -23,8 +23,8 @@ ZSTD_MAGIC = 0xFD2FB528
 LEAST_REVISITED = 100
 #: An archive is closed at this size, so one is never a task's whole memory.
 ARCHIVE_BYTES = 64 << 20
-#: Pages from which the dictionary is trained (a bounded sample), and its size.
-DICTIONARY_PAGES, DICTIONARY_BYTES = 400, 32 << 10
+#: Pages from which the dictionary is trained and characters of each (a bounded sample), and its size.
+DICTIONARY_PAGES, DICTIONARY_CHARS, DICTIONARY_BYTES = 400, 16 << 10, 32 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -175,13 +175,14 @@ def resolve(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write one record per page and return the manifest (archive, records, bytes) of the archives that count.
 
+    Rows that repeat the least page_id of equal payloads are all responses, as a revisit names its response by that id.
     A task that is run again writes archives of new names; only those of the attempt that succeeded are in the manifest.
     """
     spark = pages.sparkSession
     bounded_batches(spark, 256)
     folder = folder or new_path(spark, "warc")
-    sample = pages.select("html").where("html is not null").limit(DICTIONARY_PAGES).toArrow().column("html").to_pylist()
-    dictionary = spark.sparkContext.broadcast(train_dictionary([x.encode() for x in sample]))
+    sample = pages.select(F.substring("html", 1, DICTIONARY_CHARS).alias("html")).where("html is not null").limit(DICTIONARY_PAGES).toArrow().column("html").to_pylist()
+    dictionary = spark.sparkContext.broadcast(train_dictionary([x.encode("utf-8", "replace") for x in sample]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)

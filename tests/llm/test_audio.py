@@ -109,3 +109,13 @@ def test_stored_tensors(spark):
     for r in audio.digests(media).collect():
         assert r[:-1] == got[r.id][:-1] and r.feature.split(";")[1:3] == got[r.id].feature.split(";")[1:3]
     assert audio.stored_digests(audio.store_tensors(audio.store(spark.createDataFrame([], "doc_id long, text string")))).count() == 0
+
+
+def test_rows_without_media(spark):
+    stored = audio.store(spark.createDataFrame([(1, "some words of a text"), (2, None)], "doc_id long, text string"))
+    from pyspark.sql import functions as F
+
+    some = stored.withColumn("media", F.when(F.col("id") == 1, F.col("media")))
+    assert [r.id for r in audio.digests(some).collect()] == [1]
+    assert [r.id for r in audio.store_tensors(some).collect()] == [1]
+    assert {r.id for r in audio.tensors(some).collect()} <= {1}
