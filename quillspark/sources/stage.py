@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether a query's shuffle files are removed at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[str] = []
 _registered: list = []
 
@@ -34,26 +36,27 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """``df`` written and read again. Plans above stay small, and lost executors cost no recomputation of what is below."""
+    """``df`` written and read again. Plans above stay small, and lost executors cost no recomputation of what is below.
+
+    The shuffle files of the write go when it ends: nothing but the table is read later.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    before = df.sparkSession.conf.get(CLEANUP, "false")
+    df.sparkSession.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        df.sparkSession.conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def discard(*tables: DataFrame) -> None:
-    """Delete staged tables that no later step reads, and release what made them."""
+    """Delete staged tables that no later step reads."""
     for df in tables:
         _written.remove(df._staged_at)
         _delete(df.sparkSession, df._staged_at)
-    release(tables[0].sparkSession)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
