@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from quillspark import config
 from quillspark.operators import scoring, turns
 from quillspark.sources import pages, tables
-from quillspark.sources import transcripts as sources
+from quillspark.plans import pipeline as stages
 from quillspark.streaming import incremental
 
 PAGE = """<html><body><div><h2>Prepared Remarks</h2><strong>Jane Doe -- Acme -- Chief Executive Officer</strong>
@@ -136,9 +136,9 @@ def test_read_pages(spark, tmp_path):
     (tmp_path / "B_2022-01-27_Q1-2022_site_meta.json").write_text("{}")
     (tmp_path / "B_2022-01-27_Q1-2022_site.html").write_text(PAGE)
     for name in ("B_2022-01-27_Q1-2022_site_meta.json", "B_2022-01-27_Q1-2022_site.html"):
-        row = sources.load(spark, f"{tmp_path}/{name}", suffix="_site").first()
+        row = stages.load(spark, f"{tmp_path}/{name}", suffix="_site").first()
         assert (row.ticker, row.quarter, len(row.prepared_remarks)) == ("B", "Q1-2022", 2)
     at = tmp_path / "t.json"
     at.write_text('{"ticker": "C", "prepared_remarks": ["x"],\n "speaker_turns": [{"role": "analyst"}]}')
-    row = sources.load(spark, str(at)).first()
+    row = stages.load(spark, str(at)).first()
     assert (row.ticker, row.prepared_remarks, row.speaker_turns[0].role, row.qa_ceo) == ("C", ["x"], "analyst", None)
