@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, decontamination, language_id, line_dedup, pii, simhash_dedup, url_filter, warc
+from . import audio, bpe, decontamination, language_id, line_dedup, pii, quality, simhash_dedup, url_filter, vector_codes, warc, whitening
 from .html import extract
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, read(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done, books = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    return done.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that is no long any more raises."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_bpe": op2_bpe,
@@ -98,9 +113,37 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_html": op9_html,
     "op10_line_dedup": op10_line_dedup,
+    "op11_quality": op11_quality,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_whitening": op13_whitening,
 }
 
+#: A round of Lloyd's algorithm: every part's nearest entry of codebook c{k}, and the codebook that follows.
+_ROUND = """,
+a{k} as (
+  select vec_id, part, x, min({{'d': cast(list_dot_product(x, c) * -2 + list_dot_product(x, x) + list_dot_product(c, c) as bigint), 'e': entry}}) as best from p join c{k} using (part) group by all)"""
+_NEXT = """,
+s{k} as (
+  select part, entry, list(m order by place) as c from (
+    select part, best.e as entry, place, floor(sum(x[place]) / count(*)) as m from a{k} cross join (select unnest(range(1, len(x) + 1)) as place from p limit (select max(len(x)) from p)) group by all) group by all),
+c{n} as (select part, entry, coalesce(s{k}.c, c{k}.c) as c from c{k} left join s{k} using (part, entry))"""
+_CODES = (
+    """
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda v: floor(256 * v::double)) as x from embeddings where embedding is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0),
+p as (select vec_id, part, list_slice(x, part * (len(x) // 16) + 1, (part + 1) * (len(x) // 16)) as x from (select vec_id, x, unnest(range(16)) as part from kept)),
+c0 as (select part, cast(dense_rank() over (order by vec_id) - 1 as bigint) as entry, x as c from p where vec_id in (select vec_id from kept order by vec_id limit 64))"""
+    + "".join(_ROUND.format(k=k) + _NEXT.format(k=k, n=k + 1) for k in range(2))
+    + _ROUND.format(k=2)
+    + """,
+coded as (select vec_id, string_agg(printf('%02x', best.e), '' order by part) as code, cast(sum(best.d) as bigint) as error from a2 group by 1),
+books as (select sha256(string_agg(cast(cast(v as bigint) as varchar), ',' order by part, entry, place)) as digest from (select part, entry, unnest(c) as v, unnest(range(len(c))) as place from c2))
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, (select digest from books) as codebooks_sha256 from coded join kept using (vec_id)
+"""
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_vector_codes": _CODES,
     "op1_url_filter": """
 with cut as (
   select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),

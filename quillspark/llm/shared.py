@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.stage import discard, new_path, shared_dir
 from ..sources.stage import staged as table
 
-__all__ = ["bounded_batches", "discard", "fresh", "new_path", "numbers", "shared_dir", "slices", "table"]
+__all__ = ["bounded_batches", "discard", "fresh", "least_of_each", "new_path", "numbers", "shared_dir", "slices", "table"]
 
 #: Rows in an Arrow batch handed to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 1000
@@ -45,3 +46,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         out.append(name)
         have.add(name.lower())
     return out
+
+
+def least_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """A row of each ``key``, one of those with the least ``order``. Keys have to be few: every partition holds a row of each.
+
+    A partition passes on one row a key, so a key that very many rows have does not travel with all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        schema = None
+        for b in batches:
+            schema = b.schema
+            for i, (k, o) in enumerate(zip(b.column(key).to_pylist(), b.column(order).to_pylist())):
+                if k not in best or o < best[k][0]:
+                    best[k] = o, b.slice(i, 1).to_pylist()[0]
+        if best:
+            yield pa.RecordBatch.from_pylist([row for _, row in best.values()], schema)
+
+    one = rows.mapInArrow(run, rows.schema).groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("row"))
+    return one.select(key, "row.*").select(*rows.columns)

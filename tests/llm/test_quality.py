@@ -1,0 +1,104 @@
+import zlib
+
+import numpy as np
+
+from quillspark.llm import quality as q
+
+GOOD, BAD = "the quiet river runs past stone houses and green fields", "#### !!!! $$$$ %%%% ++++ ==== ~~~~"
+
+
+def table(n=240):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(n):
+        words = (GOOD if i % 3 else BAD).split()
+        rows.append((i, " ".join(words[int(k)] for k in rng.integers(0, len(words), 5 + i % 90)), "clash", 0.25))
+    return rows
+
+
+def frames(spark, rows, marks=None):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, predicted string, score double")
+    marks = [(i, int(i % 3 > 0), 0) for i in range(len(rows))] if marks is None else marks
+    return docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+
+
+def test_held_out_texts(spark):
+    rows = [*table(), (None, GOOD, None, None), (500, None, None, None), (501, "", None, None), (3, table()[3][1], None, None)]
+    docs, labels = frames(spark, rows, [(i, int(i % 3 > 0), 0) for i in range(240)])
+    network = q.train(docs, labels, steps=120)
+    got = q.judge(docs, network).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.id if r.id is not None else "").encode()) % 4 == 2) and r.predicted == int(r.score >= 0.7)
+    held = [r for r in got if r.held_out and r.id is not None and r.id < 240]
+    assert sum(r.predicted == (r.id % 3 > 0) for r in held) >= 0.95 * len(held) > 0
+
+
+def test_labels_of_held_out_rows_do_not_matter(spark):
+    docs, labels = frames(spark, table())
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    other = spark.createDataFrame([(i, int(i % 3 > 0) ^ held(i), 1) for i in range(240)], labels.schema)
+    a, b = (q.train(docs, x, steps=20) for x in (labels, other))
+    assert all((x == y).all() for x, y in zip(a.weights(), b.weights()))
+
+
+def test_sample_is_bounded_and_whole(spark):
+    rows = table(60)
+    many = rows + [rows[1]] * 3000 + [(1, "another text of that id", None, None)]
+    docs, labels = frames(spark, many, [(i, int(i % 3 > 0), 0) for i in range(60)] + [(5, 0, 0), (7, None, 1), (8, 1, 1)])
+    got, stands = q.labelled(docs.repartition(4), labels, "doc_id", "text", "quality", 12)
+    texts = [r["text"] for r in got.collect()]
+    assert len(texts) == 24 and set(texts) <= {r[1] for r in many}
+    free = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2 and i != 5]
+    assert stands == {c: sum((i % 3 > 0) == c for i in free) / 12 for c in (0, 1)}
+
+
+def test_nothing_to_learn(spark):
+    docs, labels = frames(spark, table(5), [(0, None, 1), (77, 1, 1)])
+    assert q.train(docs, labels) is None
+    assert {(r.score, r.predicted) for r in q.judge(docs, None).collect()} == {(0.5, 0)}
+
+
+def test_chunks_cover_every_place():
+    for n in (0, 1, 12, 1023, 1024, 1025, 1984, 1985, 5000):
+        text = "".join(chr(33 + i % 90) for i in range(n))
+        chunks, places = q.chunks_of(text)
+        seen = set()
+        for c, (chunk, k) in enumerate(zip(chunks, places)):
+            for p in range(k):
+                at = c * q.STEP + p * q.STRIDE
+                seen.add(at)
+                assert bytes(chunk[p * q.STRIDE :][: q.STRIDE * q.STRIDES]) == text.encode()[at : at + q.STRIDE * q.STRIDES].ljust(q.STRIDE * q.STRIDES, b"\0")
+        width = q.STRIDE * q.STRIDES
+        assert set(range(0, n - width + 1, q.STRIDE)) <= seen and set(range(n)) <= {a + k for a in seen for k in range(width)}
+
+
+def test_late_bytes_count():
+    rng = np.random.default_rng(0)
+    net = q.fit([[(GOOD, 1, 1.0)]])
+    net.filters, net.head = rng.normal(size=net.filters.shape).astype(np.float32), rng.normal(size=net.head.shape).astype(np.float32) / 100
+    a = "ordinary words " * 4000
+    assert q.probabilities(net, [a])[0] != q.probabilities(net, [a + "####%%%%####"])[0]
+    both = q.probabilities(net, [a, "x", "", None])
+    assert np.allclose(both, [q.probabilities(net, [t])[0] for t in (a, "x", "", None)])
+
+
+def test_gradients_are_those_of_differences():
+    net = q.fit([[(GOOD, 1, 1.0), (BAD, 0, 1.0)]])
+    texts, y, w = [GOOD * 30, BAD, "short"], np.array([1, 0, 1]), np.array([1.0, 2.0, 0.5])
+
+    def loss():
+        p = q.probabilities(net, texts)
+        return float((w * -(y * np.log(p) + (1 - y) * np.log(1 - p))).mean() + q.DECAY / 2 * sum((x.astype(float) ** 2).sum() for x in (net.vectors, net.filters, net.head)))
+
+    rng = np.random.default_rng(1)
+    for weights, g in zip(net.weights(), q._gradients(net, texts, y, w)):
+        flat, step = weights.reshape(-1), 2e-3
+        for i in rng.choice(np.argsort(-np.abs(g.ravel()))[:40], min(5, g.size), replace=False):
+            was = flat[i]
+            flat[i] = was + step
+            up = loss()
+            flat[i] = was - step
+            down = loss()
+            flat[i] = was
+            assert abs((up - down) / 2 / step - g.ravel()[i]) < 2e-3 + 0.05 * abs(g.ravel()[i])

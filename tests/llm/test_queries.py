@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "documents", "benchmark"):
+    for t in ("pages", "documents", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     found = con.execute(queries.ORACLE_SQL[name])
@@ -81,3 +81,11 @@ def test_op10_keeps_one_of_each_line(spark):
         lines, gone = (docs[r.doc_id] or "").split("\n"), {int(x) for x in r.removed_lines.split(",") if x}
         left = "\n".join(x for i, x in enumerate(lines) if i not in gone)
         assert (r.n_lines, r.n_removed, r.n_chars_left, r.text_sha256) == (len(lines), len(gone), len(left), hashlib.sha256(left.encode()).hexdigest())
+
+
+def test_op11_held_out_labels(spark):
+    truth = {r.doc_id: r.quality for r in queries.read(spark, SF, "labels").collect()}
+    rows = queries.op11_quality(spark, SF).collect()
+    assert {r.held_out for r in rows} == {False, True} and all(r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.held_out and r.doc_id in truth]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.85 * len(held) > 0
