@@ -1,44 +1,61 @@
 """Cross-sectional statistics by group: order statistics, ranks, buckets, z-scores, winsorising, rank correlation.
 
-Values are first counted by (group, value), which combines on the map side. Distinct values are then ranked in bins of
-their magnitude, and the bins' totals put the bins in order, so no task holds a group, however few groups there are. Null
-groups and null values take no part.
+Values are first counted by (group, value), which combines on the map side. Distinct values are then put in order over the
+whole table by range partitions, whose bounds Spark takes from a sample, so tasks are alike however narrow the values lie
+and however few groups there are. Each partition counts what precedes a value in it; the partitions' totals by
+group give what precedes the partition. Null groups and null values take no part.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.stage import scope, staged
 
-#: Bins of a doubling of the magnitude, and bins of a sign at most: a group has so few that one task orders their totals.
-BINS, MOST_BINS = 256, 1 << 19
+#: Rows of offsets (one for every group, and for every further partition that a group reaches into) that are broadcast at most.
+BROADCAST_OFFSETS = 500_000
 
 
-def magnitude_bin(value: Column) -> Column:
-    """A number that never falls when ``value`` grows; NaN comes last, as in Spark's order."""
-    x = value.cast("double")
-    size = F.floor(F.least(F.greatest(F.log2(F.abs(x)) * BINS, F.lit(float(1 - MOST_BINS))), F.lit(float(MOST_BINS - 1)))) + MOST_BINS
-    return F.when(F.isnan(x), 4 * MOST_BINS).when(x > 0, size).when(x < 0, -size).otherwise(0)
+def _running(group: str):  # noqa: ANN202
+    """From a partition sorted by (group, value): its number, and how many rows of the group precede each value in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before = None, 0  # the group of the last row, and its rows so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, n = b.column(group), b.column("n").to_numpy()
+            new = np.concatenate([[g[0] != last], pc.not_equal(g.slice(1), g.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)]).astype(bool)
+            total = np.cumsum(n)
+            first = np.maximum.accumulate(np.where(new, np.arange(len(n)), -1))
+            carried = np.where(first < 0, before, -(total - n)[np.maximum(first, 0)])
+            upto = total + carried
+            last, before = g[-1], int(upto[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(upto - n)], [*b.schema.names, "_inside"])
+
+    return run
 
 
 def value_ranks(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, value, n, below, m): how many rows have the value, how many a lesser one, and how many there are."""
     counts = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("_bin", magnitude_bin(F.col(value)))
-    to_here = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = counts.groupBy(group, "_bin").agg(F.sum("n").alias("_n"))
+    # NaN comes last in Spark's order; zeros of either sign are one group already
+    ranges = counts.repartitionByRange(group, value).sortWithinPartitions(group, value).withColumn("_part", F.spark_partition_id())
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranges.schema)
+    placed = staged(ranges.mapInArrow(_running(group), kinds + ", _inside long"), "ranges")
+    totals = placed.groupBy(group, "_part").agg(F.sum("n").alias("_n"))
     of_group = Window.partitionBy(group)
-    bins = bins.select(
-        F.col(group).alias("_bg"), F.col("_bin").alias("_bb"), (F.sum("_n").over(to_here(of_group.orderBy("_bin"))) - F.col("_n")).alias("_before"), F.sum("_n").over(of_group).alias("m")
-    )
-    inside = F.sum("n").over(to_here(Window.partitionBy(group, "_bin").orderBy(value))) - F.col("n")
-    ranked = counts.withColumn("_inside", inside).join(bins, (F.col(group) == F.col("_bg")) & (F.col("_bin") == F.col("_bb")))
+    before = F.sum("_n").over(of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    offsets = staged(totals.select(F.col(group).alias("_og"), F.col("_part").alias("_op"), before.alias("_before"), F.sum("_n").over(of_group).alias("m")), "offsets")
+    small = offsets.count() <= BROADCAST_OFFSETS
+    ranked = placed.join(F.broadcast(offsets) if small else offsets, (F.col(group) == F.col("_og")) & (F.col("_part") == F.col("_op")))
     return ranked.select(group, value, "n", (F.col("_before") + F.col("_inside")).alias("below"), "m")
 
 
@@ -118,8 +135,10 @@ def winsorize(df: DataFrame, columns: Sequence[str], low: float = 0.025, high: f
     if not columns:
         return df
     long = df.select(*columns).unpivot([], columns, "_column", "_value")
-    found = quantiles(value_ranks(long, "_column", "_value"), "_column", "_value", [low, high])
-    bounds = found.agg(*[F.max(F.when(F.col("_column") == c, F.col("edges"))).alias(f"_b_{c}") for c in columns])
+    with scope() as own:
+        found = quantiles(value_ranks(long, "_column", "_value"), "_column", "_value", [low, high])
+        bounds = staged(found.agg(*[F.max(F.when(F.col("_column") == c, F.col("edges"))).alias(f"_b_{c}") for c in columns]), "bounds")
+        own.keep(bounds)
     joined = df.crossJoin(F.broadcast(bounds))  # one row
     new = {}
     for c in columns:
@@ -133,46 +152,37 @@ def rank_correlation(df: DataFrame, group: str, x: str, y: str, least: int, null
 
     A group without a complete row is kept, with null.
     """
-    every = df.where(F.col(group).isNotNull()).select(group).distinct()
-    full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, x, y)
-    ranked = average_ranks(average_ranks(full, group, x, "_rx"), group, y, "_ry")
-    found = ranked.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.covar_pop("_rx", "_ry").alias("c"), F.stddev_pop("_rx").alias("sx"), F.stddev_pop("_ry").alias("sy")
-    )
-    r = F.when((F.col("n") >= least) & (F.col("sx") > 0) & (F.col("sy") > 0), F.try_divide("c", F.col("sx") * F.col("sy")))
-    return every.join(found.select(group, r.alias("ic"), "n"), group, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-
-
-def student_p(r: float | None, n: int) -> float | None:
-    """Two-sided p of a correlation of n pairs, by the t distribution's regularised incomplete beta function."""
-    if r is None or n < 3:
-        return None
-    if abs(r) >= 1:
-        return 0.0
-    v = n - 2
-    t = r * math.sqrt(v / (1 - r * r))
-    return _betainc(v / 2, 0.5, v / (v + t * t))
-
-
-def _betainc(a: float, b: float, x: float) -> float:
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _betainc(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    # Lentz's method for the continued fraction
-    tiny, c, d, f = 1e-300, 1.0, 0.0, 1.0
-    for k in range(400):
-        m = k // 2
-        if k == 0:
-            num = 1.0
-        elif k % 2 == 0:
-            num = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            num = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / (1 + num * d or tiny)
-        c = 1 + num / c or tiny
-        f *= c * d
-        if abs(1 - c * d) < 1e-14:
-            break
-    return front * (f - 1)
+    with scope() as own:
+        every = df.where(F.col(group).isNotNull()).select(group).distinct()
+        full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, x, y)
+        ranked = average_ranks(average_ranks(full, group, x, "_rx"), group, y, "_ry")
+        found = ranked.groupBy(group).agg(
+            F.count(F.lit(1)).alias("n"), F.covar_pop("_rx", "_ry").alias("c"), F.stddev_pop("_rx").alias("sx"), F.stddev_pop("_ry").alias("sy")
+        )
+        r = F.when((F.col("n") >= least) & (F.col("sx") > 0) & (F.col("sy") > 0), F.try_divide("c", F.col("sx") * F.col("sy")))
+        out = staged(every.join(found.select(group, r.alias("ic"), "n"), group, "left").withColumn("n", F.coalesce("n", F.lit(0))), "ic")
+        own.keep(out)
+    return out
+
+
+#: Steps of the rule that integrates, and standard deviations beyond which nothing is left.
+STEPS, TAIL = 1024, 9.0
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation ``r`` of ``n`` independent pairs; null for under three pairs, 0 for a perfect one.
+
+    Under independence a correlation is the sine of an angle whose density goes as its cosine to the power n - 3. Both
+    integrals, of the tail and of the whole, are a fold of STEPS terms by Simpson's rule.
+    """
+    k = n.cast("double") - 3
+
+    def integral(begin: Column) -> Column:
+        end = F.least(F.lit(np.pi / 2), begin + TAIL / F.sqrt(F.greatest(k, F.lit(1e-9))))
+        step = (end - begin) / STEPS
+        weight = lambda i: F.when((i == 0) | (i == STEPS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        terms = F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), F.lit(0.0), lambda s, i: s + weight(i) * F.pow(F.greatest(F.cos(begin + i * step), F.lit(0.0)), k))
+        return terms * step / 3
+
+    size = F.least(F.abs(r), F.lit(1.0))
+    return F.when(r.isNull() | n.isNull() | (n < 3), None).when(size >= 1, 0.0).otherwise(F.least(F.lit(1.0), integral(F.asin(size)) / integral(F.lit(0.0))))

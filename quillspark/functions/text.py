@@ -31,7 +31,7 @@ def sentences(c: Column, longer_than: int = 20) -> Column:
     Splits by rule: abbreviations end sentences too, unlike in a trained tokenizer.
     """
     parts = F.split(F.regexp_replace(clean(c), r"([.!?])\s+", "$1\x01"), "\x01")
-    return F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), F.trim), lambda s: F.length(s) > longer_than)
+    return F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda s: F.trim(s)), lambda s: F.length(s) > longer_than)
 
 
 def has_any(c: Column, keywords: Iterable[str], whole_words: bool = False) -> Column:

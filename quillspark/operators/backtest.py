@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..sources.stage import staged
+from ..sources.stage import scope, staged
 
 #: Quarters in a year.
 YEAR = 4
@@ -21,8 +21,11 @@ def valid_rows(signals: DataFrame, signal: str = "composite_z") -> DataFrame:
 
 def tertiles(signals: DataFrame, n: int = 3, signal: str = "composite_z", row_id: Sequence[str] = ("ticker", "date")) -> DataFrame:
     """Valid rows with their bucket of ``n`` by quarter, in the column ``quintile`` for compatibility."""
-    rows = staged(valid_rows(signals, signal).drop("quintile"), "valid")
-    return staged(stats.buckets(rows, "quarter", signal, n, list(row_id), "quintile"), "tertiles")
+    with scope() as own:
+        rows = valid_rows(signals, signal).drop("quintile")
+        out = staged(stats.buckets(rows, "quarter", signal, n, list(row_id), "quintile"), "tertiles")
+        own.keep(out)
+    return out
 
 
 def bucket_distribution(rows: DataFrame, n: int = 3) -> DataFrame:

@@ -22,8 +22,10 @@ def long_prices(wide: DataFrame, date_col: str = "date") -> DataFrame:
 def fill_forward(prices: DataFrame) -> DataFrame:
     """One close for every ticker and day of the union calendar from the ticker's first close on.
 
-    The calendar is one row with an array, bounded by the number of trading days.
+    Of repeated rows of a ticker and day the greatest close counts. The calendar is one row with an array, bounded by the
+    number of trading days.
     """
+    prices = prices.groupBy("ticker", "date").agg(F.max("close").alias("close"))
     calendar = prices.agg(F.array_sort(F.collect_set("date")).alias("days"))
     grid = prices.select("ticker").distinct().crossJoin(F.broadcast(calendar)).select("ticker", F.explode("days").alias("date"))
     w = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -57,6 +59,50 @@ def forward_returns(calls: DataFrame, prices: DataFrame, horizons: Sequence[int]
     return found.select("ticker", "date", hit["t1"].alias("t1"), *[hit[c].alias(c) for c in names])
 
 
+#: Days of a slice.
+SLICE = 90
+
+
+def _slice(date: F.Column, days: int) -> F.Column:
+    return F.floor(F.unix_date(date) / days)
+
+
+def sliced_returns(calls: DataFrame, prices: DataFrame, horizons: Sequence[int] = HORIZONS, digits: int = 6, days: int = SLICE) -> DataFrame:
+    """The rows of ``forward_returns``, with a ticker's time cut into slices, so that one ticker is many tasks.
+
+    A slice needs a few rows of what comes after it: the closes up to the farthest horizon, and the first price after the
+    slice's calls. The former come from numbering a ticker's prices through its slices and repeating the first rows of each
+    block of numbers in the block before; the latter from a table of the slices' first prices. What one task orders is a
+    block, a slice, or a ticker's slices.
+    """
+    far = max(horizons)
+    known = prices.where(F.col("close").isNotNull() & F.col("date").isNotNull()).select("ticker", "date", "close", _slice(F.col("date"), days).alias("s"))
+    upto = lambda *order: Window.partitionBy("ticker").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = known.groupBy("ticker", "s").agg(F.count(F.lit(1)).alias("size"))
+    begins = sizes.select("ticker", "s", (F.sum("size").over(upto("s")) - F.col("size")).alias("begin"))
+    inside = F.row_number().over(Window.partitionBy("ticker", "s").orderBy("date", "close"))
+    placed = known.withColumn("i", inside).join(begins, ["ticker", "s"]).withColumn("i", F.col("begin") + F.col("i") - 1)
+    # a block holds as many numbers as the farthest horizon at least, so what it lacks is in the next one
+    size = max(far, days)
+    block = F.floor(F.col("i") / size)
+    own = placed.select("ticker", "date", "close", "s", "i", F.explode(F.when((F.col("i") % size < far) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))).alias("block"))
+    ahead = Window.partitionBy("ticker", "block").orderBy("i")
+    names = [f"fwd_{n}d" for n in horizons]
+    days_of = own.withColumns({c: F.round(F.try_divide(F.lead("close", n).over(ahead), "close") - 1, digits) for c, n in zip(names, horizons)})
+    day = days_of.where(F.floor(F.col("i") / size) == F.col("block")).select("ticker", "date", "s", F.struct(F.col("date").alias("t1"), *names).alias("p"), F.lit(0).alias("call"))
+    call = calls.select("ticker", "date").distinct().withColumn("s", _slice(F.col("date"), days)).withColumns({"p": F.lit(None).cast(day.schema["p"].dataType), "call": F.lit(1)})
+    call = call.select("ticker", "date", "s", "p", "call")
+    rows = day.unionByName(call)
+    firsts = rows.groupBy("ticker", "s").agg(F.min_by("p", F.when(F.col("call") == 0, F.col("date"))).alias("first"))
+    after = Window.partitionBy("ticker").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = firsts.select(F.col("ticker").alias("_t"), F.col("s").alias("_s"), F.last("first", ignorenulls=True).over(after).alias("carried"))
+    w = Window.partitionBy("ticker", "s").orderBy(F.col("date").desc(), F.col("call").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("next", F.last("p", ignorenulls=True).over(w)).where("call = 1")
+    found = found.join(carried, F.col("ticker").eqNullSafe(F.col("_t")) & F.col("s").eqNullSafe(F.col("_s")), "left")
+    hit = F.when(F.col("date").isNotNull(), F.coalesce("next", "carried"))
+    return found.select("ticker", "date", hit["t1"].alias("t1"), *[hit[c].alias(c) for c in names])
+
+
 def with_returns(rows: DataFrame, returns: DataFrame) -> DataFrame:
     """``rows`` with the returns of their (ticker, date), null where there are none; nothing fans out."""
     return rows.join(returns.drop("t1"), ["ticker", "date"], "left")

@@ -33,7 +33,8 @@ def composite(df: DataFrame, config: SignalConfig) -> DataFrame:
 def standardize(df: DataFrame, config: SignalConfig) -> DataFrame:
     """Winsorised over the whole table, then z-scored by quarter."""
     columns = [c for c in config.columns if c in df.columns]
-    df = staged(stats.winsorize(df, columns, *config.winsor, digits=config.digits), "winsorized")
+    df = staged(df, "unclipped")
+    df = stats.winsorize(df, columns, *config.winsor, digits=config.digits)
     return stats.zscore(df, "quarter", columns, suffix_in="_w", digits=config.digits)
 
 
@@ -43,19 +44,17 @@ def build_signals(scores: DataFrame, prices: DataFrame, config: SignalConfig | N
     Ranks that tie fall to the lesser (ticker, date).
     """
     config = config or SignalConfig()
-    scores = staged(scores, "scores")
-    rows = staged(with_returns(add_sector(scores, sectors), forward_returns(scores, prices, config.horizons)), "returns")
+    rows = with_returns(add_sector(scores, sectors), forward_returns(scores, prices, config.horizons))
     rows = staged(composite(staged(standardize(rows, config), "standard"), config), "composite")
     return stats.buckets(rows, "quarter", "composite_z", config.buckets, ["ticker", "date"], "quintile")
 
 
 def pooled_ic(signals: DataFrame, returns: list[str], signal: str = "composite_z", digits: int = 4) -> DataFrame:
-    """(horizon, ic, p, n) of all rows together; null under five complete rows. One job for all horizons."""
+    """(horizon, ic, p, n) of all rows together; null under five complete rows. One pass for all horizons."""
     long = signals.select(signal, *returns).unpivot([signal], returns, "horizon", "ret")
     found = stats.rank_correlation(long, "horizon", signal, "ret", 5)
-    rows = [(r["horizon"], r["ic"], r["n"]) for r in found.limit(len(returns)).collect()]  # a row for each horizon
-    out = [(h, None if ic is None else round(ic, digits), (lambda p: None if p is None else round(p, digits))(stats.student_p(ic, n)), n) for h, ic, n in rows]
-    return signals.sparkSession.createDataFrame(out, "horizon string, ic double, p double, n long")
+    exact = found.withColumn("p", stats.correlation_p(F.col("ic"), F.col("n")))
+    return exact.select("horizon", F.round("ic", digits).alias("ic"), F.round("p", digits).alias("p"), "n")
 
 
 def summary(signals: DataFrame, ret: str = "fwd_5d", digits: int = 4) -> DataFrame:

@@ -126,13 +126,49 @@ def _tone() -> str:
     return _with(parts, "select cast(doc_id as varchar) as ticker, * exclude (doc_id), round(qa_ceo_net - prep_net, 5) as qa_delta from wide")
 
 
+def _tail(begin: str) -> str:
+    """The integral of cos(x) ^ (n - 3) from ``begin`` on."""
+    end = f"least(pi() / 2, {begin} + 10 / sqrt(greatest(n - 3, 1e-9)))"
+    return f"list_sum(list_transform(range(4097), lambda i: case when i % 4096 = 0 then 1 when i % 2 = 1 then 4 else 2 end * pow(greatest(cos({begin} + i * ({end} - {begin}) / 4096), 0), n - 3))) * ({end} - {begin}) / 12288"
+
+
+_P = f"case when n < 3 or ic is null then null when abs(ic) >= 1 then 0 else {_tail('asin(abs(ic))')} / ({_tail('0e0')}) end"
+_STAMP = "strftime({x}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+def _windowed(starts: str, length: str) -> str:
+    """Counts and sums of the events of a user in windows of a length that begin at each of ``starts``."""
+    return f"""with w as (select user_id, unnest({starts}) as b, value from events)
+        select user_id, {_STAMP.format(x="b")} as start, {_STAMP.format(x=f"b + interval {length}")} as end, count(*) as n, round(sum(value), 4) as total from w group by user_id, b"""
+
+
 #: Paragraphs beside the heading of a page, as text without tags; one whose bold part is short is a speaker's label.
 _PARAGRAPHS = """with inside as (select page_id, regexp_extract(html, '(?s)</h1>(.*)</article>', 1) as x from pages),
     parts as (select page_id, unnest(string_split(x, '<p>')[2:]) as part, unnest(range(1, len(string_split(x, '<p>')))) as place from inside),
     bare as (select page_id, place, starts_with(part, '<b>') as bold, replace(replace(replace(replace(replace(trim(regexp_replace(part, '<[^>]*>', '', 'g')), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&amp;', '&') as text from parts)
     """
 
+_FILINGS = """select lpad(cast(user_id as varchar), 10, '0') as cik, cast(cast(ts as date) as varchar) as date, event_id || '-24-' || coalesce(json_extract_string(props, '$.k'), '') as accession,
+        'https://host/data/' || user_id || '/' || event_id || '24' || coalesce(json_extract_string(props, '$.k'), '') || '/' || event_id || '24' || coalesce(json_extract_string(props, '$.k'), '') || '-index.htm' as index_url,
+        'https://host/data/' || user_id || '/' || event_id || '24' || coalesce(json_extract_string(props, '$.k'), '') || '/' || event_type || '.htm' as document_url from events where event_type = 'purchase'"""
+
 ORACLE_SQL: dict[str, str] = {
+    "pooled_ic_p": _sql(f"select horizon, round(ic, 4) as ic, round({_P}, 4) as p, n from found", long=_LONG.format(t="rows"), ranked=_ranked("long", "horizon", "composite_z", "ret"), found=_ic("horizon", 5)),
+    "sliced_returns": _sql("select * from rets", "rets"),
+    "loaded_prices": _sql("select ticker, date, close from prices", "prices"),
+    "full_backtest": _sweep(),
+    "merged_summaries": _sql("select quarter, count(*) as n, true as distinct_near, true as quartiles_near from scores group by 1", "scores"),
+    "failed_pages": "select 'P_' || page_id || '_Q1' as name, 'ValueError: no page' as error from pages where page_id % 9 = 4 or html is null",
+    "parsed_pages": _PARAGRAPHS + """select 'P' as ticker, cast(page_id as varchar) as page, 'Q1' as quarter, count(*) filter (length(text) between 4 and 149) as n_participants
+        from (select page_id from pages where page_id % 9 <> 4 and html is not null) left join bare using (page_id) group by page_id""",
+    "not_landed": r"""with p as (select *, page_id % 5 <> 2 as there, page_id % 9 <> 4 and html is not null as page, regexp_matches(lower(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')), 'the |éa') as marked from pages)
+        select cast(page_id % 10 as varchar) as ticker, cast(page_id as varchar) as page, case when not there then 'not fetched' when not page then 'empty page' else 'no transcript' end as error from p where not (there and page and marked)""",
+    "event_sessions": f"""with o as (select user_id, ts, value, event_id, case when ts >= lag(ts) over w + interval 6 hours then 1 else 0 end as new from events window w as (partition by user_id order by ts, event_id)),
+        g as (select *, sum(new) over (partition by user_id order by ts, event_id) as k from o)
+        select user_id, {_STAMP.format(x="min(ts)")} as start, {_STAMP.format(x="max(ts) + interval 6 hours")} as end, count(*) as n, round(sum(value), 4) as total from g group by user_id, k""",
+    "tumbling_windows": _windowed("[date_trunc('hour', ts)]", "1 hour"),
+    "sliding_windows": _windowed("[date_trunc('hour', ts), date_trunc('hour', ts) - interval 1 hour]", "2 hours"),
+    "deduplicated_events": "select event_id, user_id, event_type, value from events",
     "page_participants": _PARAGRAPHS + "select page_id, row_number() over (partition by page_id order by place) - 1 as pos, text as line from bare where length(text) between 4 and 149",
     "page_elements": _PARAGRAPHS + """, kind as (select *, bold and length(text) < 120 and length(text) - length(replace(text, '.', '')) <= 1 as is_label from bare where text <> '')
         select page_id, 'prepared_remarks' as section, row_number() over (partition by page_id order by place) - 1 as pos, is_label, case when is_label then text end as label, case when is_label then '' else text end as text from kind""",
@@ -186,7 +222,6 @@ ORACLE_SQL: dict[str, str] = {
         case o_orderkey % 4 when 0 then 'Q' || quarter(o_orderdate) || '-' || year(o_orderdate) when 1 then 'Q' || quarter(o_orderdate) || '-' || (year(o_orderdate) + 1) else '' end as quarter from orders""",
     "url_dates": "select page_id, case when len(string_split(url, '/')) > 4 then string_split(url, '/')[3] || '-' || string_split(url, '/')[4] || '-' || string_split(url, '/')[5] else 'unknown' end as url_date from pages",
     "gated_pages": r"""select page_id from pages where regexp_matches(lower(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')), 'the |éa')""",
-    "filing_rows": """select lpad(cast(user_id as varchar), 10, '0') as cik, cast(cast(ts as date) as varchar) as date, event_id || '-24-' || coalesce(json_extract_string(props, '$.k'), '') as accession,
-        'https://host/data/' || user_id || '/' || event_id || '24' || coalesce(json_extract_string(props, '$.k'), '') || '/' || event_id || '24' || coalesce(json_extract_string(props, '$.k'), '') || '-index.htm' as index_url,
-        'https://host/data/' || user_id || '/' || event_id || '24' || coalesce(json_extract_string(props, '$.k'), '') || '/' || event_type || '.htm' as document_url from events where event_type = 'purchase'""",
+    "filing_rows": _FILINGS,
+    "read_filings": _FILINGS,
 }

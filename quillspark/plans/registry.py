@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import LEGACY_WEIGHTS, SignalConfig
-from ..functions import stats
+from ..functions import stats, summaries
 from ..functions import text as t
-from ..operators import backtest, returns, scoring, signals, turns
-from ..sources import filings, pages, tables
+from ..operators import backtest, boundaries, returns, scoring, signals, turns
+from ..sources import commits, filings, pages, tables
 from ..sources.stage import new_path
+from ..streaming import events
 from . import pipeline
 from . import stand_ins as s
 from .oracle import ORACLE_SQL as ORACLE_SQL
@@ -26,15 +27,26 @@ FWD = ["fwd_1d", "fwd_5d", "fwd_20d"]
 
 
 def _signals(spark: SparkSession, d: str, weights: dict[str, float] | None = None) -> DataFrame:
-    """The signals of a folder's tables: built and written once a session, and read again by every later query."""
+    """The signals of a folder's tables: built and written once a session, and read again by every later query.
+
+    They are built anew when a file of the tables they come from is another one.
+    """
     config = CONFIG if weights is None else replace(CONFIG, weights=weights)
-    own = spark.sparkContext.applicationId, d, tuple(config.weights.items())
+    files = tuple(sorted(x for name in ("lineitem", "orders", "supplier", "nation") for x in _listing(spark, f"{d}/{name}.parquet")))
+    own = spark.sparkContext.applicationId, d, files, tuple(config.weights.items())
     if own not in _paths:
         _paths[own] = new_path(spark, "signals")
     return pipeline.signals_table(spark, s.scores(spark, d), s.prices(spark, d), _paths[own], config=config, sectors=s.sectors(spark, d))
 
 
-#: Where the signals of a session, folder and weights are.
+def _listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, time, size) of a table's files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return [(x.getPath().toString(), x.getModificationTime(), x.getLen()) for x in found]
+
+
+#: Where the signals of a session, folder, files and weights are.
 _paths: dict[tuple, str] = {}
 
 
@@ -64,6 +76,18 @@ def forward_returns(spark: SparkSession, d: str) -> DataFrame:
     return returns.forward_returns(s.scores(spark, d), returns.fill_forward(s.prices(spark, d)))
 
 
+def sliced_returns(spark: SparkSession, d: str) -> DataFrame:
+    """Forward returns with every ticker's time cut into slices."""
+    return returns.sliced_returns(s.scores(spark, d), returns.fill_forward(s.prices(spark, d)))
+
+
+def loaded_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Prices written by a first call and read by a second, which makes none."""
+    path = new_path(spark, "prices")
+    pipeline.prices_table(spark, lambda: s.prices(spark, d), path)
+    return pipeline.prices_table(spark, lambda: s.prices(spark, d).where("false"), path)
+
+
 def sector_lookup(spark: SparkSession, d: str) -> DataFrame:
     return signals.add_sector(s.scores(spark, d), s.sectors(spark, d)).select("ticker", "quarter", "date", "sector")
 
@@ -136,6 +160,11 @@ def horizon_sweep(spark: SparkSession, d: str) -> DataFrame:
     return backtest.horizon_sweep(_signals(spark, d))
 
 
+def full_backtest(spark: SparkSession, d: str) -> DataFrame:
+    """The result lines of the last stage, from the signals table to every table behind a chart."""
+    return pipeline.evaluate_all(_signals(spark, d))["results"]
+
+
 def quarters_by_ticker(spark: SparkSession, d: str) -> DataFrame:
     return backtest.quarters_by_ticker(s.scores(spark, d)).select("ticker", F.array_join("quarters", ",").alias("quarters"))
 
@@ -146,6 +175,23 @@ def new_calls(spark: SparkSession, d: str) -> DataFrame:
     return tables.not_done(rows, rows.where("ticker % 2 = 0"), ["ticker", "date"])
 
 
+def merged_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries of two increments of calls, merged by quarter: whether distinct tickers and quartiles are within their bounds."""
+    rows, path = s.scores(spark, d).select("ticker", "date", "quarter", "guidance_net"), new_path(spark, "summaries")
+    first = rows.where("ticker % 2 = 0")
+    for part in (first, tables.not_done(rows, first, ["ticker", "date"])):
+        commits.append(summaries.summarise(part, ["quarter"], ["ticker"], ["guidance_net"]), path)
+    found = summaries.estimates(summaries.merged(commits.read_table(spark, path), ["quarter"]))
+    exact = rows.groupBy(F.col("quarter").alias("q")).agg(F.countDistinct("ticker").alias("tickers"))
+    x = F.col("guidance_net")
+    edges = found.select(F.col("quarter").alias("e"), "quantiles_guidance_net")
+    below = [F.avg(f(x, F.col("quantiles_guidance_net")[k]).cast("double")).alias(f"{name}{k}") for k in range(3) for name, f in (("under", lambda a, b: a < b), ("upto", lambda a, b: a <= b))]
+    ranks = rows.join(edges, F.col("quarter") == F.col("e")).groupBy("e").agg(*below)
+    near = [(F.col(f"under{k}") <= q + 0.02) & (F.col(f"upto{k}") >= q - 0.02) for k, q in enumerate((0.25, 0.5, 0.75))]
+    both = found.join(exact, F.col("quarter") == F.col("q")).join(ranks, F.col("quarter") == F.col("e"))
+    return both.select("quarter", "n", (F.abs(F.col("distinct_ticker") - F.col("tickers")) <= 1 + F.col("tickers") / 25).alias("distinct_near"), (near[0] & near[1] & near[2]).alias("quartiles_near"))
+
+
 def union_scores(spark: SparkSession, d: str) -> DataFrame:
     """Old rows without a column and new rows, as one table."""
     rows = s.scores(spark, d).select("ticker", "quarter", "lm_uncertainty")
@@ -161,6 +207,13 @@ def text_scores(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def learnt_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of every document by boundaries learnt from all of them, beside those by rule."""
+    docs = s.read(spark, d, "documents").select("doc_id", "text")
+    found = boundaries.split(docs, boundaries.learn(docs), longer_than=0)
+    return found.select("doc_id", F.size("sentences").cast("long").alias("n_sents"), F.size(t.sentences(F.col("text"), 0)).cast("long").alias("n_by_rule"))
+
+
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     return turns.speaker_turns(s.elements(spark, d), turns.role_lookup(s.participants(spark, d)))
 
@@ -271,8 +324,91 @@ def page_elements(spark: SparkSession, d: str) -> DataFrame:
     return got.select("page_id", F.explode("parts.elements").alias("e")).select("page_id", "e.section", F.col("e.pos").cast("long").alias("pos"), "e.is_label", "e.label", "e.text")
 
 
-def filing_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Events of a user zipped as parallel arrays, of one form, with their addresses."""
+def failed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The side table of a run over all pages, and of one that takes up where it ended."""
+    raw = s.read(spark, d, "pages").select(F.concat(F.lit("P_"), F.col("page_id").cast("string"), F.lit("_Q1")).alias("name"), F.when(F.col("page_id") % 9 != 4, F.col("html")).alias("html"))
+    done, failed = new_path(spark, "transcripts"), new_path(spark, "failed")
+    for rows in (raw.where("html is not null"), raw, raw):
+        pipeline.parse_all(rows, done, errors_path=failed, participants="", header_tag="h1", label_tag="b")
+    return commits.read_table(spark, failed)
+
+
+def parsed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The transcripts of a run over half of the pages, and of one over all that takes up where it ended."""
+    raw = s.read(spark, d, "pages").select(F.concat(F.lit("P_"), F.col("page_id").cast("string"), F.lit("_Q1")).alias("name"), F.when(F.col("page_id") % 9 != 4, F.col("html")).alias("html"))
+    path = new_path(spark, "transcripts")
+    for rows in (raw.where(F.crc32(F.col("name").cast("binary")) % 2 == 0), raw):
+        done = pipeline.parse_all(rows, path, participants="", header_tag="h1", label_tag="b")
+    return done.select("ticker", F.col("date").alias("page"), "quarter", F.size("call_participants").cast("long").alias("n_participants"))
+
+
+def not_landed(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses of pages by host, some of which were not fetched, or hold no transcript."""
+    p = s.read(spark, d, "pages").select("page_id", "url", F.when(F.col("page_id") % 9 != 4, F.col("html")).alias("html"))
+    urls = p.groupBy((F.col("page_id") % 10).cast("string").alias("ticker")).agg(F.collect_list(F.concat("url", F.lit("#"), F.col("page_id").cast("string"))).alias("urls"))
+    raw = p.where("page_id % 5 <> 2").select(F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url"), "html")
+    return pipeline.not_landed(raw, urls, ("the ", "éa")).select("ticker", F.element_at(F.split("url", "#"), -1).alias("page"), "error")
+
+
+def _slices(spark: SparkSession, d: str) -> tuple[list[DataFrame], DataFrame]:
+    """Events in four slices of time, and a row after all others that closes what is open."""
+    e = s.read(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return [e], e
+    cuts = [first + (last - first) * k / 4 for k in range(1, 4)]
+    edges = [None, *cuts, None]
+    within = lambda a, b: e.where((F.lit(True) if a is None else F.col("ts") >= F.lit(a)) & (F.lit(True) if b is None else F.col("ts") < F.lit(b)))
+    end = e.agg((F.max("ts") + F.expr("interval 10 days")).alias("ts")).select(F.lit(None).cast("long").alias("event_id"), "ts", F.lit(None).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
+    return [within(a, b) for a, b in zip(edges, edges[1:])], end
+
+
+def _streamed(spark: SparkSession, d: str, step: Callable[[DataFrame], DataFrame], twice: bool = False) -> DataFrame:
+    """What ``step`` gives for a stream of the slices, one run for each; ``twice``: a third of the rows of each come again in it."""
+    folder, out, state = (new_path(spark, x) for x in ("in", "out", "state"))
+    slices, end = _slices(spark, d)
+    for rows in (*slices, end):
+        again = rows.unionByName(rows.where("event_id % 3 = 0")) if twice else rows
+        again.write.mode("append").parquet(folder)
+        events.run(spark, folder, rows.schema, step, out, state, files=1000)
+    return commits.read_table(spark, out)
+
+
+def _ends(df: DataFrame) -> DataFrame:
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return df.select("user_id", text("start"), text("end"), "n", F.round("total", 4).alias("total"))
+
+
+def _windows(rows: DataFrame, kind: Callable[[], F.Column]) -> DataFrame:
+    return events.windowed(rows, ["user_id"], "ts", kind(), [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")], "1 hour")
+
+
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return _ends(_streamed(spark, d, lambda rows: _windows(rows, lambda: events.session("ts", "6 hours"))))
+
+
+def tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
+    return _ends(_streamed(spark, d, lambda rows: _windows(rows, lambda: events.tumbling("ts", "1 hour"))))
+
+
+def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
+    return _ends(_streamed(spark, d, lambda rows: _windows(rows, lambda: events.sliding("ts", "2 hours", "1 hour"))))
+
+
+def deduplicated_events(spark: SparkSession, d: str) -> DataFrame:
+    """A stream in which a third of the events come twice."""
+    return _streamed(spark, d, lambda rows: events.distinct_events(rows, ["event_id"], "ts", "1 hour"), twice=True).where("event_id is not null").select("event_id", "user_id", "event_type", "value")
+
+
+def read_filings(spark: SparkSession, d: str) -> DataFrame:
+    """The lists of ``filing_rows`` as files, read again."""
+    path = new_path(spark, "submissions")
+    _submissions(spark, d).write.json(path)
+    return _filed(filings.read_submissions(spark, path, whole_files=False))
+
+
+def _submissions(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a user as parallel arrays."""
     e = s.read(spark, d, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").alias("k"), F.to_date("ts").cast("string").alias("day"), "event_type")
     one = F.array_sort(F.collect_list(F.struct("event_id", "event_type", "day", "k")))
     field = lambda f: F.transform("r", f)
@@ -280,17 +416,26 @@ def filing_rows(spark: SparkSession, d: str) -> DataFrame:
         field(lambda x: x["event_type"]).alias("form"), field(lambda x: x["day"]).alias("filingDate"),
         field(lambda x: F.concat(x["event_id"].cast("string"), F.lit("-24-"), F.coalesce(x["k"], F.lit("")))).alias("accessionNumber"), field(lambda x: F.concat(x["event_type"], F.lit(".htm"))).alias("primaryDocument"),
     )
-    subs = e.groupBy("user_id").agg(one.alias("r")).select(filings.padded_cik(F.col("user_id")).alias("cik"), F.struct(recent.alias("recent")).alias("filings"))
+    return e.groupBy("user_id").agg(one.alias("r")).select(filings.padded_cik(F.col("user_id")).alias("cik"), F.struct(recent.alias("recent")).alias("filings"))
+
+
+def _filed(subs: DataFrame) -> DataFrame:
     rows = filings.filings(subs, "purchase")
     return rows.select("cik", "date", "accession", filings.index_url("https://host/data", F.col("cik"), F.col("accession")).alias("index_url"), filings.document_url("https://host/data", F.col("cik"), F.col("accession"), F.col("primary_document")).alias("document_url"))
 
 
+def filing_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a user zipped as parallel arrays, of one form, with their addresses."""
+    return _filed(_submissions(spark, d))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         bucket_returns, daily_prices, wide_prices, filled_prices, forward_returns, sector_lookup, winsorized, zscores, signal_rows, legacy_signal_rows, pooled_ic, pooled_ic_p, signal_summary,
         tertile_rows, bucket_distribution, quarterly_ic, icir, factor_decay, long_short, long_short_series, bucket_spread, horizon_sweep, quarters_by_ticker, new_calls, union_scores,
         text_scores, role_lookup, speaker_turns, transcripts, transcript_scores, file_names, url_dates, gated_pages, page_participants, page_elements, filing_rows, scored_in_parts, call_dates, company_keys, merged_metadata, signal_stats, signal_head,
+        sliced_returns, loaded_prices, full_backtest, merged_summaries, learnt_sentences, failed_pages, parsed_pages, not_landed, event_sessions, tumbling_windows, sliding_windows, deduplicated_events, read_filings,
     )
 }
 FLAGSHIP = "bucket_returns"

@@ -11,7 +11,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 
 ELEMENT = _struct(section=S, pos=I, is_label=T.BooleanType(), label=S, text=S)
-PAGE_PARTS = _struct(participants=TEXTS, has_prepared=T.BooleanType(), has_qa=T.BooleanType(), elements=T.ArrayType(ELEMENT))
+PAGE_PARTS = _struct(participants=TEXTS, has_prepared=T.BooleanType(), has_qa=T.BooleanType(), elements=T.ArrayType(ELEMENT), error=S)
 TURN = _struct(speaker_raw=S, speaker_name=S, speaker_title=S, role=S, text=S, sentences=TEXTS, section=S)
 TRANSCRIPT = _struct(
     ticker=S, date=S, quarter=S, source=S, source_url=S, word_count=I, sentence_count=I, prepared_remarks=TEXTS, qa_ceo=TEXTS, qa_analyst=TEXTS,

@@ -27,8 +27,9 @@ def company_keys(companies: DataFrame, tickers: DataFrame) -> DataFrame:
     return companies.join(wanted, F.upper("ticker") == F.col("_t"), "left_semi").select("ticker", padded_cik(F.col("cik")).alias("cik"))
 
 
-def read_submissions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.FILINGS).option("multiLine", True).json(path)
+def read_submissions(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Filing lists, one JSON object a file, or one a line."""
+    return spark.read.schema(schemas.FILINGS).option("multiLine", whole_files).json(path)
 
 
 def filings(submissions: DataFrame, form: str = "8-K") -> DataFrame:

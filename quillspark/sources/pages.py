@@ -170,11 +170,16 @@ def page_parts(pages: DataFrame, prepared: str = "Prepared Remarks", qa: str = "
     def parts(html: pd.Series) -> pd.DataFrame:
         out = []
         for page in html:
-            root = tree(page)
-            found = {"prepared_remarks": section_elements(root, prepared, header_tag), "qa": section_elements(root, qa, header_tag)}
-            rows = [(s, k, *x) for s, els in found.items() for k, x in enumerate(labelled_elements(els, label_tag))]
-            lines = participant_lines(section_elements(root, participants, header_tag))
-            out.append((lines, bool(found["prepared_remarks"]), bool(found["qa"]), [dict(zip(schemas.ELEMENT.names, r)) for r in rows]))
+            try:
+                if page is None:
+                    raise ValueError("no page")
+                root = tree(page)
+                found = {"prepared_remarks": section_elements(root, prepared, header_tag), "qa": section_elements(root, qa, header_tag)}
+                rows = [(s, k, *x) for s, els in found.items() for k, x in enumerate(labelled_elements(els, label_tag))]
+                lines = participant_lines(section_elements(root, participants, header_tag))
+                out.append((lines, bool(found["prepared_remarks"]), bool(found["qa"]), [dict(zip(schemas.ELEMENT.names, r)) for r in rows], None))
+            except Exception as e:  # the page goes to the side table, the others go on
+                out.append(([], False, False, [], f"{type(e).__name__}: {e}"))
         return pd.DataFrame(out, columns=schemas.PAGE_PARTS.names)
 
     return pages.withColumn("parts", parts(F.col("html")))

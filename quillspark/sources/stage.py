@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +16,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _written: list[str] = []
 _registered: list = []
+_lock = threading.Lock()
+#: Writes under way, by application, and what the setting was before the first of them.
+_cleaning: dict[str, tuple[int, str]] = {}
+#: Open scopes of each thread.
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,27 +43,75 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def _clean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with their query inside; writes in other threads may overlap, the last one restores the setting."""
+    own = spark.sparkContext.applicationId
+    with _lock:
+        n, before = _cleaning.get(own, (0, spark.conf.get(CLEANUP, "false")))
+        _cleaning[own] = n + 1, before
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _cleaning[own]
+            if n > 1:
+                _cleaning[own] = n - 1, before
+            else:
+                del _cleaning[own]
+                spark.conf.set(CLEANUP, before)
+
+
 def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written and read again. Plans above stay small, and lost executors cost no recomputation of what is below.
 
     The shuffle files of the write go when it ends: nothing but the table is read later.
     """
     path = new_path(df.sparkSession, name)
-    before = df.sparkSession.conf.get(CLEANUP, "false")
-    df.sparkSession.conf.set(CLEANUP, "true")
-    try:
+    with _clean_shuffles(df.sparkSession):
         df.write.option("compression", compression).parquet(path)
-    finally:
-        df.sparkSession.conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    scopes = getattr(_scopes, "open", [])
+    if scopes:
+        scopes[-1].tables.append(out)
     return out
 
 
+class Scope:
+    """Tables staged while a scope is open; all but those that are kept go when it ends."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Leave tables to the scope around this one, or to the session."""
+        mine = {t._staged_at for t in tables}
+        self.tables = [t for t in self.tables if t._staged_at not in mine]
+        if len(_scopes.open) > 1:
+            _scopes.open[-2].tables.extend(tables)
+
+
+@contextmanager
+def scope() -> Iterator[Scope]:
+    """Delete at its end what was staged inside by this thread. What the block returns must not read those tables any more."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    own = Scope()
+    _scopes.open.append(own)
+    try:
+        yield own
+    finally:
+        _scopes.open.pop()
+        discard(*[t for t in own.tables if t._staged_at in _written])
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that no later step reads."""
     for df in tables:
-        _written.remove(df._staged_at)
+        if df._staged_at in _written:
+            _written.remove(df._staged_at)
         _delete(df.sparkSession, df._staged_at)
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.config import LEGACY_WEIGHTS, SignalConfig
-from quillspark.functions import stats
+from quillspark.functions import stats, summaries
 from quillspark.operators import backtest, returns, signals
 
 
@@ -56,15 +56,49 @@ def test_rank_correlation_is_spearman(spark):
         assert n == len(g) and ((ic is None) == (want is None)) and (ic is None or abs(ic - want) < 1e-9)
 
 
-def test_student_p():
+def test_correlation_p(spark):
     # reference values of the t distribution: t = 2.306 at 8 degrees leaves 5 percent
     t, v = 2.3060041, 8
-    assert abs(stats.student_p(t / math.sqrt(v + t * t), v + 2) - 0.05) < 1e-6
-    assert abs(stats.student_p(0.0, 12) - 1) < 1e-12
-    assert stats.student_p(1.0, 5) == 0.0 and stats.student_p(None, 5) is None and stats.student_p(0.5, 2) is None
-    # at 2 degrees of freedom p is 1 - |r|
-    for r in (0.1, 0.5, 0.9):
-        assert abs(stats.student_p(r, 4) - (1 - r)) < 1e-9
+    cases = [(t / math.sqrt(v + t * t), v + 2, 0.05), (0.0, 12, 1.0), (1.0, 5, 0.0), (None, 5, None), (0.5, 2, None), (0.5, None, None)]
+    # at 2 degrees of freedom p is 1 - |r|; of very many pairs it is that of a normal deviate
+    cases += [(r, 4, 1 - abs(r)) for r in (0.1, -0.5, 0.9)] + [(1.959964 / 1e4, 100_000_003, 0.05), (0.0, 3, 1.0), (0.5, 3, 2 / 3)]
+    df = spark.createDataFrame([(i, r, n) for i, (r, n, _) in enumerate(cases)], "i int, r double, n long")
+    got = {x.i: x.p for x in df.select("i", stats.correlation_p(F.col("r"), F.col("n")).alias("p")).collect()}
+    for i, (_, _, want) in enumerate(cases):
+        assert (got[i] is None) == (want is None) and (want is None or abs(got[i] - want) < 1e-6), (cases[i], got[i])
+
+
+@pytest.mark.parametrize("values", ["narrow", "one group", "many groups", "tied"])
+def test_ranks_by_range_partitions(spark, values):
+    rng = random.Random(4)
+    n = 6000
+    x = {"narrow": lambda i: 1_000_000 + rng.random(), "one group": lambda i: rng.gauss(0, 1), "many groups": lambda i: rng.gauss(0, 1e-3), "tied": lambda i: float(rng.randrange(3))}[values]
+    rows = [(f"g{i % (900 if values == 'many groups' else 1)}", x(i)) for i in range(n)] + [("g0", None), (None, 1.0), ("n", float("nan")), ("n", -0.0), ("n", 0.0), ("n", float("-inf"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with much data
+    try:
+        got = stats.value_ranks(df.repartition(7), "g", "v").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    of = {}
+    for g, v in rows:
+        if g is not None and v is not None:
+            of.setdefault(g, []).append(math.inf if v != v else v)
+    assert len(got) == sum(len(set(vs)) for vs in of.values())
+    for g, vs in of.items():
+        vs.sort()
+    for r in got:
+        vs, v = of[r.g], math.inf if r.v != r.v else r.v
+        assert (r.n, r.below, r.m) == (vs.count(v), vs.index(v), len(vs))
+
+
+def test_narrow_values_spread_over_tasks(spark):
+    """No partition has more than twice the rows of the median, though all values lie within a thousandth."""
+    df = spark.range(40_000).select(F.lit("g").alias("g"), (F.lit(1e6) + F.rand(3)).alias("v"))
+    counts = df.groupBy("g", "v").count()
+    parts = [r["count"] for r in counts.repartitionByRange(8, "g", "v").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(parts) == 8 and max(parts) <= 2 * sorted(parts)[4]
 
 
 def test_winsorize_and_zscore(spark):
@@ -110,6 +144,40 @@ def test_forward_returns_are_brute_force(spark):
     assert returns.forward_returns(c, p.limit(0)).where("t1 is not null").count() == 0
 
 
+def test_sliced_returns_are_those_of_whole_tickers(spark):
+    prices, calls = prices_and_calls(5)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(d * d % 1900) for d in range(900)]
+    prices |= {("HOT", d): 10.0 + k % 17 for k, d in enumerate(days)}
+    calls += [("HOT", d + dt.timedelta(1)) for d in days[::7]] + [("HOT", dt.date(2019, 1, 1)), ("HOT", dt.date(2031, 1, 1)), (None, days[0])]
+    p = spark.createDataFrame([(*k, v) for k, v in prices.items()] + [("HOT", None, 1.0), ("HOT", days[0], None)], "ticker string, date date, close double")
+    c = spark.createDataFrame(calls, "ticker string, date date")
+    want = sorted(map(str, returns.forward_returns(c, p).collect()))
+    for width in (30, 7, 1, 100_000):
+        assert sorted(map(str, returns.sliced_returns(c, p, days=width).collect())) == want
+    assert sorted(map(str, returns.sliced_returns(c, p, horizons=(3,), days=5).collect())) == sorted(map(str, returns.forward_returns(c, p, horizons=(3,)).collect()))
+
+
+def test_repeated_prices_are_one(spark):
+    p = spark.createDataFrame([("A", dt.date(2024, 1, 1), 1.0), ("A", dt.date(2024, 1, 1), 2.0), ("B", dt.date(2024, 1, 2), 3.0)], "ticker string, date date, close double")
+    assert sorted(map(tuple, returns.fill_forward(p).collect())) == [("A", dt.date(2024, 1, 1), 2.0), ("A", dt.date(2024, 1, 2), 2.0), ("B", dt.date(2024, 1, 2), 3.0)]
+
+
+def test_summaries_merge(spark):
+    rng = random.Random(8)
+    rows = [(f"q{i % 2}", str(rng.randrange(3000)), rng.gauss(0, 1)) for i in range(20_000)] + [("q0", None, None), ("q2", None, None)]
+    df = spark.createDataFrame(rows, "q string, k string, x double")
+    parts = [summaries.summarise(df.where(f"abs(hash(k, x)) % 4 = {i}"), ["q"], ["k"], ["x"]) for i in range(4)]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    got = {r.q: r for r in summaries.estimates(summaries.merged(every, ["q"]), (0.1, 0.5, 0.9)).collect()}
+    for q in ("q0", "q1"):
+        own = [r for r in rows if r[0] == q]
+        xs = sorted(r[2] for r in own if r[2] is not None)
+        assert got[q].n == len(own) and abs(got[q].distinct_k - len({r[1] for r in own if r[1]})) < 0.04 * 3000
+        for share, x in zip((0.1, 0.5, 0.9), got[q].quantiles_x):
+            assert abs(np.searchsorted(xs, x) / len(xs) - share) < 0.02
+    assert (got["q2"].n, got["q2"].distinct_k, got["q2"].quantiles_x) == (1, 0, None)
+
+
 def test_long_prices(spark):
     wide = spark.createDataFrame([(dt.date(2024, 1, 1), 1.0, None)], "date date, A double, B double")
     assert sorted(map(tuple, returns.long_prices(wide).collect())) == [("A", dt.date(2024, 1, 1), 1.0), ("B", dt.date(2024, 1, 1), None)]

@@ -80,3 +80,9 @@ def test_weights():
     for w in (config.WEIGHTS, config.LEGACY_WEIGHTS):
         assert abs(sum(map(abs, w.values())) - 1) < 1e-9
     assert len(config.UNCERTAINTY_WORDS) == 36 and len(config.EXECUTIVE_KEYWORDS) == 16 and len(config.ANALYST_KEYWORDS) == 30 and len(config.GUIDANCE_KEYWORDS) == 17
+
+
+def test_sentences_keep_their_numbers(spark):
+    """A digit at the edge of a sentence is not taken off, whatever the sentence's number."""
+    df = spark.createDataFrame([("0 is the first of them all. 1 is what comes after it 1. 2 follows that one in turn 2.",)], "s string")
+    assert df.select(t.sentences(F.col("s"), 0)).first()[0] == ["0 is the first of them all.", "1 is what comes after it 1.", "2 follows that one in turn 2."]
