@@ -31,8 +31,6 @@ ENDS = {
 _PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*+)([^<>"']*+(?:"[^"<>]*+"[^<>"']*+|'[^'<>]*+'[^<>"']*+)*+)>""")
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _END = re.compile("[>\"']")
-#: Tags of a page whose quotes may be left open; then quotes no longer count, so that no page is read again and again.
-OPEN_QUOTES = 50
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop|aria-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/"'>]|\Z)""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -71,7 +69,27 @@ def tags(page: str) -> Generator[tuple[int, int, str, bool, str], int | None]:
     A quoted value may hold angle brackets; where a quote is left open, the tag ends at the next bracket. What is no tag is
     text. The end may be moved on by sending a place. Time is in proportion to the page.
     """
-    at, last, left_open = 0, page.rfind(">"), 0
+    at, last = 0, page.rfind(">")
+    final = {q: page.rfind(q) for q in "\"'"}
+    ends: dict[int, int] = {}  # where the tag ends in which a quote opens, 0 if a quote of it is left open
+
+    def end_of(i: int) -> int:
+        """The end of the tag that is read up to ``i``; 0 if a quote is left open. Each quote opens once, so no part is read again."""
+        opened, end = [], 0
+        while q := _END.search(page, i):
+            if q[0] == ">":
+                end = q.end()
+                break
+            if q.start() in ends:
+                end = ends[q.start()]
+                break
+            opened.append(q.start())
+            if q.end() > final[q[0]]:
+                break
+            i = page.find(q[0], q.end()) + 1
+        ends.update(dict.fromkeys(opened, end))
+        return end
+
     while True:
         lt = page.find("<", at)
         if lt < 0 or lt > last and not page.startswith("<!--", lt):
@@ -85,17 +103,7 @@ def tags(page: str) -> Generator[tuple[int, int, str, bool, str], int | None]:
             end, found = page.find("-->", lt + 4) + 3, ("", False, "")
             end = len(page) if end < 3 else end
         elif m := _NAME.match(page, lt):
-            end, i = -1, m.end()
-            while left_open < OPEN_QUOTES:
-                q = _END.search(page, i)
-                if q and q[0] == ">":
-                    end = q.end()
-                    break
-                i = page.find(q[0], q.end()) + 1 if q else 0
-                if not i:
-                    left_open += 1
-                    break
-            end = end if end > 0 else page.find(">", m.end()) + 1
+            end = end_of(m.end()) or page.find(">", m.end()) + 1
             found = (m[2].lower(), bool(m[1]), page[m.end() : end - 1])
         elif page[lt + 1 : lt + 2] in ("!", "?", "/"):
             end, found = page.find(">", lt) + 1, ("", False, "")
@@ -114,6 +122,7 @@ def parse(page: str | None) -> Tree:
     t = Tree()
     page = page or ""
     stack, open_names, links, block = [0], {"#root": 1}, 0, 0
+    places: dict[str, list[int]] = {}  # of the open elements of each name in the stack, the nearest last
     lower: str | None = None
     at = 0
 
@@ -124,20 +133,17 @@ def parse(page: str | None) -> Tree:
         nonlocal links, block
         name = t.tag[stack.pop()]
         open_names[name] -= 1
+        places[name].pop()
         links -= name == "a"
         block += not inline(name)
 
     def close(names: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
         """End the open element of these names that is nearest, unless one of ``stop`` is nearer; and what is in it."""
-        if any(open_names.get(n) for n in names):
-            for k in range(len(stack) - 1, 0, -1):
-                name = t.tag[stack[k]]
-                if name in names:
-                    while len(stack) > k:
-                        pop()
-                    return
-                if name in stop:
-                    return
+        nearest = lambda of: max((places[n][-1] for n in of if places.get(n)), default=0)
+        k = nearest(names)
+        if k > nearest(stop):
+            while len(stack) > k:
+                pop()
 
     def text(data: str) -> None:
         if data and not open_names.get("select"):
@@ -187,6 +193,7 @@ def parse(page: str | None) -> Tree:
                     at = moved = page.find(">", stop_at) + 1 or len(page)
                     block += not inline(name)
                 elif not attrs.endswith("/") or name not in ("svg", "math") and not open_names.get("svg") and not open_names.get("math"):
+                    places.setdefault(name, []).append(len(stack))
                     stack.append(i)
                     open_names[name] = open_names.get(name, 0) + 1
                     links += name == "a"

@@ -125,12 +125,21 @@ def test_pages_written_by_hand():
 
 
 def test_odd_pages_take_time_in_proportion():
-    for page in ("<a " * 350_000, '<a "' * 250_000, "<a '>" * 100_000, "<" * 1_000_000, "<!--" * 250_000, "<a<b" * 250_000, '<a "<b>" ' * 50_000 + "'", "</" * 500_000 + ">"):
+    for page in ("<a " * 350_000, '<a "' * 250_000, "<a '>" * 100_000, "<" * 1_000_000, "<!--" * 250_000, "<a<b" * 250_000, '<a "<b>" ' * 50_000 + "'", "</" * 500_000 + ">",
+                 "<p><button>" + "<span>" * 80_000 + "<div>" * 80_000, "<p><td>" + "<b>" * 80_000 + "<p>" * 80_000, "<li><ul>" * 40_000 + "<li>" * 80_000, "<a>" + "<td>" * 80_000 + "<a>" * 80_000, '<a "x>' * 150_001, "<a '\">" * 120_000):
         begun = time.perf_counter()
         dom.parse(page)
         assert time.perf_counter() - begun < 3, page[:20]
 
 
+def test_quotes_left_open_end_with_their_tag():
+    """However many quotes a page leaves open before, a quoted bracket is part of its tag."""
+    for n in (0, 3, 200):
+        page = '<a title="x>y">k</a>' + "<i title=it's>" * n + "<b>z</b>"
+        t = dom.parse(page)
+        assert "".join(r[2] for r in t.runs).startswith("k"), n
+
+
 def test_nothing_of_the_article_is_lost():
     text = lambda page: "".join(r[2] for r in dom.parse(page).runs)
     blocks = lambda page: len({r[1] for r in dom.parse(page).runs})
