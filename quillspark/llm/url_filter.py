@@ -87,16 +87,20 @@ class UrlTrie:
         return found
 
 
-#: Tries of this worker, by their list of rules and its part: built once a worker, not once a task.
-_tries: dict[tuple[str, int], UrlTrie] = {}
+#: Rules of the tries that a worker holds at most, besides the one in use: those used longest ago go first.
+HELD_RULES = 4 * MAX_RULES
+#: Tries of this worker and their numbers of rules, by their list and its part: built once a worker, not once a task.
+_tries: dict[tuple[str, int], tuple[UrlTrie, int]] = {}
 
 
 def _trie(name: str, part: int, rules: Broadcast) -> UrlTrie:
-    if (name, part) not in _tries:
-        for other in [k for k in _tries if k[0] != name]:
-            del _tries[other]
-        _tries[name, part] = UrlTrie(rules.value)
-    return _tries[name, part]
+    own = _tries.pop((name, part), None)
+    if own is None:
+        own = UrlTrie(rules.value), len(rules.value)
+        while _tries and own[1] + sum(n for _, n in _tries.values()) > HELD_RULES:
+            del _tries[next(iter(_tries))]
+    _tries[name, part] = own
+    return own[0]
 
 
 def judge_urls(df: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", default: str = "allow", part: int = MAX_RULES) -> DataFrame:

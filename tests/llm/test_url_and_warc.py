@@ -60,6 +60,22 @@ def test_judge(spark):
     assert url_filter.judge_urls(df.limit(0), URL_RULES).count() == 0
 
 
+def test_tries_of_several_lists_stay(monkeypatch):
+    """Lists that take turns are built once each; beyond the bound those used longest ago go."""
+    class Rules:
+        def __init__(self, n):
+            self.value = [(f"h{i}.com/", "block") for i in range(n)]
+
+    monkeypatch.setattr(url_filter, "_tries", {})
+    lists = {name: Rules(30) for name in "abc"}
+    first = {name: url_filter._trie(name, 0, r) for name, r in lists.items()}
+    assert all(url_filter._trie(name, 0, lists[name]) is first[name] for name in "abcabc")
+    monkeypatch.setattr(url_filter, "HELD_RULES", 70)
+    assert url_filter._trie("d", 0, Rules(30)) is not None and [k for k, _ in url_filter._tries] == ["c", "d"]
+    assert url_filter._trie("c", 0, lists["c"]) is first["c"] and url_filter._trie("e", 0, Rules(500)).match("h7.com", "/")
+    assert [k for k, _ in url_filter._tries] == ["e"]
+
+
 PAGES = [(1, "http://a/\r\nx y", "é" * 60), (2, None, "é" * 60), (3, "u", "é" * 60), (4, "u", "x" * 99), (5, "u", "x" * 99), (6, "u", None), (7, "u", ""), (8, None, "\r\n\r\n" * 40), (None, "n", "é" * 60), (1, "again", "é" * 60), (None, "n", "q" * 200), (None, "n", "q" * 200)]
 
 
