@@ -3,30 +3,28 @@
 The blended spectrum of a text is the set of all 1- to 3-grams of its letters, each hashed from its code points. The kernel
 of two texts is the number of n-grams that both have, over the root of the product of their numbers. Nyström landmarks
 give a finite feature map, one-versus-rest ridge regression the classifier, and texts are scored in batches: presence rows
-times landmark rows, times coefficients. Learning goes over the sample in the same batches, so the driver holds the
-sampled texts, which are bounded in rows and characters, the landmarks' n-grams and one batch.
+times landmark rows, times coefficients. Learning goes over a bounded sample of whole texts in the same batches, so the
+driver holds the landmarks' n-grams and one batch.
 """
 
 from __future__ import annotations
 
 import functools
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, slices
+from .shared import Sample, bounded_batches, least_of_each, slices
 
-#: Labelled rows of each language to learn from and of all together (a bounded sample), landmarks at least, ridge, and
-#: languages at most.
-SAMPLE, ROWS, LANDMARKS, RIDGE, MAX_LANGUAGES = 300, 12_000, 192, 1e-3, 512
-#: Characters of all sampled texts together; each text is learned from a stretch of at most its share.
-SAMPLE_CHARS = 32 << 20
+#: Labelled rows of each language to learn from and of all together (a bounded sample of whole texts), languages in the
+#: sample at most (those with most rows), landmarks at least, and ridge.
+SAMPLE, ROWS, LANGUAGES, LANDMARKS, RIDGE = 300, 12_000, 512, 192, 1e-3
 #: Bits of an n-gram's hash.
 BITS = 20
 #: Lengths of the pieces of sampled texts that are learned beside the whole, so short texts are known too.
@@ -92,42 +90,65 @@ class Model:
         return self.kernel(rows, n) @ self.weights
 
 
-def fit(texts: list[str], languages: list[str], seed: int = 11, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """Learn from whole texts and pieces of them; None without any text that has a letter."""
+def _pieces(rows: Iterable[tuple[str, str]], seed: int) -> Iterator[tuple[str, str]]:
+    """Whole texts and pieces of them that have a letter, the same each time."""
     rng = np.random.default_rng(seed)
-    more = []
-    for t, lang in zip(texts, languages):
-        more.append((t, lang))
+    for t, lang in rows:
+        own = [t]
         for size in PIECES:
             if len(t) > size:
                 at = int(rng.integers(0, len(t) - size + 1))
-                more.append((t[at : at + size], lang))
+                own.append(t[at : at + size])
+        for x in own:
+            if is_letter()[points(x)].any():
+                yield x, lang
+
+
+def _batches(rows: Iterable[tuple[str, str]], size: int) -> Iterator[list[tuple[str, str]]]:
+    batch = []
+    for row in rows:
+        batch.append(row)
+        if len(batch) == size:
+            yield batch
+            batch = []
+    if batch:
+        yield batch
+
+
+def fit(texts: Iterable[str], languages: Iterable[str], seed: int = 11, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+    """Learn from whole texts and pieces of them; None without any text that has a letter."""
+    return learn(list(zip(texts, languages)), seed, landmarks, ridge)
+
+
+def learn(rows: Iterable[tuple[str, str]], seed: int = 11, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+    """Learn from ``rows`` (text, language), which are gone through three times: languages, landmarks, equations."""
     presence = Presence()
-    known = [(t, lang) for t, lang in more if is_letter()[points(t)].any()]
-    if not known:
+    said = [lang for _, lang in _pieces(rows, seed)]
+    if not said:
         return None
-    names = sorted({lang for _, lang in known})
+    names = sorted(set(said))
     number = {name: k for k, name in enumerate(names)}
-    y = np.array([number[lang] for _, lang in known])
-    picked = np.sort(rng.permutation(len(known))[:landmarks])
+    y = np.array([number[lang] for lang in said])
+    picked = np.random.default_rng(seed + 1).permutation(len(y))[:landmarks]
     missing = np.setdiff1d(np.arange(len(names)), y[picked])  # every language has a landmark
-    picked = np.append(picked, [int(np.argmax(y == k)) for k in missing]).astype(int)
-    own = [np.unique(presence.codes(known[i][0])) for i in picked]
+    picked = {*picked.tolist(), *(int(np.argmax(y == k)) for k in missing)}
+    own = [np.unique(presence.codes(t)) for i, (t, _) in enumerate(_pieces(rows, seed)) if i in picked]
     among = np.unique(np.concatenate(own))
-    rows = np.stack([np.isin(among, x, assume_unique=True) for x in own])
-    model = Model(names, among, rows, np.array([len(x) for x in own]), np.zeros(0))
-    k_mm = model.kernel(rows, model.sizes).astype(np.float64)
+    held = np.stack([np.isin(among, x, assume_unique=True) for x in own])
+    model = Model(names, among, held, np.array([len(x) for x in own]), np.zeros(0))
+    k_mm = model.kernel(held, model.sizes).astype(np.float64)
     value, vector = np.linalg.eigh((k_mm + k_mm.T) / 2)
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
-    share = 1 / np.bincount(y, minlength=len(names))[y]
+    share = 1 / np.bincount(y, minlength=len(names))
     left, right = ridge * np.eye(int(keep.sum())), np.zeros((int(keep.sum()), len(names)))
-    for i in range(0, len(known), SCORED):
-        rows, n = zip(*(presence.row(presence.codes(t), among) for t, _ in known[i : i + SCORED]))
-        phi = model.kernel(np.array(rows), np.array(n)).astype(np.float64) @ root
-        weighed = (phi * share[i : i + SCORED, None]).T
+    for batch in _batches(_pieces(rows, seed), SCORED):
+        found, n = zip(*(presence.row(presence.codes(t), among) for t, _ in batch))
+        k = np.array([number[lang] for _, lang in batch])
+        phi = model.kernel(np.array(found), np.array(n)).astype(np.float64) @ root
+        weighed = (phi * share[k, None]).T
         left += weighed @ phi
-        right += weighed @ (y[i : i + SCORED, None] == np.arange(len(names)))
+        right += weighed @ (k[:, None] == np.arange(len(names)))
     model.weights = (root @ np.linalg.solve(left, right)).astype(np.float32)
     return model
 
@@ -136,27 +157,44 @@ def held_out(id_col: str) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Fit on about ``sample`` rows of each language that are not held out, picked by a hash of the id and the text.
+def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> Sample | None:
+    """(lang, text) of at most ``sample`` different rows of each language that are not held out, and ROWS in all.
 
-    At most about ROWS rows in all, and SAMPLE_CHARS characters: of a longer text a stretch, at a place from a hash.
+    Rows that repeat language, id and text are one. Places come from a hash; how far it may go for a language follows from
+    its approximate number of different rows, and what is then too many is cut exactly.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    keyed = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(lang_col), F.col(id_col), F.col(text_col), F.lit(5)).alias("h"), F.col(text_col).alias("text"))
+    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    counts = {r["lang"]: r["n"] for r in sizes.orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
-    sample = max(1, min(sample, ROWS // len(counts)))
-    chars = max(300, SAMPLE_CHARS // (len(counts) * sample))
-    place = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    size = F.length(text_col)
-    begin = F.floor(F.greatest(size - chars, F.lit(0)) * F.pmod(F.xxhash64(F.col(text_col), F.lit(6)), F.lit(1 << 20)) / float(1 << 20)).cast("int") + 1
-    stretch = F.when(size > chars, F.substring(F.col(text_col), begin, F.lit(chars))).otherwise(F.col(text_col))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.3 * sample / n))])
-    some = rows.where(place < share[F.col(lang_col)]).select(F.col(id_col).alias("i"), stretch.alias("t"), F.col(lang_col).alias("l"))
-    got = sorted(some.toArrow().to_pylist(), key=lambda r: (r["l"], str(r["i"]), r["t"]))
-    return fit([r["t"] for r in got], [r["l"] for r in got])
+    each = max(1, min(sample, ROWS // len(counts)))
+    place = F.pmod("h", F.lit(1 << 30))
+    far = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.3 * each + 20) / n) * (1 << 30))])
+    some = least_of_each(keyed.where(place < far[F.col("lang")]), "h", "h")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(place, "h"))
+    return Sample(some.withColumn("turn", turn).where(F.col("turn") <= each).select("lang", "h", "text"), "text", "h")
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
+    """A model learned from the ``sampled`` rows; None without any. Texts are learned whole."""
+    rows = sampled(docs, id_col, text_col, lang_col, sample)
+    if rows is None:
+        return None
+    model = learn(_Pairs(rows))
+    rows.discard()
+    return model
+
+
+class _Pairs:
+    """A sample as pairs (text, language)."""
+
+    def __init__(self, rows: Sample) -> None:
+        self.rows = rows
+
+    def __iter__(self) -> Iterator[tuple[str, str]]:
+        return ((r["text"], r["lang"]) for r in self.rows)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:

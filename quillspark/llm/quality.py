@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, discard, least_of_each, slices, table
+from .shared import Sample, bounded_batches, discard, least_of_each, slices, table
 
 #: Bytes of a chunk, and from one chunk's start to the next.
 CHUNK, STEP = 1024, 960
@@ -158,8 +158,8 @@ def held_out(id_col: str) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[DataFrame, dict[int, float]]:
-    """(text, label) of at most ``sample`` documents of either label, in the order of a hash, and how many each stands for.
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[Sample | None, dict[int, float]]:
+    """(text, q) of at most ``sample`` documents of either label, in the order of a hash, and how many each stands for.
 
     Documents that are held out, that no label or labels of both kinds are for, take no part; of rows that repeat an id the text of
     least hash counts.
@@ -170,12 +170,11 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     counts = {r[0]: r[1] for r in known.groupBy("q").count().collect()}
     picked = [known.where(F.col("q") == c).orderBy("place", "i").limit(sample) for c in sorted(counts)]
     if not picked:
-        return docs.select(F.col(text_col).alias("text"), F.lit(0).alias("q")).limit(0), {}
+        return None, {}
     chosen = table(picked[0] if len(picked) == 1 else picked[0].unionByName(picked[1]), "chosen")
     own = docs.select(F.col(id_col).alias("j"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     found = own.join(F.broadcast(chosen), F.col("i") == F.col("j")).select("i", "h", "q", "place", "text")
-    # a bounded sample: one file keeps its order
-    rows = table(least_of_each(found, "i", "h").repartition(1).sortWithinPartitions("place", "i").select("text", "q"), "sample")
+    rows = Sample(least_of_each(found, "i", "h"), "text", "place")
     discard(known, chosen)
     return rows, {c: n / min(n, sample) for c, n in counts.items()}
 
@@ -189,9 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not stands:
         return None
     mean = sum(stands.values()) / len(stands)
-    epochs = -(-steps // max(1, -(-rows.count() // BATCH)))
-    network = fit(((r["text"], r["q"], stands[r["q"]] / mean) for r in rows.toLocalIterator()) for _ in range(epochs))
-    discard(rows)
+    epochs = -(-steps // max(1, -(-rows.size // BATCH)))
+    network = fit(((r["text"], r["q"], stands[r["q"]] / mean) for r in rows) for _ in range(epochs))
+    rows.discard()
     return network
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.stage import discard, new_path, shared_dir
 from ..sources.stage import staged as table
 
-__all__ = ["bounded_batches", "discard", "fresh", "least_of_each", "new_path", "numbers", "shared_dir", "slices", "table"]
+__all__ = ["Sample", "bounded_batches", "discard", "fresh", "least_of_each", "new_path", "numbers", "shared_dir", "slices", "table"]
 
 #: Rows in an Arrow batch handed to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 1000
@@ -67,3 +67,24 @@ def least_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
 
     one = rows.mapInArrow(run, rows.schema).groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("row"))
     return one.select(key, "row.*").select(*rows.columns)
+
+
+#: Characters of a sample in one of its files, which is what the driver reads at once.
+FILE_CHARS = 16 << 20
+
+
+class Sample:
+    """A bounded table of rows that the driver reads again and again, a file at a time; whole texts, however long."""
+
+    def __init__(self, rows: DataFrame, text: str, place: str) -> None:
+        held = table(rows, "picked")
+        self.size, chars = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
+        files = 1 + chars // FILE_CHARS
+        self.rows = table(held.repartitionByRange(files, place).sortWithinPartitions(place), "sample")
+        discard(held)
+
+    def __iter__(self):  # noqa: ANN204
+        return iter(self.rows.toLocalIterator())
+
+    def discard(self) -> None:
+        discard(self.rows)

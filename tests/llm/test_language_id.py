@@ -94,13 +94,28 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
     assert int(done.stdout) < 800
 
 
-def test_sample_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(li, "SAMPLE_CHARS", 3 * 40 * 300)
+def test_sample_is_bounded_and_whole(spark, monkeypatch):
+    """Rows that repeat are one, however many there are; texts come whole."""
     monkeypatch.setattr(li, "ROWS", 3 * 40)
-    seen = []
-    monkeypatch.setattr(li, "fit", lambda texts, languages: seen.append((texts, languages)))
     words = {k: v.split() for k, v in WORDS.items()}
     rows = [(i, " ".join(words[lang][(i + k) % len(words[lang])] for k in range(300)), lang) for i in range(600) for lang in [list(WORDS)[i % 3]]]
-    li.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    [(texts, languages)] = seen
-    assert 90 <= len(texts) <= 220 and max(map(len, texts)) == 300 and set(languages) == set(WORDS)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = df.unionByName(df.where("doc_id in (1, 4)").crossJoin(spark.range(200_000)).drop("id"))
+    got = [(r["lang"], r["text"]) for r in li.sampled(many, "doc_id", "text", "lang", 300)]
+    assert {lang: sum(x == lang for x, _ in got) for lang in WORDS} == dict.fromkeys(WORDS, 40)
+    assert {t for _, t in got} <= {t for _, t, _ in rows} and len(set(got)) > 10
+    assert li.sampled(df.limit(0), "doc_id", "text", "lang", 300) is None
+
+
+def test_a_row_repeated_a_million_times(spark):
+    few = spark.createDataFrame([(i, f"alpha beta {i}", "xx") for i in range(2000)], "doc_id long, text string, lang string")
+    many = few.unionByName(spark.range(1_000_000).selectExpr("7L as doc_id", "'gamma delta' as text", "'xx' as lang"))
+    got = [r["text"] for r in li.sampled(many, "doc_id", "text", "lang", 300)]
+    assert len(got) == 300 and got.count("gamma delta") <= 1
+
+
+def test_many_languages_take_part_by_size(spark, monkeypatch):
+    monkeypatch.setattr(li, "LANGUAGES", 5)
+    df = spark.createDataFrame([(k * 100 + i, f"{chr(97 + k) * 3} {i}", f"l{k}") for k in range(8) for i in range(10 + 5 * k)], "doc_id long, text string, lang string")
+    assert {r["lang"] for r in li.sampled(df, "doc_id", "text", "lang", 300)} == {f"l{k}" for k in range(3, 8)}
+    assert li.train(df).languages == [f"l{k}" for k in range(3, 8)]

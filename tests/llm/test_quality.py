@@ -47,7 +47,7 @@ def test_sample_is_bounded_and_whole(spark):
     many = rows + [rows[1]] * 3000 + [(1, "another text of that id", None, None)]
     docs, labels = frames(spark, many, [(i, int(i % 3 > 0), 0) for i in range(60)] + [(5, 0, 0), (7, None, 1), (8, 1, 1)])
     got, stands = q.labelled(docs.repartition(4), labels, "doc_id", "text", "quality", 12)
-    texts = [r["text"] for r in got.collect()]
+    texts = [r["text"] for r in got]
     assert len(texts) == 24 and set(texts) <= {r[1] for r in many}
     free = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2 and i != 5]
     assert stands == {c: sum((i % 3 > 0) == c for i in free) / 12 for c in (0, 1)}
