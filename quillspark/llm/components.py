@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from ..sources.stage import scope
+from .shared import discard, table
 
 
 def _star(sym: DataFrame, keep: str) -> DataFrame:
@@ -21,7 +22,7 @@ def _star(sym: DataFrame, keep: str) -> DataFrame:
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``links`` (columns a, b, long); a component's name is its least node.
 
-    Alternating large-star and small-star rounds over written tables. Null ends and self-links are ignored; repeated
+    Alternating large-star and small-star rounds over written tables; only the last round's stays. Null ends and self-links are ignored; repeated
     links and an empty table are fine.
     """
     e = table(
@@ -34,10 +35,13 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = table(_star(both, "v > u").where("u <> v").distinct(), "large")
-        small = _star(large, "v <> m").unionByName(large.groupBy("u").agg(F.min("v").alias("v")))
-        e = table(small.where("u <> v").distinct(), "links")
+        with scope() as own:
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = table(_star(both, "v > u").where("u <> v").distinct(), "large")
+            small = _star(large, "v <> m").unionByName(large.groupBy("u").agg(F.min("v").alias("v")))
+            last, e = e, table(small.where("u <> v").distinct(), "links")
+            own.keep(e)
+        discard(last)
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
