@@ -158,7 +158,7 @@ ORACLE_SQL: dict[str, str] = {
     "loaded_prices": _sql("select ticker, date, close from prices", "prices"),
     "full_backtest": _sweep(),
     "merged_summaries": _sql("select quarter, count(*) as n, true as distinct_near, true as quartiles_near from scores group by 1", "scores"),
-    "failed_pages": "select 'P_' || page_id || '_Q1' as name, 'ValueError: no page' as error from pages where page_id % 9 = 4 or html is null",
+    "failed_pages": "select 'P_' || page_id || '_Q1' as name, 'no page' as error from pages where page_id % 9 = 4 or html is null",
     "parsed_pages": _PARAGRAPHS + """select 'P' as ticker, cast(page_id as varchar) as page, 'Q1' as quarter, count(*) filter (length(text) between 4 and 149) as n_participants
         from (select page_id from pages where page_id % 9 <> 4 and html is not null) left join bare using (page_id) group by page_id""",
     "not_landed": r"""with p as (select *, page_id % 5 <> 2 as there, page_id % 9 <> 4 and html is not null as page, regexp_matches(lower(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')), 'the |éa') as marked from pages)

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from html.parser import HTMLParser
+from html.entities import html5
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import schemas
 from ..config import PAGE_MARKERS
 from ..functions import text as t
+from .stage import staged
 
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+# Element names by their role.
+_VOID = "area base br col embed hr img input link meta source track wbr".split()
+_ENDS_P = "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
+_AGAIN = "li tr td th dd dt".split()
+_CONTAINERS = "ul ol table div section article".split()
+_WRAPPERS = ("div", "section", "article")
+# Lengths of participants' lines, of a speaker's element and label, and full stops in a label.
+LINE, SPOKEN, LABEL, STOPS = (4, 149), 200, 120, 1
+#: Comments, scripts and styles whole, tags, and what is between them.
+_TOKEN = r"""(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b[^>]*+>.*?(?:</(?:script|style)\s*>|\z)|<[/!?a-z](?:[^'">]++|"[^"]*+"|'[^']*+')*+>|<[/!?a-z][^>]*+>|(?:[^<]++|<(?![/!?a-z]))++|<"""
 
 
 def read_pages(spark: SparkSession, path: str, glob: str = "*.html") -> DataFrame:
@@ -50,136 +58,165 @@ def merge_metadata(saved: DataFrame, from_name: DataFrame) -> DataFrame:
     return joined.select("doc_id", *cols)
 
 
-@dataclass(slots=True)
-class Node:
-    name: str
-    children: list
-    parent: object = None
-
-    def text(self) -> str:
-        """All text pieces, each trimmed, joined without a space."""
-        out, todo = [], [self]
-        while todo:
-            x = todo.pop()
-            if isinstance(x, str):
-                out.append(x.strip())
-            else:
-                todo.extend(reversed(x.children))
-        return "".join(out)
-
-    def find_all(self, names: set[str]) -> list[Node]:
-        out, todo = [], [c for c in reversed(self.children) if isinstance(c, Node)]
-        while todo:
-            x = todo.pop()
-            if x.name in names:
-                out.append(x)
-            todo.extend(c for c in reversed(x.children) if isinstance(c, Node))
-        return out
-
-
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", [])
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _ENDS_P or tag in ("li", "tr", "td", "th", "dd", "dt"):
-            names = {"p"} if tag in _ENDS_P else {tag}
-            x = self.at
-            while x.name != "#root" and x.name not in ("ul", "ol", "table", "div", "section", "article") and x.name not in names:
-                x = x.parent
-            if x.name in names:
-                self.at = x.parent
-        node = Node(tag, [], self.at)
-        self.at.children.append(node)
-        if tag not in _VOID:
-            self.at = node
-
-    def handle_endtag(self, tag: str) -> None:
-        x = self.at
-        while x.name not in ("#root", tag):
-            x = x.parent
-        if x.name == tag:
-            self.at = x.parent
-
-    def handle_data(self, data: str) -> None:
-        if self.at.name not in ("script", "style"):
-            self.at.children.append(data)
-
-
-def tree(html: str) -> Node:
-    b = _Builder()
-    b.feed(html or "")
-    b.close()
-    return b.root
-
-
-def section_elements(root: Node, header: str, tag: str = "h2") -> list[Node]:
-    """Elements after the first header that contains the text, up to the next header beside it."""
-    for h in root.find_all({tag}):
-        if header.lower() in h.text().lower():
-            beside = h.parent.children
-            after = [x for x in beside[next(i for i, x in enumerate(beside) if x is h) + 1 :] if isinstance(x, Node)]
-            stop = next((i for i, x in enumerate(after) if x.name == tag), len(after))
-            return after[:stop]
-    return []
-
-
-def participant_lines(elements: list[Node]) -> list[str]:
-    """Texts of 4 to 149 characters of paragraphs, items and bold parts, then of each element itself if it is new."""
-    out: list[str] = []
-    for el in elements:
-        for child in el.find_all({"p", "li", "strong"}) or [el]:
-            if 3 < len(x := child.text()) < 150:
-                out.append(x)
-        if 3 < len(x := el.text()) < 150 and x not in out:
-            out.append(x)
-    return out
-
-
-def labelled_elements(elements: list[Node], label: str = "strong") -> list[tuple[bool, str | None, str]]:
-    """(is a speaker's label, label, text) in order; wrappers are opened one level.
-
-    What follows the label in its own element is a text after it. Validity follows the label's length and full stops.
+def unescape(c: Column) -> Column:
+    """Text with its character references decoded: numbers, and names that end in a semicolon; others stay as they are."""
+    names = F.create_map(*[F.lit(x) for name, text in html5.items() if name.endswith(";") for x in (f"&{name}", text)])
+    digits = lambda x, base: F.conv(F.regexp_extract(x, r"([0-9a-fA-F]+);$", 1), base, 10).cast("int")
+    point = lambda x: F.when(x.rlike(r"^&#[xX]"), digits(x, 16)).when(x.rlike(r"^&#"), digits(x, 10))
+    valid = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    one = lambda x: F.when(~x.startswith("&"), x).when(valid(point(x)), char(point(x))).otherwise(F.coalesce(F.try_element_at(names, x), x))
+    pieces = F.regexp_extract_all(c, F.lit(r"(?i)&(?:#[0-9]{1,7}|#x[0-9a-f]{1,6}|[a-z][a-z0-9]{1,31});|[^&]++|&"), F.lit(0))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(c)
+
+
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """(h1, h2, pos, kind, name, text) of distinct (h1, h2, html), and a last token at each page's end.
+
+    Kinds: open, close, void (an element without content), text.
     """
-    flat = []
-    for el in elements:
-        flat += [c for c in el.children if isinstance(c, Node)] if el.name in ("div", "section", "article") else [el]
-    out: list[tuple[bool, str | None, str]] = []
-    for el in flat:
-        text = el.text()
-        if not text:
-            continue
-        bold = el.find_all({label})
-        if (bold and len(text) < 200 and el.name in ("p", "div")) or el.name == label:
-            name = bold[0].text() if bold else text
-            if name and len(name) < 120 and name.count(".") <= 1:
-                out.append((True, name, text.replace(name, "").strip() if bold else ""))
-                continue
-        out.append((False, None, text))
-    return out
+    raw = F.regexp_extract_all("html", F.lit(_TOKEN), F.lit(0))
+    rows = pages.select("h1", "h2", F.posexplode(F.concat(raw, F.array(F.lit("</#end>")))).alias("pos", "raw"))
+    name = F.lower(F.regexp_extract("raw", r"^</?([a-zA-Z#][^\s/>]*)", 1))
+    rows = rows.withColumn("name", F.when(F.col("raw").startswith("<"), name).otherwise(""))
+    kind = (
+        F.when(F.col("raw").startswith("</") & (F.col("name") != ""), "close").when(F.col("name").isin("script", "style", *_VOID), "void")
+        .when(F.col("name") != "", "open").when(~F.col("raw").rlike(r"^<[!?/]"), "text")
+    )
+    text = F.regexp_replace(unescape(F.col("raw")), r"^(?U)[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return rows.select("h1", "h2", "pos", kind.alias("kind"), "name", F.when(kind == "text", text).alias("text")).where("kind is not null and (kind <> 'text' or text <> '')")
+
+
+def page_elements(tokens: DataFrame) -> DataFrame:
+    """(h1, h2, start, end, name) of all elements, from scans in page order.
+
+    An element ends with the next end tag of its name at its own level; a paragraph also with the next tag that no paragraph
+    may hold, items, rows and cells with the next of their name in the same container. Nothing lasts longer than the
+    element around it. Tags belong together by name and level alone: an inline element that was begun in a paragraph and
+    ends after blocks that ended the paragraph is around these blocks.
+    """
+    page = ("h1", "h2")
+    to_here = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = lambda w: w.rowsBetween(1, Window.unboundedFollowing)
+    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+
+    def levels(df: DataFrame, out: str, step: Column, *by: str) -> DataFrame:
+        """How many are open at each tag, itself included; end tags of nothing count for nothing."""
+        w = to_here(Window.partitionBy(*page, *by).orderBy("pos"))
+        summed = df.withColumn("_s", F.sum(step).over(w))
+        level = F.col("_s") - F.least(F.min("_s").over(w), F.lit(0))
+        return summed.withColumn(out, level + F.when(step == -1, 1).otherwise(0)).drop("_s")
+
+    holds = F.when(F.col("name").isin(*_CONTAINERS), step).otherwise(0)
+    rows = levels(levels(tokens.where("kind <> 'text'"), "level", step, "name"), "inside", holds)
+    match = Window.partitionBy(*page, "name", "level").orderBy("pos")
+    after = lambda c, *by: F.min(F.when(c, F.col("pos"))).over(ahead(Window.partitionBy(*page, *by).orderBy("pos")))
+    opened, named = F.col("kind") == "open", F.col("name")
+    again, is_container = opened & named.isin(*_AGAIN), opened & named.isin(*_CONTAINERS)
+    # pairs of tags that belong together give the depth at each tag, before it is counted itself
+    pair = ~named.isin("p", *_AGAIN) & ((opened & (F.lead("kind").over(match) == "close")) | ((F.col("kind") == "close") & (F.lag("kind").over(match) == "open")))
+    paired = rows.withColumn("pair", F.coalesce(pair, F.lit(False)))
+    own_step = F.when(F.col("pair"), step).otherwise(0)
+    deep = paired.withColumn("around", F.sum(own_step).over(to_here(Window.partitionBy(*page).orderBy("pos"))) - own_step)
+    begins = F.col("kind").isin("open", "void")
+    own = deep.withColumns({
+        "_close": F.min(F.when(F.col("kind") == "close", F.col("pos"))).over(ahead(match)), "_block": after(begins & named.isin(*_ENDS_P)), "_p": after((F.col("kind") == "close") & (named == "p")),
+        "_again": after(begins & named.isin(*_AGAIN), "name", "inside"), "_parent": after(F.col("pair") & (F.col("kind") == "close"), "around"), "_last": F.max("pos").over(Window.partitionBy(*page)),
+    })
+    implied = F.when(named == "p", F.least("_block", "_p")).when(named.isin(*_AGAIN), F.least("_again", "_close")).otherwise(F.col("_close"))
+    ended = own.withColumn("end", F.least(implied, "_parent", "_last")).withColumn("level", F.col("inside") - F.when(is_container, 1).otherwise(0))
+    # a paragraph, item, row or cell that ends without an end tag ends what is in it
+    before = Window.partitionBy(*page, "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    around = {"_cell": again, "_text": opened & (named == "p")}
+    held = ended.withColumns({c: F.last(F.when(k, F.col("end")), ignorenulls=True).over(before) for c, k in around.items()}).where(begins)
+    end = F.least("end", *[F.when(F.col(c) > F.col("pos"), F.col(c)) for c in around])
+    return held.select(*page, F.col("pos").alias("start"), F.when(F.col("kind") == "void", F.col("pos") + 1).otherwise(end).alias("end"), "name")
+
+
+def page_arrays(pages: DataFrame) -> DataFrame:
+    """(h1, h2, texts, elements) of distinct (h1, h2, html): pieces of text in order, and elements by their start.
+
+    An element has its name, its depth, its number and that of the first element after it, and the same for pieces of text.
+    """
+    page = ["h1", "h2"]
+    tokens = staged(page_tokens(pages), "tokens")
+    found = staged(page_elements(tokens), "elements")
+    ends = found.groupBy(*page, F.col("end").alias("pos")).agg(F.count(F.lit(1)).alias("ended"))
+    upto = Window.partitionBy(*page).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = lambda c: F.sum(c.cast("int")).over(upto) - c.cast("int")
+    # a void element ends at the place after it, where there may be no token
+    places = tokens.select(*page, "pos", F.col("kind").isin("open", "void").alias("o"), (F.col("kind") == "text").alias("t")).join(ends, [*page, "pos"], "full")
+    known = places.select(*page, "pos", before(F.coalesce("o", F.lit(False))).alias("k"), before(F.coalesce("t", F.lit(False))).alias("i"), F.sum(F.coalesce("ended", F.lit(0))).over(upto).alias("done"))
+    start = found.join(known.withColumnRenamed("pos", "start"), [*page, "start"]).withColumn("depth", F.col("k") - F.col("done")).drop("done")
+    whole = start.join(known.select(*page, F.col("pos").alias("end"), F.col("k").alias("k2"), F.col("i").alias("i2")), [*page, "end"])
+    elements = whole.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("start", "end", "name", "depth", "k", "k2", "i", "i2"))).alias("elements"))
+    texts = tokens.where("kind = 'text'").groupBy(*page).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("texts"))
+    return elements.join(texts, page, "full")
 
 
 def page_parts(pages: DataFrame, prepared: str = "Prepared Remarks", qa: str = "Question", participants: str = "Call participant", header_tag: str = "h2", label_tag: str = "strong") -> DataFrame:
     """``pages`` with ``parts``: participant lines, which sections there are, and their labelled elements.
 
-    The walk over siblings and children is the one step that needs the page's tree; all after it is relational.
+    Equal pages are walked once. A null page has an error and nothing else.
     """
-
-    @F.pandas_udf(schemas.PAGE_PARTS)
-    def parts(html: pd.Series) -> pd.DataFrame:
-        out = []
-        for page in html:
-            try:
-                if page is None:
-                    raise ValueError("no page")
-                root = tree(page)
-                found = {"prepared_remarks": section_elements(root, prepared, header_tag), "qa": section_elements(root, qa, header_tag)}
-                rows = [(s, k, *x) for s, els in found.items() for k, x in enumerate(labelled_elements(els, label_tag))]
-                lines = participant_lines(section_elements(root, participants, header_tag))
-                out.append((lines, bool(found["prepared_remarks"]), bool(found["qa"]), [dict(zip(schemas.ELEMENT.names, r)) for r in rows], None))
-            except Exception as e:  # the page goes to the side table, the others go on
-                out.append(([], False, False, [], f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(out, columns=schemas.PAGE_PARTS.names)
-
-    return pages.withColumn("parts", parts(F.col("html")))
+    h1, h2 = F.xxhash64("html"), F.xxhash64(F.col("html"), F.lit(1))
+    mine = ["_h1", "_h2", "_walked"]
+    while {c.lower() for c in pages.columns} & set(mine):
+        mine = [f"{c}_" for c in mine]
+    distinct = pages.where(F.col("html").isNotNull()).select(h1.alias("h1"), h2.alias("h2"), "html").dropDuplicates(["h1", "h2"])
+    none = F.array().cast("array<string>")
+    arrays = page_arrays(distinct)
+    kind = arrays.schema["elements"].dataType
+    arrays = arrays.withColumns({"texts": F.coalesce("texts", none), "elements": F.coalesce("elements", F.array().cast(kind))})
+    text = lambda e: F.array_join(F.slice("texts", (e["i"] + 1).cast("int"), (e["i2"] - e["i"]).cast("int")), "")
+    below = lambda e: F.slice("elements", (e["k"] + 2).cast("int"), F.greatest(e["k2"] - e["k"] - 1, F.lit(0)).cast("int"))
+
+    def section(header: str) -> Column:
+        """Elements after the first header that contains the text, up to the next header beside it."""
+        heads = F.filter("elements", lambda e: (e["name"] == header_tag) & F.contains(F.lower(text(e)), F.lit(header.lower())))
+
+        def beside(h: Column) -> Column:
+            later = F.slice("elements", (h["k2"] + 1).cast("int"), F.size("elements"))
+            ends = F.filter(later, lambda e: (e["depth"] < h["depth"]) | ((e["depth"] == h["depth"]) & (e["name"] == header_tag)))
+            stop = F.coalesce(F.get(ends, F.lit(0))["start"], F.lit(1 << 30))
+            return F.filter(later, lambda e: (e["depth"] == h["depth"]) & (e["start"] < stop))
+
+        return F.flatten(F.transform(F.slice(heads, 1, 1), beside))
+
+    found = arrays.select("h1", "h2", "texts", "elements", section(prepared).alias("said"), section(qa).alias("asked"), section(participants).alias("listed"))
+
+    def labelled(of: str, name: str) -> Column:
+        """Labels and texts in order; wrappers are opened one level. What follows a label in its own element is a text after it."""
+        opened = lambda e: F.when(e["name"].isin(*_WRAPPERS), F.filter(below(e), lambda x: x["depth"] == e["depth"] + 1)).otherwise(F.array(e))
+        bold = lambda e: F.get(F.filter(below(e), lambda x: x["name"] == label_tag), F.lit(0))
+        flat = F.transform(F.flatten(F.transform(of, opened)), lambda e: F.struct(e["name"].alias("name"), text(e).alias("text"), F.when(bold(e).isNotNull(), text(bold(e))).alias("bold")))
+        flat = F.filter(flat, lambda x: x["text"] != "")
+
+        def one(x: Column, k: Column) -> Column:
+            own = F.coalesce(x["bold"], x["text"])
+            speaks = (x["bold"].isNotNull() & (F.length(x["text"]) < SPOKEN) & x["name"].isin("p", "div")) | (x["name"] == label_tag)
+            is_label = speaks & (own != "") & (F.length(own) < LABEL) & (F.length(own) - F.length(F.replace(own, F.lit("."), F.lit(""))) <= STOPS)
+            rest = F.when(x["bold"].isNotNull(), F.trim(F.replace(x["text"], own, F.lit("")))).otherwise("")
+            return F.struct(F.lit(name).alias("section"), k.cast("int").alias("pos"), is_label.alias("is_label"), F.when(is_label, own).alias("label"), F.when(is_label, rest).otherwise(x["text"]).alias("text"))
+
+        return F.transform(flat, one)
+
+    fits = lambda x: F.length(x).between(*LINE)
+
+    def more_lines(lines: Column, e: Column) -> Column:
+        """Texts of paragraphs, items and bold parts of an element, then of itself if it is new."""
+        inner = F.filter(below(e), lambda x: x["name"].isin("p", "li", "strong"))
+        own = F.when(F.size(inner) > 0, F.transform(inner, text)).otherwise(F.array(text(e)))
+        every = F.concat(lines, F.filter(own, fits))
+        return F.when(fits(text(e)) & ~F.array_contains(every, text(e)), F.concat(every, F.array(text(e)))).otherwise(every)
+
+    columns = {
+        "participants": F.aggregate("listed", none, more_lines), "has_prepared": F.size("said") > 0, "has_qa": F.size("asked") > 0,
+        "elements": F.concat(labelled("said", "prepared_remarks"), labelled("asked", "qa")),
+    }
+    walked = found.select(F.col("h1").alias(mine[0]), F.col("h2").alias(mine[1]), F.struct(*[c.alias(name) for name, c in columns.items()]).alias(mine[2]))
+    joined = pages.join(walked, (h1 == F.col(mine[0])) & (h2 == F.col(mine[1])) & F.col("html").isNotNull(), "left")
+    empty = {"participants": none, "has_prepared": F.lit(False), "has_qa": F.lit(False), "elements": F.array().cast(schemas.PAGE_PARTS["elements"].dataType)}
+    fields = [F.coalesce(F.col(mine[2])[c], default).alias(c) for c, default in empty.items()]
+    parts = F.struct(*fields, F.when(F.col("html").isNull(), "no page").alias("error"))
+    return joined.withColumn("parts", parts).select(*pages.columns, "parts")
