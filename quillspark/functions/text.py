@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,6 +15,11 @@ from ..config import ANALYST_KEYWORDS, EXECUTIVE_KEYWORDS, GUIDANCE_KEYWORDS, UN
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where it is used for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean(c: Column) -> Column:
     """White space collapsed and trimmed."""
     return F.trim(F.regexp_replace(c, SPACE, " "))

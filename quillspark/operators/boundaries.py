@@ -42,22 +42,41 @@ def _type(bare: Column) -> Column:
     return F.when(own.rlike(r"^[0-9][0-9.,\-]*$"), NUMBER).otherwise(own)
 
 
-def tokens(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
-    """(keep..., pos, word, next, dot, upper, lower, inside, next_word, next_upper, next_lower) of all words.
+def _split(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep..., w, n): the words of every text that has any."""
+    return docs.select(*keep, t.tokens(F.col(text_col)).alias("w")).withColumn("n", F.size("w")).where("n > 0")
 
-    ``word`` and ``next`` are types; ``dot``: it ends in one full stop; ``inside``: the word before ends in no stop.
+
+def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(word, n, dots, lower, upper_inside) of all types: how often they come, end in one full stop, and are written so.
+
+    ``upper_inside``: with a capital though the word before ends in no stop. Words are counted as they stand first, so what
+    is costly is done once for each of them.
     """
-    own = docs.select(*keep, t.tokens(F.col(text_col)).alias("w")).withColumn("n", F.size("w")).where("n > 0")
-    after = F.concat(F.slice("w", 2, F.col("n")), F.array(F.lit(None).cast("string")))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("w", 1, F.col("n") - 1))
-    zipped = own.select(*keep, F.posexplode(F.arrays_zip(F.col("w").alias("raw"), after.alias("after"), before.alias("before"))).alias("pos", "x"))
-    bare, follows = _bare(F.col("x.raw")), _bare(F.col("x.after"))
-    rows = zipped.select(*keep, "pos", "x.*", bare.alias("bare"), follows.alias("follows"))
-    return rows.select(
-        *keep, "pos", _type(F.col("bare")).alias("word"), _type(F.col("follows")).alias("next"), (F.col("raw").endswith(".") & ~F.col("raw").endswith("..")).alias("dot"),
-        F.col("bare").rlike(r"^\p{Lu}").alias("upper"), F.col("bare").rlike(r"^\p{Ll}").alias("lower"), F.coalesce(~F.col("before").rlike(r"[.!?]\P{L}*$"), F.lit(False)).alias("inside"),
-        F.col("follows").rlike(r"^\p{Lu}").alias("next_upper"), F.col("follows").rlike(r"^\p{Ll}").alias("next_lower"),
-    )
+    cased = lambda w: F.lower(F.right(w, F.lit(1))) != F.upper(F.right(w, F.lit(1)))
+    open_ends = F.transform(F.slice("w", 1, F.col("n") - 1), lambda w: cased(w) | ~w.rlike(r"[.!?]\P{L}*$"))
+    own = _split(docs, text_col).select(F.explode(F.arrays_zip(F.col("w").alias("raw"), F.concat(F.array(F.lit(False)), open_ends).alias("inside"))).alias("x"))
+    raw = own.select("x.*").groupBy("raw", "inside").agg(F.count(F.lit(1)).alias("c"))
+    bare = _bare(F.col("raw"))
+    typed = raw.select("c", "raw", "inside", bare.alias("bare")).withColumn("word", _type(F.col("bare"))).where("word <> ''")
+    many = lambda c: F.sum(F.when(c, F.col("c")).otherwise(0))
+    return typed.groupBy("word").agg(
+        many(_dot(F.col("raw"))).alias("dots"), F.sum("c").alias("n"), many(F.col("bare").rlike(r"^\p{Ll}")).alias("lower"), many(F.col("bare").rlike(r"^\p{Lu}") & F.col("inside")).alias("upper_inside")
+    )
+
+
+def _dot(raw: Column) -> Column:
+    return raw.endswith(".") & ~raw.endswith("..")
+
+
+def stops(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep..., pos, word, next, next_upper, next_lower) of the words that end in one full stop and have a next word."""
+    zipped = F.arrays_zip(F.slice("w", 1, F.col("n") - 1).alias("raw"), F.slice("w", 2, F.col("n")).alias("after"))
+    pairs = F.transform(zipped, lambda x, i: F.struct(i.alias("pos"), x["raw"].alias("raw"), x["after"].alias("after")))
+    own = _split(docs, text_col, *keep).select(*keep, F.explode(F.filter(pairs, lambda x: _dot(x["raw"]))).alias("x"))
+    rows = own.select(*keep, "x.pos", _bare(F.col("x.raw")).alias("bare"), _bare(F.col("x.after")).alias("follows"))
+    found = rows.select(*keep, "pos", _type(F.col("bare")).alias("word"), _type(F.col("follows")).alias("next"), F.col("follows").rlike(r"^\p{Lu}").alias("next_upper"), F.col("follows").rlike(r"^\p{Ll}").alias("next_lower"))
+    return found.where("word <> '' and next <> ''")
 
 
 def _term(n: Column, p: Column) -> Column:
@@ -82,12 +101,7 @@ def _special(word: Column) -> Column:
 def learn(docs: DataFrame, text_col: str = "text", broadcast: int = BROADCAST_WORDS) -> Boundaries:
     """Boundaries learnt from all texts; null and empty ones add nothing."""
     with scope() as own:
-        every = tokens(docs, text_col)
-        one = lambda c: F.sum(c.cast("long"))
-        counted = every.where("word <> ''").groupBy("word").agg(
-            one(F.col("dot")).alias("dots"), F.count(F.lit(1)).alias("n"), one(F.col("lower")).alias("lower"), one(F.col("upper") & F.col("inside")).alias("upper_inside")
-        )
-        counts = staged(counted, "words")
+        counts = staged(word_counts(docs, text_col), "words")
         total, dots = counts.agg(F.sum("n"), F.sum("dots")).first()
         total, dots = total or 1, dots or 0
         chance = min(max(dots / total, 1e-12), 1 - 1e-12)
@@ -101,8 +115,8 @@ def learn(docs: DataFrame, text_col: str = "text", broadcast: int = BROADCAST_WO
         # the second pass: what follows a stop that ends a sentence, and what follows one that may not
         known = scored.where("abbreviation").select(F.col("word").alias("_a"))
         known = F.broadcast(known) if known.count() <= broadcast else known
-        stops = tokens(docs, text_col).where("dot and word <> '' and next <> ''").join(known, F.col("word") == F.col("_a"), "left")
-        seen = staged(stops.groupBy(F.when(F.col("_a").isNotNull() | _special(F.col("word")), F.col("word")).alias("word"), "next").agg(F.count(F.lit(1)).alias("together")), "stops")
+        ended = stops(docs, text_col).join(known, F.col("word") == F.col("_a"), "left")
+        seen = staged(ended.groupBy(F.when(F.col("_a").isNotNull() | _special(F.col("word")), F.col("word")).alias("word"), "next").agg(F.count(F.lit(1)).alias("together")), "stops")
         ends = seen.where("word is null").select("next", "together")
         breaks = ends.agg(F.sum("together")).first()[0] or 1
         starts = ends.join(counts.select(F.col("word").alias("next"), "n"), "next")
@@ -123,11 +137,11 @@ def no_breaks(docs: DataFrame, boundaries: Boundaries, text_col: str = "text", b
     short = w.where("abbreviation").select(F.col("word").alias("_a"))
     short = F.broadcast(short) if short.count() <= broadcast else short
     own = docs.where(F.col(text_col).isNotNull()).select(text_col, *_hashes(F.col(text_col)))
-    stops = tokens(own, text_col, "h1", "h2").where("dot and word <> '' and next <> ''").join(short, F.col("word") == F.col("_a"), "left").where(F.col("_a").isNotNull() | _special(F.col("word")))
+    doubted = stops(own, text_col, "h1", "h2").join(short, F.col("word") == F.col("_a"), "left").where(F.col("_a").isNotNull() | _special(F.col("word")))
     # equal texts need one look; so few rows are left that all that is known of the next word comes by a join
-    stops = stops.dropDuplicates(["h1", "h2", "pos"])
+    doubted = doubted.dropDuplicates(["h1", "h2", "pos"])
     following = w.select(F.col("word").alias("next"), "starter", F.col("lower").alias("n_lower"), F.col("upper_inside").alias("n_inside"))
-    rows = stops.join(following, "next", "left").join(boundaries.pairs.withColumn("pair", F.lit(True)), ["word", "next"], "left")
+    rows = doubted.join(following, "next", "left").join(boundaries.pairs.withColumn("pair", F.lit(True)), ["word", "next"], "left")
     starter = F.coalesce("starter", F.lit(False)) & F.col("next_upper")
     written = F.col("next_upper") & (F.coalesce("n_lower", F.lit(0)) > 0) & (F.coalesce("n_inside", F.lit(0)) == 0)
     joined = (
@@ -150,7 +164,14 @@ def split(docs: DataFrame, boundaries: Boundaries, text_col: str = "text", out:
     h1, h2 = _hashes(F.col(text_col))
     found = no_breaks(docs, boundaries, text_col).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "joined")
     rows = docs.join(found, (h1 == F.col("_h1")) & (h2 == F.col("_h2")), "left")
-    words = t.tokens(F.col(text_col))
-    ends = lambda w, i: w.rlike(r"[.!?]$") & ~F.coalesce(F.array_contains("joined", i), F.lit(False))
-    marked = F.array_join(F.transform(words, lambda w, i: F.concat(w, F.when(ends(w, i), "\x01").otherwise(" "))), "")
-    return rows.withColumn(out, F.filter(F.transform(F.split(marked, "\x01"), lambda x: F.trim(x)), lambda s: F.length(s) > longer_than)).drop("_h1", "_h2", "joined")
+
+    def parts(words: Column) -> Column:
+        """Words up to each place where a sentence ends, and what is left after the last."""
+        ends = F.transform(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].rlike(r"[.!?]$")), lambda x: x["i"])
+        kept = F.array_except(ends, F.coalesce("joined", F.array().cast("array<int>")))
+        spans = lambda e: F.arrays_zip(F.slice(e, 1, F.size(e) - 1).alias("a"), F.slice(e, 2, F.size(e)).alias("b"))
+        cut = t.let(F.concat(F.array(F.lit(-1)), kept, F.array(F.size(words) - 1)), spans)
+        return F.transform(cut, lambda x: F.array_join(F.slice(words, x["a"] + 2, x["b"] - x["a"]), " "))
+
+    found = t.let(t.tokens(F.col(text_col)), parts)
+    return rows.withColumn(out, F.filter(found, lambda s: F.length(s) > longer_than)).drop("_h1", "_h2", "joined")

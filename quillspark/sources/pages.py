@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,7 +61,7 @@ def merge_metadata(saved: DataFrame, from_name: DataFrame) -> DataFrame:
 
 def unescape(c: Column) -> Column:
     """Text with its character references decoded: numbers, and names that end in a semicolon; others stay as they are."""
-    names = F.create_map(*[F.lit(x) for name, text in html5.items() if name.endswith(";") for x in (f"&{name}", text)])
+    names = F.from_json(F.lit(json.dumps({f"&{name}": text for name, text in html5.items() if name.endswith(";")})), "map<string,string>")
     digits = lambda x, base: F.conv(F.regexp_extract(x, r"([0-9a-fA-F]+);$", 1), base, 10).cast("int")
     point = lambda x: F.when(x.rlike(r"^&#[xX]"), digits(x, 16)).when(x.rlike(r"^&#"), digits(x, 10))
     valid = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
@@ -97,7 +98,8 @@ def page_elements(tokens: DataFrame) -> DataFrame:
     """
     page = ("h1", "h2")
     to_here = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = lambda w: w.rowsBetween(1, Window.unboundedFollowing)
+    # what follows is what precedes in the other direction, whose running minimum takes one step a row
+    ahead = lambda *by: Window.partitionBy(*page, *by).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
 
     def levels(df: DataFrame, out: str, step: Column, *by: str) -> DataFrame:
@@ -108,9 +110,12 @@ def page_elements(tokens: DataFrame) -> DataFrame:
         return summed.withColumn(out, level + F.when(step == -1, 1).otherwise(0)).drop("_s")
 
     holds = F.when(F.col("name").isin(*_CONTAINERS), step).otherwise(0)
-    rows = levels(levels(tokens.where("kind <> 'text'"), "level", step, "name"), "inside", holds)
+    # one exchange by page serves all scans
+    many = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tags = tokens.where("kind <> 'text'").repartition(many, *page)
+    rows = levels(levels(tags, "level", step, "name"), "inside", holds)
     match = Window.partitionBy(*page, "name", "level").orderBy("pos")
-    after = lambda c, *by: F.min(F.when(c, F.col("pos"))).over(ahead(Window.partitionBy(*page, *by).orderBy("pos")))
+    after = lambda c, *by: F.min(F.when(c, F.col("pos"))).over(ahead(*by))
     opened, named = F.col("kind") == "open", F.col("name")
     again, is_container = opened & named.isin(*_AGAIN), opened & named.isin(*_CONTAINERS)
     # pairs of tags that belong together give the depth at each tag, before it is counted itself
@@ -120,7 +125,7 @@ def page_elements(tokens: DataFrame) -> DataFrame:
     deep = paired.withColumn("around", F.sum(own_step).over(to_here(Window.partitionBy(*page).orderBy("pos"))) - own_step)
     begins = F.col("kind").isin("open", "void")
     own = deep.withColumns({
-        "_close": F.min(F.when(F.col("kind") == "close", F.col("pos"))).over(ahead(match)), "_block": after(begins & named.isin(*_ENDS_P)), "_p": after((F.col("kind") == "close") & (named == "p")),
+        "_close": after(F.col("kind") == "close", "name", "level"), "_block": after(begins & named.isin(*_ENDS_P)), "_p": after((F.col("kind") == "close") & (named == "p")),
         "_again": after(begins & named.isin(*_AGAIN), "name", "inside"), "_parent": after(F.col("pair") & (F.col("kind") == "close"), "around"), "_last": F.max("pos").over(Window.partitionBy(*page)),
     })
     implied = F.when(named == "p", F.least("_block", "_p")).when(named.isin(*_AGAIN), F.least("_again", "_close")).otherwise(F.col("_close"))
@@ -179,7 +184,7 @@ def page_parts(pages: DataFrame, prepared: str = "Prepared Remarks", qa: str = "
             later = F.slice("elements", (h["k2"] + 1).cast("int"), F.size("elements"))
             ends = F.filter(later, lambda e: (e["depth"] < h["depth"]) | ((e["depth"] == h["depth"]) & (e["name"] == header_tag)))
             stop = F.coalesce(F.get(ends, F.lit(0))["start"], F.lit(1 << 30))
-            return F.filter(later, lambda e: (e["depth"] == h["depth"]) & (e["start"] < stop))
+            return t.let(stop, lambda at: F.filter(later, lambda e: (e["depth"] == h["depth"]) & (e["start"] < at)))
 
         return F.flatten(F.transform(F.slice(heads, 1, 1), beside))
 
