@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from ..config import ANALYST_KEYWORDS, EXECUTIVE_KEYWORDS, GUIDANCE_KEYWORDS, UNCERTAINTY_WORDS
 
+# What a sentence is longer than, the forms of a file's name, and the quarter in a slug.
+SENTENCE = 20
+FULL_NAME, SLUG_NAME = r"^([A-Z]+)_(\d{4}-\d{2}-\d{2})_(Q\d-\d{4})$", r"^([A-Z]+)_(\d{2}-\d{2})-(.+)$"
+SLUG_QUARTER, SLUG_YEAR = r"q(\d)-\d{4}", r"q\d-(\d{4})"
 #: Unicode white space, no-break spaces included.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
@@ -30,7 +34,7 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(clean(c), F.lit("")), " "), lambda x: x != "")
 
 
-def sentences(c: Column, longer_than: int = 20) -> Column:
+def sentences(c: Column, longer_than: int = SENTENCE) -> Column:
     """Sentences after ``.``, ``!`` or ``?`` and white space that are longer than the limit.
 
     Splits by rule: abbreviations end sentences too, unlike in a trained tokenizer.
@@ -59,9 +63,9 @@ def lexicon_share(sents: Column, lexicon: Sequence[str] = UNCERTAINTY_WORDS, dig
 
     Punctuation is part of a word, so ``risk,`` is not ``risk``.
     """
-    words = tokens(F.lower(F.array_join(sents, " ")))
-    hits = F.size(F.filter(words, lambda w: w.isin(*lexicon)))
-    return F.when(F.size(words) > 0, F.round(hits / F.size(words), digits)).otherwise(0.0)
+    hits = lambda words: F.size(F.filter(words, lambda w: w.isin(*lexicon)))
+    share = lambda words: F.when(F.size(words) > 0, F.round(hits(words) / F.size(words), digits)).otherwise(0.0)
+    return let(tokens(F.lower(F.array_join(sents, " "))), share)
 
 
 def described_role(c: Column, whole_words: bool = False) -> Column:
@@ -98,20 +102,19 @@ def file_name_fields(name: Column, suffix: str = "") -> Column:
     A slug's fiscal year becomes the date's year; without a quarter date and quarter are empty.
     """
     stem = F.regexp_replace(name, rf"(?:{re.escape(suffix)})?(?:\.\w+)?$", "") if suffix else name
-    full, slug = r"^([A-Z]+)_(\d{4}-\d{2}-\d{2})_(Q\d-\d{4})$", r"^([A-Z]+)_(\d{2}-\d{2})-(.+)$"
     take = lambda p, k, c=stem: F.regexp_extract(c, p, k)
-    rest = take(slug, 3)
-    q, year = F.regexp_extract(rest, r"q(\d)-\d{4}", 1), F.regexp_extract(rest, r"q\d-(\d{4})", 1)
+    rest = take(SLUG_NAME, 3)
+    q, year = F.regexp_extract(rest, SLUG_QUARTER, 1), F.regexp_extract(rest, SLUG_YEAR, 1)
     parts = F.split(stem, "_")
     at = lambda k: F.coalesce(F.get(parts, F.lit(k)), F.lit(""))
-    found = F.struct(take(full, 1).alias("ticker"), take(full, 2).alias("date"), take(full, 3).alias("quarter"))
+    found = F.struct(take(FULL_NAME, 1).alias("ticker"), take(FULL_NAME, 2).alias("date"), take(FULL_NAME, 3).alias("quarter"))
     by_slug = F.struct(
-        take(slug, 1).alias("ticker"),
-        F.when(q != "", F.concat_ws("-", year, take(slug, 2))).otherwise("").alias("date"),
+        take(SLUG_NAME, 1).alias("ticker"),
+        F.when(q != "", F.concat_ws("-", year, take(SLUG_NAME, 2))).otherwise("").alias("date"),
         F.when(q != "", F.concat(F.lit("Q"), q, F.lit("-"), year)).otherwise("").alias("quarter"),
     )
     split = F.struct(at(0).alias("ticker"), at(1).alias("date"), at(2).alias("quarter"))
-    return F.when(stem.rlike(full), found).when(stem.rlike(slug), by_slug).otherwise(split)
+    return F.when(stem.rlike(FULL_NAME), found).when(stem.rlike(SLUG_NAME), by_slug).otherwise(split)
 
 
 def url_date(url: Column, first: int = 6) -> Column:

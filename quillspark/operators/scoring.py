@@ -21,11 +21,13 @@ def lexicon_scorer(positive: Sequence[str], negative: Sequence[str]) -> Callable
     """A deterministic scorer in native expressions: shares of positive and negative words, the rest neutral."""
 
     def score(sentence: Column) -> Column:
-        words = t.tokens(F.lower(sentence))
-        n = F.size(words)
-        share = lambda lexicon: F.when(n > 0, F.size(F.filter(words, lambda w: w.isin(*lexicon))) / n).otherwise(0.0)
-        p, q = share(positive), share(negative)
-        return F.struct(p.alias("positive"), q.alias("negative"), (1 - p - q).alias("neutral"))
+        def shares(words: Column) -> Column:
+            n = F.size(words)
+            share = lambda lexicon: F.when(n > 0, F.size(F.filter(words, lambda w: w.isin(*lexicon))) / n).otherwise(0.0)
+            return F.struct(share(positive).alias("positive"), share(negative).alias("negative"))
+
+        found = t.let(t.tokens(F.lower(sentence)), shares)
+        return t.let(found, lambda x: F.struct(x["positive"].alias("positive"), x["negative"].alias("negative"), (1 - x["positive"] - x["negative"]).alias("neutral")))
 
     return score
 
@@ -85,10 +87,11 @@ def section_scores(sents: DataFrame, scorer: Callable[[Column], Column], keys: S
 def score_transcripts(transcripts: DataFrame, scorer: Callable[[Column], Column], keys: Sequence[str] = ("ticker", "date", "quarter", "source", "word_count", "sentence_count")) -> DataFrame:
     """The 24 score columns for every transcript; sections without sentences score zero.
 
-    All sections are one exploded table and one aggregation. A transcript is known by a hash of its keys and sections, so
+    All sections are one exploded table and one aggregation. A transcript is known by two hashes of its keys and sections, so
     repeated rows are scored once and keep their repeats.
     """
-    own = transcripts.withColumn("_id", F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], *SECTIONS.values()))
+    whole = [*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], *SECTIONS.values()]
+    own = transcripts.withColumn("_id", F.concat(F.hex(F.xxhash64(*whole)), F.lit("-"), F.hex(F.xxhash64(*whole, F.lit(1)))))
     parts = F.array(*[F.struct(F.lit(name).alias("section"), F.col(c).alias("sents")) for name, c in SECTIONS.items()])
     long = own.dropDuplicates(["_id"]).select("_id", F.explode(parts).alias("p")).select("_id", "p.section", F.explode("p.sents").alias("sentence"))
     scores = section_scores(long, scorer, ["_id", "section"])

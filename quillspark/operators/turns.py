@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from ..functions import text as t
 
 
+# Least length of a participant's line, and what a piece of speech is longer than.
+LINE, PIECE = 3, 10
+
+
 def role_lookup(participants: DataFrame) -> DataFrame:
     """(doc_id, key, role) from (doc_id, pos, line): full names, of which the last line wins, and first names, of which
     the first does unless a key is taken already.
@@ -16,7 +20,7 @@ def role_lookup(participants: DataFrame) -> DataFrame:
     A key's role is that of the last line whose whole name it is; without one, of the first line whose first name it is.
     A line that sets a first name before that name's own line is overwritten by it, so order between the two is moot.
     """
-    lines = participants.where(F.length(F.trim("line")) >= 3).withColumn("line", F.trim("line"))
+    lines = participants.where(F.length(F.trim("line")) >= LINE).withColumn("line", F.trim("line"))
     named = lines.select("doc_id", "pos", t.speaker_name(F.col("line")).alias("name"), t.described_role(F.col("line")).alias("role")).where("name <> ''")
     keys = F.array(
         F.struct(F.lower("name").alias("key"), F.lit(1).alias("whole"), F.col("pos").alias("rank")),
@@ -48,7 +52,7 @@ def speaker_turns(elements: DataFrame, lookup: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("doc_id", "section").orderBy("pos")
     numbered = elements.withColumn("turn", F.sum(F.col("is_label").cast("int")).over(w)).where("turn > 0")
-    parts = F.array_sort(F.collect_list(F.when(F.length("text") > 10, F.struct("pos", "text"))))
+    parts = F.array_sort(F.collect_list(F.when(F.length("text") > PIECE, F.struct("pos", "text"))))
     grouped = numbered.groupBy("doc_id", "section", "turn").agg(
         F.max(F.when(F.col("is_label"), F.col("label"))).alias("speaker_raw"), F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("text")
     )

@@ -126,6 +126,49 @@ def _tone() -> str:
     return _with(parts, "select cast(doc_id as varchar) as ticker, * exclude (doc_id), round(qa_ceo_net - prep_net, 5) as qa_delta from wide")
 
 
+def _bare(x: str) -> str:
+    return rf"regexp_replace({x}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}.!?]+$', '', 'g')"
+
+
+def _kind(x: str) -> str:
+    own = f"lower(regexp_replace({x}, '[.!?]+$', ''))"
+    return rf"case when regexp_matches({own}, '^[0-9][0-9.,\-]*$') then '##' else {own} end"
+
+
+def _ratio(k: str, first: str, second: str, n: str) -> str:
+    """The log-likelihood ratio of k times ``second`` after ``first``."""
+    term = lambda c, p: f"case when {c} <= 0 then 0 else ({c}) * ln(greatest({p}, 1e-300)) end"
+    like = lambda p, q: " + ".join((term(k, p), term(f"{first} - {k}", f"1 - {p}"), term(f"{second} - {k}", q), term(f"{n} - {first} - {second} + {k}", f"1 - {q}")))
+    even, first_share, rest_share = f"({second} * 1e0 / {n})", f"({k} * 1e0 / {first})", f"(({second} - {k}) * 1e0 / greatest({n} - {first}, 1))"
+    return f"-2 * (({like(even, even)}) - ({like(first_share, rest_share)}))"
+
+
+def _boundaries() -> str:
+    special = r"({w} = '##' or regexp_matches({w}, '^\p{{L}}$'))"
+    parts = {
+        "d": f"select doc_id, list_filter(string_split({_CLEAN}, ' '), lambda w: w <> '') as w from documents",
+        "raw": "select doc_id, pos, len(w) as size, w[pos + 1] as raw, w[pos + 2] as after, w[pos] as before from (select doc_id, w, unnest(range(len(w))) as pos from d)",
+        "bare": f"select *, {_bare('raw')} as b, {_bare('after')} as a from raw",
+        "typed": rf"""select doc_id, pos, size, {_kind("b")} as word, {_kind("a")} as next, raw like '%.' and not raw like '%..' as dot, regexp_matches(raw, '[.!?]$') as stop, regexp_matches(b, '^\p{{Lu}}') as upper, regexp_matches(b, '^\p{{Ll}}') as lower,
+            coalesce(not regexp_matches(before, '[.!?]\P{{L}}*$'), false) as inside, regexp_matches(a, '^\p{{Lu}}') as next_upper, regexp_matches(a, '^\p{{Ll}}') as next_lower from bare""",
+        "counts": "select word, count(*) as n, count(*) filter (dot) as dots, count(*) filter (lower) as n_lower, count(*) filter (upper and inside) as n_inside from typed where word <> '' group by 1",
+        "whole": "select sum(n) as total, least(greatest(sum(dots) / sum(n), 1e-12), 1 - 1e-12) as p from counts",
+        "short": rf"""select word from (select *, length(replace(word, '.', '')) as l from counts cross join whole) where dots > 0 and regexp_matches(word, '\p{{L}}') and not {special.format(w="word")}
+            and -2 * (dots * ln(p) + (n - dots) * ln(1 - p) - dots * ln(0.99e0) - (n - dots) * ln(0.01e0)) * exp(-l) * (length(word) - l + 1) * pow(greatest(l, 1)::double, -(n - dots)::double) >= 0.3""",
+        "stops": f"select t.*, s.word is not null as short, s.word is not null or {special.format(w='t.word')} as doubted from typed t left join short s using (word) where dot and t.word <> '' and next <> ''",
+        "ends": "select next, count(*) as k from stops where not doubted group by 1",
+        "breaks": "select sum(k) as b from ends",
+        "starters": f"select next from ends join counts on next = word cross join whole cross join breaks where k / b > n / total and {_ratio('k', 'b', 'n', 'total')} >= 30",
+        "pairs": f"""select x.word, x.next from (select word, next, count(*) as k from stops where doubted group by 1, 2) x join counts c1 on x.word = c1.word join counts c2 on x.next = c2.word cross join whole
+            where k > 1 and k / c1.n > c2.n / total and {_ratio('k', 'c1.n', 'c2.n', 'total')} >= 7.88""",
+        "joined": r"""select doc_id, pos from stops x left join counts c on x.next = c.word left join starters s on x.next = s.next left join pairs p on x.word = p.word and x.next = p.next where doubted and case
+            when p.word is not null and s.next is null then true when short then not (next_upper and (s.next is not null or n_lower > 0 and n_inside = 0)) else next_lower or regexp_matches(x.word, '^\p{L}$') and next_upper and n_lower = 0 end""",
+        "found": """select doc_id, count(*) filter (stop and j.pos is null) + count(*) filter (t.pos = size - 1 and not stop) as n_sents, count(*) filter (stop) + count(*) filter (t.pos = size - 1 and not stop) as n_by_rule
+            from typed t left join joined j using (doc_id, pos) group by 1""",
+    }
+    return _with(parts, "select doc_id, coalesce(n_sents, 0) as n_sents, coalesce(n_by_rule, 0) as n_by_rule from documents left join found using (doc_id)")
+
+
 def _tail(begin: str) -> str:
     """The integral of cos(x) ^ (n - 3) from ``begin`` on."""
     end = f"least(pi() / 2, {begin} + 10 / sqrt(greatest(n - 3, 1e-9)))"
@@ -158,6 +201,7 @@ ORACLE_SQL: dict[str, str] = {
     "loaded_prices": _sql("select ticker, date, close from prices", "prices"),
     "full_backtest": _sweep(),
     "merged_summaries": _sql("select quarter, count(*) as n, true as distinct_near, true as quartiles_near from scores group by 1", "scores"),
+    "learnt_sentences": _boundaries(),
     "failed_pages": "select 'P_' || page_id || '_Q1' as name, 'no page' as error from pages where page_id % 9 = 4 or html is null",
     "parsed_pages": _PARAGRAPHS + """select 'P' as ticker, cast(page_id as varchar) as page, 'Q1' as quarter, count(*) filter (length(text) between 4 and 149) as n_participants
         from (select page_id from pages where page_id % 9 <> 4 and html is not null) left join bare using (page_id) group by page_id""",
@@ -182,7 +226,7 @@ ORACLE_SQL: dict[str, str] = {
         round(quantile_cont(composite_z, 0.25), 4) as q1, round(quantile_cont(composite_z, 0.5), 4) as median, round(quantile_cont(composite_z, 0.75), 4) as q3, round(max(composite_z), 4) as max from rows""", "rows"),
     "signal_head": _sql("select r.ticker, quarter, r.date, composite_z, bucket as quintile from rows r order by composite_z desc nulls last, r.ticker, r.date limit 5", "rows"),
     "daily_prices": _sql("select ticker, date, close from prices", "prices"),
-    "wide_prices": _sql("select cast(ticker as varchar) as ticker, date, close from prices where ticker in (1, 2, 3)", "prices"),
+    "wide_prices": _sql("select cast(ticker % 7 as varchar) as ticker, date, max(close) as close from prices group by 1, 2", "prices"),
     "filled_prices": _sql("select ticker, date, close from panel", "panel"),
     "forward_returns": _sql("select * from rets", "rets"),
     "sector_lookup": _sql("select ticker, quarter, date, coalesce(sector, 'Unknown') as sector from scores left join sector_of using (ticker)", "sector_of"),

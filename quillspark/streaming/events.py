@@ -53,8 +53,10 @@ def run(spark: SparkSession, folder: str, schema: StructType, step: Callable[[Da
 
     Returns how many rows came too late. State, and windows that are still open, stay in ``checkpoint`` for the next run.
     """
+    def commit(df: DataFrame, batch: int) -> None:
+        commits.append(df, path, batch=f"{checkpoint}#{batch}")
+
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
-    query = step(stream).writeStream.outputMode("append").foreachBatch(lambda df, k: commits.append(df, path, batch=f"{checkpoint}#{k}") and None).option("checkpointLocation", checkpoint)
-    running = query.trigger(availableNow=True).start()
+    running = step(stream).writeStream.outputMode("append").foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     running.awaitTermination()
     return sum(s.numRowsDroppedByWatermark for p in running.recentProgress for s in p.stateOperators)
