@@ -239,6 +239,8 @@ def _arrow(kinds: list[tuple[str, str]], rows: list[tuple]) -> pa.RecordBatch:
 def store_tensors(media: DataFrame) -> DataFrame:
     """Write the tensors of all media files to the shared folder; a row per media file with digests and the tensors' place.
 
+    Ids have to be numbers that fit in a long; others raise.
+
     A partition writes a Parquet file (segment, begin_s, end_s, tensor) of the fixed-shape Arrow type. A task that is run
     again writes a file of a new name; the table names those of the attempt that succeeded.
     """

@@ -54,6 +54,8 @@ class TreeBpe:
         self.lowers = self.full.normalizer is not None and self.full.normalizer.normalize_str("Aa") == "aa"
         self.opens = [s.encode()[:2] for s in special]
 
+        # one, two and other kinds of white space between and around words, digits, stops and apostrophes; a file that treats
+        # some other run otherwise than apart from its neighbours is not told by it
         probe = "a b  ab 1\tx.y\n z \r\n. b\x0b'\x0cs a"
         apart = [i for x in probe.split() for i in self.full.encode(x, add_special_tokens=False).ids]
         self.by_space = self.full.encode(probe, add_special_tokens=False).ids == apart and self.full.decoder is None

@@ -239,7 +239,8 @@ def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "te
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", chars: int = INDEX_CHARS) -> DataFrame:
     """(doc_id, item_id, overlap) for every row and item that it contains; nothing for null and empty texts.
 
-    Repeated rows give repeated pairs, null ids stay null, and repeated items count once for each row of theirs.
+    Repeated rows give repeated pairs, null ids stay null, and repeated items count once for each row of theirs. Ids of
+    documents and items have to be numbers that fit in a long; others raise.
     """
     spark = docs.sparkSession
     bounded_batches(spark, 512)

@@ -4,7 +4,8 @@ Patterns propose spans; a regex, a gazetteer, a context and a shape labeler vote
 pattern, a bounded table, from which expectation-maximisation estimates the labelers' reliabilities without labels.
 The posteriors are the soft labels from which a logistic classifier learns the spans' own traits: length, separators,
 repeated digits, first character, word before and character after. It decides on every span that the base patterns alone
-would not give. Base spans always stay. Work grows in proportion to a document's spans, but for sorting.
+would not give. Base spans always stay. The context labeler reads the CONTEXT characters before a span, but no further back
+than the end of the match of the same pattern before it. Work grows in proportion to a document's spans, but for sorting.
 """
 
 from __future__ import annotations

@@ -67,7 +67,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contaminated documents, each with its benchmark items."""
+    """The contaminated documents, each with its benchmark items; rows without an id are one document."""
     pairs = decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     items = F.array_join(F.transform(F.array_sort(F.collect_set("item_id")), lambda x: x.cast("string")), ",")
     return pairs.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), items.alias("item_ids"), F.round(F.max("overlap"), 6).alias("overlap"))

@@ -68,7 +68,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have fingerprint zero and link like any other. Rows repeated with one id stay repeated. A row
     with a null id links like any other and gets its group's component, but never names one: only a group without any id
-    has a null component. Other columns are ignored.
+    has a null component. Ids have to be numbers that fit in a long; others raise. Other columns are ignored.
     """
     prints = table(fingerprints(docs, id_col, text_col).select("id", "fp"), "prints")
     grouped = _groups(prints, max_bits)
