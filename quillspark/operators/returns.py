@@ -19,18 +19,26 @@ def long_prices(wide: DataFrame, date_col: str = "date") -> DataFrame:
     return wide.unpivot(date_col, tickers, "ticker", "close").select("ticker", F.col(date_col).alias("date"), F.col("close").cast("double").alias("close"))
 
 
-def fill_forward(prices: DataFrame) -> DataFrame:
+def by_ticker(df: DataFrame, *more: str) -> DataFrame:
+    """``df`` dealt out by ticker, and ``more``, in as many parts as the session's exchanges have: what follows makes many rows
+    of one, so parts that look small must not be put together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ticker", *more)
+
+
+def fill_forward(prices: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """One close for every ticker and day of the union calendar from the ticker's first close on.
 
     Of repeated rows of a ticker and day the greatest close counts. The calendar is one row with an array, bounded by the
-    number of trading days.
+    number of trading days; ``days`` (date), where given, are the dates of ``prices``, repeated or not. A close stands for
+    the days up to the ticker's next one, so prices travel once, by ticker, and the filled rows not at all.
     """
-    prices = prices.groupBy("ticker", "date").agg(F.max("close").alias("close"))
-    calendar = prices.agg(F.array_sort(F.collect_set("date")).alias("days"))
-    grid = prices.select("ticker").distinct().crossJoin(F.broadcast(calendar)).select("ticker", F.explode("days").alias("date"))
-    w = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = grid.join(prices, ["ticker", "date"], "left").withColumn("close", F.last("close", ignorenulls=True).over(w))
-    return filled.where(F.col("close").isNotNull())
+    dates = prices.select("date") if days is None else days.select("date")
+    calendar = dates.where("date is not null").distinct().agg(F.array_sort(F.collect_set("date")).alias("_days"))
+    places = calendar.select(F.posexplode("_days").alias("_at", "_day"))
+    known = by_ticker(prices.where(F.col("ticker").isNotNull() & F.col("close").isNotNull())).groupBy("ticker", "date").agg(F.max("close").alias("close"))
+    placed = known.join(F.broadcast(places), F.col("date") == F.col("_day")).crossJoin(F.broadcast(calendar))
+    upto = F.coalesce(F.lead("_at").over(Window.partitionBy("ticker").orderBy("date")), F.size("_days"))
+    return placed.withColumn("_n", upto - F.col("_at")).select("ticker", F.explode(F.slice("_days", F.col("_at") + 1, F.col("_n"))).alias("date"), "close")
 
 
 def call_date(c: F.Column) -> F.Column:
@@ -51,7 +59,8 @@ def forward_returns(calls: DataFrame, prices: DataFrame, horizons: Sequence[int]
     days = known.select("ticker", "date", *ahead)
     names = [f"fwd_{n}d" for n in horizons]
     day = days.select("ticker", "date", F.struct(F.col("date").alias("t1"), *names).alias("p"), F.lit(0).alias("call"))
-    call = calls.select("ticker", "date").distinct().withColumns({"p": F.lit(None).cast(day.schema["p"].dataType), "call": F.lit(1)})
+    # by ticker as the prices are, so that their union needs no exchange
+    call = by_ticker(calls.select("ticker", "date")).distinct().withColumns({"p": F.lit(None).cast(day.schema["p"].dataType), "call": F.lit(1)})
     # latest first, calls before prices of their day: what precedes a call is strictly later
     w = Window.partitionBy("ticker").orderBy(F.col("date").desc(), F.col("call").desc()).rowsBetween(Window.unboundedPreceding, -1)
     found = day.unionByName(call).withColumn("next", F.last("p", ignorenulls=True).over(w)).where("call = 1")
@@ -76,7 +85,7 @@ def sliced_returns(calls: DataFrame, prices: DataFrame, horizons: Sequence[int]
     block, a slice, or a ticker's slices.
     """
     far = max(horizons)
-    known = prices.where(F.col("close").isNotNull() & F.col("date").isNotNull()).select("ticker", "date", "close", _slice(F.col("date"), days).alias("s"))
+    known = by_ticker(prices.where(F.col("close").isNotNull() & F.col("date").isNotNull()).select("ticker", "date", "close", _slice(F.col("date"), days).alias("s")), "s")
     upto = lambda *order: Window.partitionBy("ticker").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sizes = known.groupBy("ticker", "s").agg(F.count(F.lit(1)).alias("size"))
     begins = sizes.select("ticker", "s", (F.sum("size").over(upto("s")) - F.col("size")).alias("begin"))
@@ -85,14 +94,14 @@ def sliced_returns(calls: DataFrame, prices: DataFrame, horizons: Sequence[int]
     # a block holds as many numbers as the farthest horizon at least, so what it lacks is in the next one
     size = max(far, days)
     block = F.floor(F.col("i") / size)
-    own = placed.select("ticker", "date", "close", "s", "i", F.explode(F.when((F.col("i") % size < far) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))).alias("block"))
+    own = by_ticker(placed.select("ticker", "date", "close", "s", "i", F.explode(F.when((F.col("i") % size < far) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))).alias("block")), "block")
     ahead = Window.partitionBy("ticker", "block").orderBy("i")
     names = [f"fwd_{n}d" for n in horizons]
     days_of = own.withColumns({c: F.round(F.try_divide(F.lead("close", n).over(ahead), "close") - 1, digits) for c, n in zip(names, horizons)})
     day = days_of.where(F.floor(F.col("i") / size) == F.col("block")).select("ticker", "date", "s", F.struct(F.col("date").alias("t1"), *names).alias("p"), F.lit(0).alias("call"))
     call = calls.select("ticker", "date").distinct().withColumn("s", _slice(F.col("date"), days)).withColumns({"p": F.lit(None).cast(day.schema["p"].dataType), "call": F.lit(1)})
     call = call.select("ticker", "date", "s", "p", "call")
-    rows = day.unionByName(call)
+    rows = by_ticker(day.unionByName(call), "s")
     firsts = rows.groupBy("ticker", "s").agg(F.min_by("p", F.when(F.col("call") == 0, F.col("date"))).alias("first"))
     after = Window.partitionBy("ticker").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = firsts.select(F.col("ticker").alias("_t"), F.col("s").alias("_s"), F.last("first", ignorenulls=True).over(after).alias("carried"))

@@ -129,17 +129,17 @@ def prices_table(spark: SparkSession, make: Callable[[], DataFrame], path: str,
     return commits.replace(make(), path) if known is None else known
 
 
-def signals_table(spark: SparkSession, scores: DataFrame, prices: DataFrame, path: str, overwrite: bool = False, config: SignalConfig | None = None, sectors: dict[str, str] | DataFrame = SECTORS) -> DataFrame:
+def signals_table(spark: SparkSession, scores: DataFrame, prices: DataFrame, path: str, overwrite: bool = False, config: SignalConfig | None = None, sectors: dict[str, str] | DataFrame = SECTORS, days: DataFrame | None = None) -> DataFrame:
     """The signals at ``path``; built and written where there are none yet or with ``overwrite``.
 
-    Score dates are strings: unreadable ones become null and have no returns.
+    ``days`` as in ``returns.fill_forward``. Score dates are strings: unreadable ones become null and have no returns.
     """
     known = None if overwrite else commits.read_table(spark, path)
     if known is not None:
         return known
     dated = scores.withColumn("date", returns.call_date(F.col("date"))) if dict(scores.dtypes)["date"] == "string" else scores
     with scope():
-        return commits.replace(signals.build_signals(dated, returns.fill_forward(prices), config, sectors), path)
+        return commits.replace(signals.build_signals(dated, returns.fill_forward(prices, days), config, sectors), path)
 
 
 def evaluate_all(table: DataFrame, horizons: Sequence[str] = ("fwd_1d", "fwd_5d", "fwd_20d")) -> dict[str, DataFrame]:

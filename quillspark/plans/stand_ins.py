@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.returns import by_ticker
+
 #: The texts are invented, so lexicons of their own frequent words stand in.
 GUIDANCE = ("the", "que", "und")
 UNCERTAIN = ("of", "de", "der", "a", "no assurance")
@@ -23,7 +25,13 @@ def quarter(c: Column) -> Column:
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supplier's highest unit price of a day."""
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"))
-    return rows.groupBy("ticker", "date").agg(F.max("p").alias("close"))
+    # by ticker alone: steps that order a ticker's prices need no other exchange
+    return by_ticker(rows).groupBy("ticker", "date").agg(F.max("p").alias("close"))
+
+
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates of ``prices``."""
+    return read(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
 
 
 def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
