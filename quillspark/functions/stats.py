@@ -130,10 +130,14 @@ def zscore(df: DataFrame, group: str, columns: Sequence[str], suffix_in: str = "
 
 
 def winsorize(df: DataFrame, columns: Sequence[str], low: float = 0.025, high: float = 0.975, suffix: str = "_w", digits: int | None = None) -> DataFrame:
-    """``df`` with columns clipped to quantiles of the whole table; columns that it lacks are skipped, nulls stay."""
+    """``df`` with columns clipped to quantiles of the whole table; columns that it lacks are skipped, nulls stay.
+
+    ``df`` is written first, as it is read once for the quantiles and once to be clipped.
+    """
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
+    df = staged(df, "unclipped")
     long = df.select(*columns).unpivot([], columns, "_column", "_value")
     with scope() as own:
         found = quantiles(value_ranks(long, "_column", "_value"), "_column", "_value", [low, high])

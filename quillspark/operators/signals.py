@@ -33,7 +33,6 @@ def composite(df: DataFrame, config: SignalConfig) -> DataFrame:
 def standardize(df: DataFrame, config: SignalConfig) -> DataFrame:
     """Winsorised over the whole table, then z-scored by quarter."""
     columns = [c for c in config.columns if c in df.columns]
-    df = staged(df, "unclipped")
     df = stats.winsorize(df, columns, *config.winsor, digits=config.digits)
     return stats.zscore(df, "quarter", columns, suffix_in="_w", digits=config.digits)
 

@@ -4,8 +4,9 @@ import random
 import re
 from datetime import date, timedelta
 
+from quillspark.functions import stats
 from quillspark.operators import returns
-from quillspark.plans import stand_ins
+from quillspark.plans import registry, stand_ins
 
 
 def plain_filled(rows):
@@ -38,3 +39,15 @@ def test_filled_prices_do_not_travel(spark):
     above = plan[: plan.index("Generate explode")]
     assert "Exchange" not in above
     assert len(re.findall(r"Exchange hashpartitioning\(ticker#\d+L?, \d+\)", plan)) == 2
+
+
+def test_tables_are_made_once(spark, monkeypatch):
+    """Scores are made once, then read: once for a query's quantiles or increments and once for its rows."""
+    made = []
+    for module in (stats, registry):
+        monkeypatch.setattr(module, "staged", lambda df, name, own=module.staged: made.append(name) or own(df, name))
+    d = "/root/testdata/sf0.001"
+    for name in ("winsorized", "merged_summaries"):
+        plan = registry.QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem" not in plan, name
+    assert {"unclipped", "calls"} <= set(made)
