@@ -34,9 +34,27 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
 
 
+#: Bytes of files of orders and their lines that one task joins, about.
+PART_BYTES = 8 << 20
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their order's day.
+
+    A task sorts its rows and holds sums for most of them, so large tables are joined in parts of about PART_BYTES, as many as
+    the session's exchanges have at least, which must not be put together; small ones as Spark sees fit.
+    """
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("d"))
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_discount", "l_tax", "l_quantity", "l_returnflag")
+    parts = sum(_bytes(spark, f"{sf_dir}/{name}.parquet") for name in ("orders", "lineitem")) // PART_BYTES
+    if parts > spark.sparkContext.defaultParallelism:
+        parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        orders, lines = orders.repartition(parts, "l_orderkey"), lines.repartition(parts, "l_orderkey")
     return lines.join(orders, "l_orderkey").select(F.col("l_suppkey").alias("ticker"), quarter(F.col("d")).alias("quarter"), "d", "l_discount", "l_tax", "l_quantity", "l_returnflag")
 
 
