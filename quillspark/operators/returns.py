@@ -112,6 +112,47 @@ def sliced_returns(calls: DataFrame, prices: DataFrame, horizons: Sequence[int]
     return found.select("ticker", "date", hit["t1"].alias("t1"), *[hit[c].alias(c) for c in names])
 
 
+def sliced_filled_returns(calls: DataFrame, prices: DataFrame, dates: DataFrame, horizons: Sequence[int] = HORIZONS, digits: int = 6, days: int = SLICE) -> DataFrame:
+    """The rows of ``forward_returns`` over ``fill_forward(prices, dates)``, with a ticker's time cut into slices of so many
+    trading days, and no filled row made.
+
+    A close on a day of the calendar is the ticker's last one up to it, so each call asks for those of its first day and of the
+    horizons, by the day's number. ``prices`` may repeat a ticker's day, as in ``fill_forward``, and travel once, by ticker and
+    slice; a slice passes on its last close. What one task orders is a slice, or a ticker's questions and slices' last closes.
+    """
+    calendar = dates.where("date is not null").select("date").distinct().agg(F.array_sort(F.collect_set("date")).alias("_days"))
+    places = calendar.select(F.posexplode("_days").alias("_at", "_day"))
+    known = prices.where(F.col("ticker").isNotNull() & F.col("close").isNotNull() & F.col("date").isNotNull()).select("ticker", "date", "close")
+    placed = known.join(F.broadcast(places), F.col("date") == F.col("_day")).select("ticker", F.floor(F.col("_at") / days).alias("s"), F.col("_at").alias("at"), "close")
+    close = by_ticker(placed, "s").groupBy("ticker", "s", "at").agg(F.max("close").alias("close"))
+    firsts = known.groupBy(F.col("ticker").alias("_t")).agg(F.min("date").alias("_first"))
+    # the number of the first trading day after a date: of every date from the first trading day to the one before the last
+    inner = F.greatest(F.size("_days") - 1, F.lit(0))
+    gaps = calendar.select(F.posexplode(F.arrays_zip(F.slice("_days", 1, inner).alias("a"), F.slice("_days", 2, inner).alias("b"))).alias("_k", "_gap"))
+    later = gaps.select((F.col("_k") + 1).alias("_next"), F.explode(F.sequence("_gap.a", F.date_sub("_gap.b", 1))).alias("_from"))
+    # a call before the ticker's first close waits for that
+    own = calls.select("ticker", "date").distinct().join(firsts, F.col("ticker") == F.col("_t"), "left")
+    own = own.join(F.broadcast(later), F.greatest("date", F.date_sub("_first", 1)) == F.col("_from"), "left")
+    own = own.crossJoin(F.broadcast(calendar.select(F.get("_days", F.lit(0)).alias("_begin"), F.size("_days").alias("_size"))))
+    start = F.when(F.col("date").isNotNull() & F.col("_first").isNotNull(), F.when(F.greatest("date", F.date_sub("_first", 1)) < F.col("_begin"), F.lit(0)).otherwise(F.col("_next")))
+    own = own.withColumn("start", start)
+    # a call without a first day stays, with one question that nothing answers
+    asked = F.filter(F.array(*[F.lit(n) for n in (0, *horizons)]), lambda n: (n == 0) | (F.col("start") + n < F.col("_size")))
+    questions = own.select("ticker", "date", "start", F.explode(asked).alias("n")).withColumn("at", F.col("start") + F.col("n"))
+    questions = by_ticker(questions.select("ticker", F.floor(F.col("at") / days).alias("s"), "at", F.lit(None).cast("double").alias("close"), "n", "date", "start"), "s")
+    rows = close.withColumns({"n": F.lit(-1), "date": F.lit(None).cast(calls.schema["date"].dataType), "start": F.lit(None).cast("int")}).unionByName(questions)
+    upto = lambda *keys: Window.partitionBy(*keys).orderBy("at", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    closes = F.when(F.col("n") == -1, F.col("close"))
+    last = F.max(F.when(F.col("n") == -1, F.col("at"))).over(Window.partitionBy("ticker", "s"))
+    found = rows.withColumns({"found": F.last(closes, ignorenulls=True).over(upto("ticker", "s")), "last": last}).where("n >= 0 or at = last")
+    carried = F.last(closes, ignorenulls=True).over(upto("ticker"))
+    answers = by_ticker(found.drop("s", "last")).withColumn("found", F.coalesce("found", carried)).where("n >= 0")
+    of = {n: F.max(F.when(F.col("n") == n, F.col("found"))).alias(f"_{n}") for n in (0, *horizons)}
+    got = answers.groupBy("ticker", "date").agg(F.max("start").alias("start"), *of.values())
+    got = got.join(F.broadcast(places), F.col("start") == F.col("_at"), "left")
+    return got.select("ticker", "date", F.col("_day").alias("t1"), *[F.round(F.try_divide(f"_{n}", "_0") - 1, digits).alias(f"fwd_{n}d") for n in horizons])
+
+
 def with_returns(rows: DataFrame, returns: DataFrame) -> DataFrame:
     """``rows`` with the returns of their (ticker, date), null where there are none; nothing fans out."""
     return rows.join(returns.drop("t1"), ["ticker", "date"], "left")

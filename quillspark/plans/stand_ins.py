@@ -22,11 +22,15 @@ def quarter(c: Column) -> Column:
     return F.concat(F.lit("Q"), F.quarter(c).cast("string"), F.lit("-"), F.year(c).cast("string"))
 
 
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier's unit prices, many a day."""
+    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supplier's highest unit price of a day."""
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"))
     # by ticker alone: steps that order a ticker's prices need no other exchange
-    return by_ticker(rows).groupBy("ticker", "date").agg(F.max("p").alias("close"))
+    return by_ticker(quotes(spark, sf_dir)).groupBy("ticker", "date").agg(F.max("close").alias("close"))
 
 
 def days(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.config import LEGACY_WEIGHTS, SignalConfig
 from quillspark.functions import stats, summaries
 from quillspark.operators import backtest, returns, signals
+from quillspark.plans import registry
 
 
 def groups(seed, n=60):
@@ -157,6 +158,25 @@ def test_sliced_returns_are_those_of_whole_tickers(spark):
     assert sorted(map(str, returns.sliced_returns(c, p, horizons=(3,), days=5).collect())) == sorted(map(str, returns.forward_returns(c, p, horizons=(3,)).collect()))
 
 
+def test_sliced_returns_need_no_filled_rows(spark, monkeypatch):
+    """Closes are looked up by the day's number; the rows are those over filled prices, and the query makes no such price."""
+    prices, calls = prices_and_calls(6)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(d * d % 1900) for d in range(300)]
+    prices |= {("HOT", d): 10.0 + k % 17 for k, d in enumerate(days)} | {("LATE", dt.date(2024, 2, 20)): 3.0, ("ZERO", dt.date(2024, 1, 3)): 0.0, ("ZERO", dt.date(2024, 1, 9)): 1.0}
+    calls += [("HOT", d + dt.timedelta(k % 3)) for k, d in enumerate(days[::5])] + [("HOT", dt.date(2019, 1, 1)), ("HOT", dt.date(2031, 1, 1)), (None, days[0]), ("HOT", None), ("NONE", days[3])]
+    calls += [(t, dt.date(2024, 1, d)) for t in ("LATE", "ZERO") for d in (1, 2, 3, 8, 9)] + [("LATE", dt.date(2024, 2, 19)), ("LATE", dt.date(2024, 2, 20))]
+    more = [("HOT", None, 1.0), ("HOT", days[0], None), (None, days[2], 4.0), ("HOT", days[4], 1.0), ("HOT", days[4], 99.0)]
+    p = spark.createDataFrame([(*k, v) for k, v in prices.items()] + more, "ticker string, date date, close double")
+    c = spark.createDataFrame(calls + calls[:9], "ticker string, date date")
+    for width, horizons in ((90, (1, 5, 20)), (7, (1, 5, 20)), (1, (3,)), (100_000, (400, 1))):
+        want = sorted(map(str, returns.forward_returns(c, returns.fill_forward(p), horizons).collect()))
+        assert sorted(map(str, returns.sliced_filled_returns(c, p, p, horizons, days=width).collect())) == want
+    none = returns.sliced_filled_returns(c, p.limit(0), p.limit(0))
+    assert none.count() == len(set(calls)) and none.where("t1 is not null or fwd_1d is not null").count() == 0
+    monkeypatch.setattr(returns, "fill_forward", None)
+    assert registry.sliced_returns(spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_repeated_prices_are_one(spark):
     p = spark.createDataFrame([("A", dt.date(2024, 1, 1), 1.0), ("A", dt.date(2024, 1, 1), 2.0), ("B", dt.date(2024, 1, 2), 3.0)], "ticker string, date date, close double")
     assert sorted(map(tuple, returns.fill_forward(p).collect())) == [("A", dt.date(2024, 1, 1), 2.0), ("A", dt.date(2024, 1, 2), 2.0), ("B", dt.date(2024, 1, 2), 3.0)]
